@@ -72,10 +72,16 @@ def convert(col: Column, unit: str) -> Column:
     return col * UNIT_FACTORS[unit]
 
 
+def round_even(col: Column, decimals: int) -> Column:
+    """Round half to even on the scaled double."""
+    scale = float(10**decimals)
+    return F.rint(col * scale) / scale
+
+
 def scaled(col: Column, factor: float | None, decimals: int = 2) -> Column:
     """Number times factor, rounded; the raw text where it is not a number."""
     number = to_number(col) * (1.0 if factor is None else factor)
-    return F.coalesce(F.round(number, decimals).cast("string"), col.cast("string"))
+    return F.coalesce(round_even(number, decimals).cast("string"), col.cast("string"))
 
 
 def within_bounds(feature: Column, value: Column, bounds: dict[str, tuple[float, float]]) -> Column:
