@@ -6,6 +6,8 @@ trajectory (``lengths(pid, traj_len)``).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,82 +106,90 @@ def fit_quantile(values: DataFrame, n_quantiles: int = 1000, by: str = "feature"
     )
 
 
-def _search(arr: Column, x: Column, upper: bool, n_max: int) -> Column:
-    """Binary search: last index with ``arr[i] <= x`` (upper) or first with ``arr[i] >= x``."""
-    rounds = max(1, n_max.bit_length() + 1)
-    start = F.struct(F.lit(-1).alias("lo"), F.size(arr).alias("hi"))
+# a fitted table is channels x quantiles numbers; beyond this it is no lookup any more
+MAX_TABLE = 2_000_000
 
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        at = F.get(arr, mid)
-        go_right = (at <= x) if upper else (at < x)
-        open_ = acc["hi"] - acc["lo"] > 1
-        lo = F.when(open_ & go_right, mid).otherwise(acc["lo"])
-        hi = F.when(open_ & ~go_right, mid).otherwise(acc["hi"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    return end["lo"] if upper else end["hi"]
-
-
-def quantile_position(x: Column, q: Column, n_max: int = 1000) -> Column:
-    """Position of x in [0, 1] among the quantiles: linear between them, the middle of ties."""
-    n = F.size(q)
-    gaps = F.greatest(n - 1, F.lit(1)).cast("double")
-    j, i = _search(q, x, True, n_max), _search(q, x, False, n_max)
-    a, b = F.get(q, j), F.get(q, j + 1)
-    inside = F.when(a == x, (i + j) / (2 * gaps)).otherwise((j + (x - a) / (b - a)) / gaps)
-    return F.when(x <= F.get(q, F.lit(0)), 0.0).when(x >= F.get(q, n - 1), 1.0).otherwise(inside)
+def collect_quantiles(fitted: DataFrame, by: str = "feature") -> dict[str, np.ndarray]:
+    """Fitted quantiles on the driver, after checking that the table is as small as it must be."""
+    rows = fitted.filter(F.col("quantiles").isNotNull())
+    size = rows.agg(F.sum(F.size("quantiles"))).first()[0] or 0
+    if size > MAX_TABLE:
+        raise ValueError(f"{size} quantiles are too many for a lookup table")
+    return {r[0]: np.asarray(r[1], dtype=float) for r in rows.select(by, "quantiles").collect()}
 
 
 # The normal output is cut at the quantile of 1e-7.
 NORMAL_LIMIT = 5.19933758270342
 
 
-def apply_quantile(rows: DataFrame, fitted: DataFrame, output: str = "normal", n_quantiles: int = 1000, by: str = "feature") -> DataFrame:
+def position_udf(tables: dict[str, np.ndarray]):
+    """Vectorised position of values in [0, 1] among their channel's quantiles.
+
+    Interpolating from both ends and averaging puts a repeated quantile in the middle of its run.
+    """
+
+    @F.pandas_udf("double")
+    def position(feature: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.full(len(value), np.nan)
+        x = value.to_numpy(dtype=float)
+        for name, idx in feature.groupby(feature).indices.items():
+            q = tables.get(name)
+            if q is None:
+                continue
+            ref = np.linspace(0, 1, len(q)) if len(q) > 1 else np.zeros(1)
+            v = x[idx]
+            u = 0.5 * (np.interp(v, q, ref) - np.interp(-v, -q[::-1], -ref[::-1]))
+            u[v <= q[0]] = 0.0
+            u[v >= q[-1]] = 1.0 if len(q) > 1 and q[-1] > q[0] else 0.0
+            u[np.isnan(v)] = np.nan
+            out[idx] = u
+        return pd.Series(out)
+
+    return position
+
+
+def normal_score(u: Column) -> Column:
+    z = F.when(u <= 1e-7, -NORMAL_LIMIT).when(u >= 1 - 1e-7, NORMAL_LIMIT).otherwise(inverse_normal(u))
+    return clip(z, -NORMAL_LIMIT, NORMAL_LIMIT)
+
+
+def apply_quantile(rows: DataFrame, fitted: DataFrame, output: str = "normal", by: str = "feature") -> DataFrame:
     """Map values to their quantile position, as uniform or normal scores."""
-    out = rows.join(fitted, by).withColumn("__u", quantile_position(F.col("value"), F.col("quantiles"), n_quantiles))
-    if output == "uniform":
-        return out.withColumn("value", F.col("__u")).drop("__u", "quantiles")
-    z = F.when(F.col("__u") <= 1e-7, -NORMAL_LIMIT).when(F.col("__u") >= 1 - 1e-7, NORMAL_LIMIT).otherwise(inverse_normal(F.col("__u")))
-    return out.withColumn("value", clip(z, -NORMAL_LIMIT, NORMAL_LIMIT)).drop("__u", "quantiles")
+    u = F.nanvl(position_udf(collect_quantiles(fitted, by))(F.col(by), F.col("value")), F.lit(None).cast("double"))
+    out = rows.withColumn("__u", u)
+    return out.withColumn("value", F.col("__u") if output == "uniform" else normal_score(F.col("__u"))).drop("__u")
 
 
 # ---- power -----------------------------------------------------------------------------
 
 
-def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: float = 5.0, points: int = 11, rounds: int = 5) -> DataFrame:
+def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: float = 5.0, points: int = 9, rounds: int = 6) -> DataFrame:
     """Yeo-Johnson lambda by maximum likelihood, with the mean and std of the transformed values.
 
-    Values are counted once; every round scores ``points`` candidates per channel as aggregate
-    columns of one pass over the counts and narrows the bracket around the best.
+    Values are counted once and that shuffle is reused; every round scores ``points`` candidates
+    per channel in one aggregation with map-side combine and narrows the bracket around the best.
     """
     counts = values.filter(F.col("value").isNotNull()).groupBy(by, "value").agg(F.count("*").cast("double").alias("w"))
     bracket = counts.groupBy(by).agg(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
     x, w = F.col("value"), F.col("w")
     jacobian = F.signum(x) * F.log1p(F.abs(x))
     for _ in range(rounds):
-        lam = [F.col("a") + (F.col("b") - F.col("a")) * (i / (points - 1)) for i in range(points)]
-        rows = counts.join(bracket, by)
-        aggs = [F.sum(w).alias("n"), F.sum(w * jacobian).alias("j"), F.max("a").alias("a"), F.max("b").alias("b")]
-        for i, c in enumerate(lam):
-            y = yeo_johnson(x, c)
-            aggs += [F.sum(w * y).alias(f"s{i}"), F.sum(w * y * y).alias(f"q{i}")]
-        fit = rows.groupBy(by).agg(*aggs)
-        scored = []
-        for i, c in enumerate(lam):
-            var = F.col(f"q{i}") / F.col("n") - F.pow(F.col(f"s{i}") / F.col("n"), F.lit(2))
-            ll = -F.col("n") / 2 * F.log(var) + (c - 1) * F.col("j")
-            ok = var > 1e-300
-            scored.append(F.when(ok & ~F.isnan(ll), F.struct(ll.alias("ll"), c.alias("lam"))))
-        best = F.array_max(F.array_compact(F.array(*scored)))["lam"]
         step = (F.col("b") - F.col("a")) / (points - 1)
-        best = F.coalesce(best, F.lit(1.0))
-        bracket = fit.select(by, (best - step).alias("a"), (best + step).alias("b"), best.alias("lam"))
-    fitted = bracket.select(by, "lam")
+        tried = bracket.select(by, step.alias("h"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + i * step)).alias("lam"))
+        scored = counts.join(tried, by).withColumn("y", yeo_johnson(x, F.col("lam")))
+        scored = scored.groupBy(by, "h", "lam").agg(
+            F.sum("w").alias("n"), F.sum(w * jacobian).alias("j"), F.sum(w * F.col("y")).alias("s"), F.sum(w * F.col("y") * F.col("y")).alias("q")
+        )
+        var = F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2))
+        ll = F.when(var > 1e-300, -F.col("n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("j")).otherwise(F.lit(-1e300))
+        best = scored.withColumn("ll", F.when(F.isnan(ll), F.lit(-1e300)).otherwise(ll)).groupBy(by).agg(
+            F.max_by(F.struct("lam", "h"), F.struct("ll", -F.abs("lam"))).alias("m")
+        )
+        bracket = best.select(by, (F.col("m.lam") - F.col("m.h")).alias("a"), (F.col("m.lam") + F.col("m.h")).alias("b"), F.col("m.lam").alias("lam"))
     y = yeo_johnson(x, F.col("lam"))
-    moments = counts.join(fitted, by).groupBy(by, "lam").agg(
-        (F.sum(w * y) / F.sum(w)).alias("center"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("q"), F.sum(w).alias("n")
+    moments = counts.join(bracket.select(by, "lam"), by).withColumn("y", y).groupBy(by, "lam").agg(
+        (F.sum(w * F.col("y")) / F.sum(w)).alias("center"), F.sum(w * F.col("y") * F.col("y")).alias("q"), F.sum(w).alias("n")
     )
     std = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("center"), F.lit(2)), F.lit(0.0)))
     return moments.select(by, "lam", "center", F.when(std == 0, 1.0).otherwise(std).alias("scale"))
@@ -194,40 +204,53 @@ def apply_power(rows: DataFrame, fitted: DataFrame, by: str = "feature") -> Data
 # ---- all together ----------------------------------------------------------------------
 
 
+_FITS = {"standard": fit_standard, "robust": fit_robust, "power": fit_power}
+
+
 def fit(values: DataFrame, method: str = "adaptive", n_quantiles: int = 1000, by: str = "feature") -> DataFrame:
     """Fitted statistics of every channel: ``feature, method, center, scale, lam, quantiles``.
-    Persist as parquet and reuse on new rows."""
-    methods = shape(values, by).select(by, "n", choose_method().alias("adaptive"), F.lit(method).alias("fixed"))
-    chosen = F.when(F.col("n") < 3, "standard").when(F.col("fixed") == "adaptive", F.col("adaptive")).otherwise(F.col("fixed"))
-    methods = methods.select(by, chosen.alias("method"))
-    std, rob, powr, qua = fit_standard(values, by), fit_robust(values, by), fit_power(values, by), fit_quantile(values, n_quantiles, by)
-    out = methods.join(std.withColumnsRenamed({"center": "c0", "scale": "s0"}), by)
-    out = out.join(rob.withColumnsRenamed({"center": "c1", "scale": "s1"}), by)
-    out = out.join(powr.withColumnsRenamed({"center": "c2", "scale": "s2"}), by).join(qua, by)
-    is_ = lambda name: F.col("method") == name
-    return out.select(
-        by,
-        "method",
-        F.when(is_("robust"), F.col("c1")).when(is_("power"), F.col("c2")).otherwise(F.col("c0")).alias("center"),
-        F.when(is_("robust"), F.col("s1")).when(is_("power"), F.col("s2")).otherwise(F.col("s0")).alias("scale"),
-        F.when(is_("power"), F.col("lam")).alias("lam"),
-        F.when(is_("quantile"), F.col("quantiles")).alias("quantiles"),
-    )
 
-
-def transform(rows: DataFrame, fitted: DataFrame, clip_range: tuple[float, float] | None = None, n_quantiles: int = 1000, by: str = "feature") -> DataFrame:
+    A fixed method fits only itself (and the standard fallback of tiny channels); the adaptive
+    choice restricts every fit to the channels that chose it. Persist as parquet and reuse.
+    """
+    if method == "adaptive":
+        chosen = shape(values, by).select(by, choose_method().alias("method"))
+        methods = ["standard", "power", "robust", "quantile"]
+    else:
+        few = F.count("value") < 3
+        chosen = values.groupBy(by).agg(F.when(few, "standard").otherwise(method).alias("method"))
+        methods = sorted({"standard", method})
+    out = None
+    for name in methods:
+        mine = chosen.filter(F.col("method") == name)
+        rows = values.join(mine.select(by), by, "left_semi")
+        if name == "quantile":
+            part = fit_quantile(rows, n_quantiles, by)
+        else:
+            part = _FITS[name](rows, by)
+        part = part.withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    for c, kind in {"center": "double", "scale": "double", "lam": "double", "quantiles": "array<double>"}.items():
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(kind))
+    return out.select(by, "method", "center", "scale", "lam", "quantiles")
+
+
+def transform(rows: DataFrame, fitted: DataFrame, clip_range: tuple[float, float] | None = None, by: str = "feature") -> DataFrame:
     """Normalise with fitted statistics; every row stays and NULL or unknown becomes 0.0."""
-    out = rows.join(fitted, by, "left")
-    x = F.col("value")
-    u = quantile_position(x, F.col("quantiles"), n_quantiles)
-    z = F.when(u <= 1e-7, -NORMAL_LIMIT).when(u >= 1 - 1e-7, NORMAL_LIMIT).otherwise(inverse_normal(u))
-    y = F.when(F.col("method") == "quantile", z).when(
-        F.col("method") == "power", (yeo_johnson(x, F.col("lam")) - F.col("center")) / F.col("scale")
-    ).otherwise((x - F.col("center")) / F.col("scale"))
+    keep = rows.columns
+    tables = collect_quantiles(fitted, by)
+    out = rows.join(fitted.select(by, "method", "center", "scale", "lam"), by, "left")
+    x, is_ = F.col("value"), lambda name: F.col("method") == name
+    y = F.when(is_("power"), (yeo_johnson(x, F.col("lam")) - F.col("center")) / F.col("scale")).otherwise(
+        (x - F.col("center")) / F.col("scale")
+    )
+    if tables:
+        out = out.withColumn("__u", F.nanvl(position_udf(tables)(F.col(by), x), F.lit(None).cast("double")))
+        y = F.when(is_("quantile"), normal_score(F.col("__u"))).otherwise(y)
     if clip_range is not None:
         y = clip(y, *clip_range)
-    out = out.withColumn("value", F.coalesce(y, F.lit(0.0)))
-    return out.drop("method", "center", "scale", "lam", "quantiles")
+    return out.withColumn("value", F.coalesce(y, F.lit(0.0))).select(*keep)
 
 
 def transform_padded(rows: DataFrame, lengths: DataFrame, fitted: DataFrame, **kw) -> DataFrame:

@@ -126,7 +126,7 @@ def g5_uniform(t):
     """Quantile transform to uniform scores, 51 quantiles."""
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("q").alias("feature"), F.col("l_quantity").alias("value"))
     fitted = nz.fit_quantile(rows, 51)
-    out = nz.apply_quantile(rows, fitted, "uniform", 51)
+    out = nz.apply_quantile(rows, fitted, "uniform")
     return rounded(out.select("l_orderkey", "l_linenumber", "value"))
 
 
