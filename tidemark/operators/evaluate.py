@@ -8,6 +8,8 @@ then a sliced running count over the score gives every threshold its true and fa
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tidemark.functions.numeric import inverse_normal, two_sided_p
 from tidemark.functions.timegrid import DEFAULT_GRID, Grid
 from tidemark.operators.quantiles import group_quantiles
 from tidemark.operators.sliced import Scan, sliced_scan, value_slice
+from tidemark.session import cut_lineage
 
 Z95 = 1.959963984540054
 
@@ -76,53 +79,42 @@ def at_effective_step(entities: DataFrame, predictions: DataFrame, steps: list[i
 # ---- threshold tables --------------------------------------------------------------------
 
 
-def threshold_table(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """One row per distinct score: positives and negatives at it, and true and false positives of
-    the rule ``score >= threshold``. Columns ``pos neg tp fp n_pos n_neg``."""
-    w = F.col(weight) if weight else F.lit(1)
+def threshold_table(rows: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
+    """One row per distinct score: positives and negatives at it (``pos neg``), true and false
+    positives of the rule ``score >= threshold`` (``tp fp``), negatives below (``neg_below``);
+    with ``totals`` the class sizes ``n_pos n_neg`` too. Needs at least one key."""
     counts = rows.groupBy(*keys, "score").agg(
-        F.sum(F.when(F.col("label") == 1, w).otherwise(0)).cast("double").alias("pos"),
-        F.sum(F.when(F.col("label") == 0, w).otherwise(0)).cast("double").alias("neg"),
-    )
-    return cumulate(counts, keys)
-
-
-def cumulate(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Threshold table from positives and negatives counted per score; needs at least one key."""
-    span = counts.groupBy(*keys).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.min("score").alias("__lo"), F.max("score").alias("__hi")
-    )
-    both = counts.join(span, keys)
-    out = sliced_scan(
-        both,
-        keys,
-        ["score"],
-        value_slice(F.col("score"), F.col("__lo"), F.col("__hi")),
-        [Scan("__cp", "sum", F.col("pos")), Scan("__cn", "sum", F.col("neg"))],
-    )
-    return out.select(
-        *keys,
-        "score",
-        "pos",
-        "neg",
-        (F.col("n_pos") - F.col("__cp") + F.col("pos")).alias("tp"),
-        (F.col("n_neg") - F.col("__cn") + F.col("neg")).alias("fp"),
-        "n_pos",
-        "n_neg",
+        F.sum(F.when(F.col("label") == 1, 1.0).otherwise(0.0)).alias("pos"),
+        F.sum(F.when(F.col("label") == 0, 1.0).otherwise(0.0)).alias("neg"),
     )
+    return cumulate(counts, keys, totals)
+
+
+def cumulate(counts: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
+    """Threshold table from positives and negatives counted per score."""
+    scans = [
+        Scan("tp", "sum", F.col("pos"), reverse=True),
+        Scan("fp", "sum", F.col("neg"), reverse=True),
+        Scan("neg_below", "sum", F.col("neg"), inclusive=False),
+    ]
+    out = sliced_scan(counts, keys, ["score"], value_slice(F.col("score")), scans)
+    out = out.withColumn("neg_below", F.coalesce("neg_below", F.lit(0.0)))
+    if totals:
+        sizes = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+        out = out.join(sizes, keys)
+    return out
 
 
 def auroc_column() -> Column:
     """Mann-Whitney: a positive beats the negatives below it, ties count half."""
-    below = F.col("n_neg") - F.col("fp")
-    wins = F.sum(F.col("pos") * (below + F.col("neg") / 2))
-    pairs = F.max(F.col("n_pos") * F.col("n_neg"))
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
+    pairs = F.sum("pos") * F.sum("neg")
     return F.when(pairs > 0, wins / pairs)
 
 
 def average_precision_column() -> Column:
     gain = F.when(F.col("tp") + F.col("fp") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    return F.when(F.max("n_pos") > 0, F.sum(gain) / F.max("n_pos"))
+    return F.when(F.sum("pos") > 0, F.sum(gain) / F.sum("pos"))
 
 
 def hanley_like(auc: Column, n_pos: Column, n_neg: Column) -> Column:
@@ -130,25 +122,29 @@ def hanley_like(auc: Column, n_pos: Column, n_neg: Column) -> Column:
     return (auc / (2 - auc) - auc * auc) / n_neg + (2 * auc * auc / (1 + auc) - auc * auc) / n_pos
 
 
-def discrimination(rows: DataFrame, keys: list[str], table: DataFrame | None = None) -> DataFrame:
+def discrimination(rows: DataFrame, keys: list[str]) -> DataFrame:
     """AUROC with interval and average precision per key, with counts."""
-    t = table if table is not None else threshold_table(rows, keys)
-    out = t.groupBy(*keys).agg(
+    out = threshold_table(rows, keys).groupBy(*keys).agg(
         auroc_column().alias("auroc"),
         average_precision_column().alias("auprc"),
-        F.max("n_pos").alias("n_positive"),
-        (F.max("n_pos") + F.max("n_neg")).alias("n_samples"),
+        F.sum("pos").alias("n_positive"),
+        F.sum(F.col("pos") + F.col("neg")).alias("n_samples"),
     )
     n_neg = F.col("n_samples") - F.col("n_positive")
-    half = F.sqrt(F.greatest(hanley_like(F.col("auroc"), F.col("n_positive"), n_neg), F.lit(0.0))) * Z95
-    out = out.withColumn("auroc_ci_lower", F.greatest(F.col("auroc") - half, F.lit(0.0)))
-    out = out.withColumn("auroc_ci_upper", F.least(F.col("auroc") + half, F.lit(1.0)))
+    variance = F.when(F.col("auroc").isNotNull(), F.greatest(hanley_like(F.col("auroc"), F.col("n_positive"), n_neg), F.lit(0.0)))
+    half = F.sqrt(variance) * Z95
+    out = out.withColumns(
+        {
+            "auroc_ci_lower": F.when(half.isNotNull(), F.greatest(F.col("auroc") - half, F.lit(0.0))),
+            "auroc_ci_upper": F.when(half.isNotNull(), F.least(F.col("auroc") + half, F.lit(1.0))),
+        }
+    )
     return out.withColumns({c: F.col(c).cast("long") for c in ("n_positive", "n_samples")})
 
 
 def curve_points(rows: DataFrame, keys: list[str]) -> DataFrame:
     """ROC and precision-recall points at every distinct threshold."""
-    t = threshold_table(rows, keys)
+    t = threshold_table(rows, keys, totals=True)
     return t.select(
         *keys,
         F.col("score").alias("threshold"),
@@ -166,35 +162,49 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
 
 
-def poisson_weight(count: Column, *parts: Column, exact_up_to: int = 20) -> Column:
-    """Poisson(count) resampling weight: summed unit draws for small counts, normal beyond."""
-    # Distribution function of Poisson(1).
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-             0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402]
+def poisson_quantile():
+    """Vectorised function of (u, mean): the smallest k with P(Poisson(mean) <= k) >= u. Made on
+    demand, so that it travels to the workers by value and importing needs no session."""
+
+    @F.pandas_udf("double")
+    def quantile(u: pd.Series, mean: pd.Series) -> pd.Series:
+        x, m = u.to_numpy(dtype=float), mean.to_numpy(dtype=float)
+        k = np.zeros(len(x))
+        term = np.exp(-m)
+        total = term.copy()
+        open_ = total < x
+        while open_.any():
+            k[open_] += 1
+            term[open_] *= m[open_] / k[open_]
+            total[open_] += term[open_]
+            open_ &= (total < x) & (term > 1e-300)
+        return pd.Series(k)
+
+    return quantile
 
-    def unit(i: Column) -> Column:
-        u = _uniform(*parts, i)
-        return sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
 
-    small = F.aggregate(F.sequence(F.lit(1), F.least(count, F.lit(exact_up_to)).cast("int")), F.lit(0), lambda a, i: a + unit(i))
-    big = F.greatest(F.round(count + F.sqrt(count) * inverse_normal(_uniform(*parts, F.lit(-1)))), F.lit(0.0))
-    return F.when(count <= 0, 0.0).when(count <= exact_up_to, small.cast("double")).otherwise(big)
+def poisson_weight(count: Column, *parts: Column, exact_up_to: int = 100) -> Column:
+    """Poisson(count) resampling weight from hashed parts; normal approximation for large counts."""
+    u = _uniform(*parts)
+    exact = poisson_quantile()(u, F.least(count.cast("double"), F.lit(float(exact_up_to))))
+    big = F.greatest(F.round(count + F.sqrt(count) * inverse_normal(u)), F.lit(0.0))
+    return F.when(count <= 0, 0.0).when(count <= exact_up_to, exact).otherwise(big)
 
 
-def bootstrap_tables(rows: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+def bootstrap_tables(rows: DataFrame, keys: list[str], replicates: int, seed: int, totals: bool = False) -> DataFrame:
     """Threshold tables of resampled data, keyed by ``replicate`` too.
 
-    Counts per score are resampled, not rows: equal scores share one draw of their total.
+    Counts per score are resampled, not rows: equal scores share one draw of their total. The
+    drawn counts are cut from their lineage, because the tables read them more than once.
     """
-    counts = rows.groupBy(*keys, "score").agg(
-        F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg")
-    )
+    counts = rows.groupBy(*keys, "score", F.col("label").alias("y")).agg(F.count("*").alias("c"))
     rep = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    tags = [F.col(k) for k in keys] + [F.col("score"), F.col("replicate"), F.lit(seed)]
-    drawn = rep.withColumns(
-        {"pos": poisson_weight(F.col("pos"), *tags, F.lit("p")), "neg": poisson_weight(F.col("neg"), *tags, F.lit("n"))}
-    ).filter(F.col("pos") + F.col("neg") > 0)
-    return cumulate(drawn, [*keys, "replicate"])
+    tags = [F.col(k) for k in keys] + [F.col("score"), F.col("y"), F.col("replicate"), F.lit(seed)]
+    drawn = rep.withColumn("w", poisson_weight(F.col("c"), *tags)).filter(F.col("w") > 0)
+    sums = drawn.groupBy(*keys, "replicate", "score").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("neg")
+    )
+    return cumulate(cut_lineage(sums), [*keys, "replicate"], totals)
 
 
 def bootstrap_interval(values: DataFrame, keys: list[str], value: str, alpha: float = 0.95) -> DataFrame:
@@ -209,7 +219,7 @@ def average_precision_ci(rows: DataFrame, keys: list[str], replicates: int = 100
     """Average precision with its bootstrap interval; one-class replicates are left out."""
     point = threshold_table(rows, keys).groupBy(*keys).agg(average_precision_column().alias("auprc"))
     reps = bootstrap_tables(rows, keys, replicates, seed).groupBy(*keys, "replicate").agg(
-        F.when(F.max("n_neg") > 0, average_precision_column()).alias("v")
+        F.when(F.sum("neg") > 0, average_precision_column()).alias("v")
     )
     return point.join(bootstrap_interval(reps, keys, "v"), keys, "left")
 
@@ -218,17 +228,10 @@ def average_precision_ci(rows: DataFrame, keys: list[str], replicates: int = 100
 
 
 def score_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """1-based rank by falling score within the keys (ties by pid), and the group size."""
-    span = rows.groupBy(*keys).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.count("*").alias("__n"))
-    both = rows.join(span, keys)
-    out = sliced_scan(
-        both,
-        keys,
-        ["score", "pid"],
-        value_slice(F.col("score"), F.col("__lo"), F.col("__hi")),
-        [Scan("__up", "sum", F.lit(1).cast("long"))],
-    )
-    return out.withColumn("rank", F.col("__n") - F.col("__up") + 1).drop("__lo", "__hi", "__up")
+    """1-based rank by falling score within the keys (ties by pid), and the group size ``__n``."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    one = Scan("rank", "sum", F.lit(1).cast("long"), reverse=True)
+    return sliced_scan(rows, keys, ["score", "pid"], value_slice(F.col("score")), [one]).join(sizes, keys)
 
 
 def recall_at_top(rows: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
@@ -243,7 +246,7 @@ def recall_at_top(rows: DataFrame, keys: list[str], percents: list[int]) -> Data
 def recall_at_top_ci(rows: DataFrame, keys: list[str], percents: list[int], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Bootstrap interval of the recall in the top p percent, from resampled threshold tables.
     The score group that crosses the cut adds its positives in proportion."""
-    t = bootstrap_tables(rows, keys, replicates, seed).withColumn("percent", F.explode(F.lit(percents)))
+    t = bootstrap_tables(rows, keys, replicates, seed, totals=True).withColumn("percent", F.explode(F.lit(percents)))
     n = F.col("n_pos") + F.col("n_neg")
     room = F.greatest(F.lit(1.0), F.ceil(n * F.col("percent") / 100)) - (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), room / (F.col("pos") + F.col("neg"))))
@@ -254,7 +257,7 @@ def recall_at_top_ci(rows: DataFrame, keys: list[str], percents: list[int], repl
 def best_fbeta(rows: DataFrame, keys: list[str], beta: float = 1.0) -> DataFrame:
     """Threshold with the largest F-beta (the smallest one on ties)."""
     b2 = beta * beta
-    t = threshold_table(rows, keys)
+    t = threshold_table(rows, keys, totals=True)
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("n_pos")
     denom = b2 * precision + recall
     f = F.when(denom > 0, (1 + b2) * precision * recall / denom).otherwise(0.0)
@@ -371,26 +374,32 @@ def survival_from_hazard(cells: DataFrame, hazard: str = "hazard") -> DataFrame:
     return cells.withColumn("survival", F.exp(F.sum(F.log1p(-F.col(hazard))).over(w)))
 
 
-def concordance(subjects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def concordance(subjects: DataFrame) -> DataFrame:
     """Concordance index: over pairs where one had the event before the other's time, the share
     with the higher risk first, ties half; 0.5 when there is no pair.
 
     ``subjects(time, event, risk)`` with discrete times. Subjects are counted by (time, event, risk);
     every count is laid on the event steps before its time, and each step is one rank statistic.
     """
-    keys = keys or []
-    counted = subjects.groupBy(*keys, "time", "event", "risk").agg(F.count("*").cast("double").alias("c"))
+    counted = subjects.groupBy("time", "event", "risk").agg(F.count("*").cast("double").alias("c"))
+    return _concordance(counted, []).drop("__k")
+
+
+def _concordance(counted: DataFrame, keys: list[str]) -> DataFrame:
+    keys = keys or ["__k"]
+    if keys == ["__k"]:
+        counted = counted.withColumn("__k", F.lit(1))
     events = counted.filter(F.col("event") == 1)
+    # the discrete event times of a key are bounded by the grid
     steps = events.groupBy(*keys).agg(F.array_sort(F.collect_set("time")).alias("__steps"))
-    everyone = counted.groupBy(*keys, "time", "risk").agg(F.sum("c").alias("c"))
-    at_risk = (everyone.join(steps, keys) if keys else everyone.withColumn("__k", F.lit(1)).join(F.broadcast(steps.withColumn("__k", F.lit(1))), "__k").drop("__k"))
-    at_risk = at_risk.select(*keys, F.explode(F.filter("__steps", lambda s: s < F.col("time"))).alias("at"), "risk", F.lit(0.0).alias("pos"), F.col("c").alias("neg"))
-    cases = events.select(*keys, F.col("time").alias("at"), "risk", F.col("c").alias("pos"), F.lit(0.0).alias("neg"))
-    both = cases.unionByName(at_risk).groupBy(*keys, "at", F.col("risk").alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    t = cumulate(both, [*keys, "at"])
-    below = F.col("n_neg") - F.col("fp")
-    per_step = t.groupBy(*keys, "at").agg(
-        F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("wins"), F.max(F.col("n_pos") * F.col("n_neg")).alias("pairs")
+    everyone = counted.groupBy(*keys, "time", "risk").agg(F.sum("c").alias("c")).join(steps, keys)
+    later = everyone.select(
+        *keys, F.explode(F.filter("__steps", lambda s: s < F.col("time"))).alias("eval_step"), "risk", F.lit(0.0).alias("pos"), F.col("c").alias("neg")
+    )
+    cases = events.select(*keys, F.col("time").alias("eval_step"), "risk", F.col("c").alias("pos"), F.lit(0.0).alias("neg"))
+    both = cases.unionByName(later).groupBy(*keys, "eval_step", F.col("risk").alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    per_step = cumulate(both, [*keys, "eval_step"]).groupBy(*keys, "eval_step").agg(
+        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("wins"), (F.sum("pos") * F.sum("neg")).alias("pairs")
     )
     total = F.sum("pairs")
     return per_step.groupBy(*keys).agg(F.when(total > 0, F.sum("wins") / total).otherwise(0.5).alias("cindex"), total.cast("long").alias("n_pairs"))
@@ -402,21 +411,20 @@ def concordance_ci(subjects: DataFrame, replicates: int = 1000, seed: int = 42)
     rep = counted.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     tags = [F.col(c) for c in ("time", "event", "risk", "replicate")] + [F.lit(seed)]
     drawn = rep.withColumn("c", poisson_weight(F.col("c"), *tags)).filter(F.col("c") > 0)
-    rows = drawn.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
-    per = concordance(rows.select("replicate", "time", "event", "risk"), ["replicate"])
-    q = group_quantiles(per.withColumn("__k", F.lit(1)), ["__k"], "cindex", {"ci_lower": 0.025, "ci_upper": 0.975})
+    per = _concordance(cut_lineage(drawn), ["replicate"]).withColumn("__k", F.lit(1))
+    q = group_quantiles(per, ["__k"], "cindex", {"ci_lower": 0.025, "ci_upper": 0.975})
     return concordance(subjects).withColumn("__k", F.lit(1)).join(q, "__k").drop("__k")
 
 
 def time_dependent_auc(subjects: DataFrame, times: list[int], min_n: int = 10) -> DataFrame:
     """AUROC of "event by t" at each time, without subjects censored before it; 0.5 when there are
     too few or only one class. ``subjects(time, event, risk)``."""
-    rows = subjects.withColumn("at", F.explode(F.lit(times)))
-    rows = rows.filter((F.col("event") == 1) | (F.col("time") > F.col("at")))
-    label = ((F.col("time") <= F.col("at")) & (F.col("event") == 1)).cast("int")
-    out = discrimination(rows.select("at", F.col("risk").alias("score"), label.alias("label")), ["at"])
+    rows = subjects.withColumn("eval_step", F.explode(F.lit(times)))
+    rows = rows.filter((F.col("event") == 1) | (F.col("time") > F.col("eval_step")))
+    label = ((F.col("time") <= F.col("eval_step")) & (F.col("event") == 1)).cast("int")
+    out = discrimination(rows.select("eval_step", F.col("risk").alias("score"), label.alias("label")), ["eval_step"])
     auc = F.when((F.col("n_samples") >= min_n) & F.col("auroc").isNotNull(), F.col("auroc")).otherwise(0.5)
-    return out.select("at", auc.alias("auc"), F.col("n_samples").alias("n"))
+    return out.select("eval_step", auc.alias("auc"), F.col("n_samples").alias("n"))
 
 
 def censoring_survival(subjects: DataFrame) -> DataFrame:
@@ -441,18 +449,18 @@ def survival_brier(subjects: DataFrame, survival: DataFrame, times: list[int]) -
     ``subjects(pid, time, event)``, ``survival(pid, step, survival)``.
     """
     g = censoring_survival(subjects)
-    rows = subjects.join(g.select("time", F.col("g").alias("g_own")), "time").withColumn("at", F.explode(F.lit(times)))
+    rows = subjects.join(g.select("time", F.col("g").alias("g_own")), "time").withColumn("eval_step", F.explode(F.lit(times)))
     # G at the evaluation time: the last value at or before it, over the few discrete times
     steps = g.groupBy().agg(F.array_sort(F.collect_list(F.struct("time", "g"))).alias("__g")).withColumn("__k", F.lit(1))
     rows = rows.withColumn("__k", F.lit(1)).join(F.broadcast(steps), "__k")
-    past = F.filter("__g", lambda s: s["time"] <= F.col("at"))
+    past = F.filter("__g", lambda s: s["time"] <= F.col("eval_step"))
     rows = rows.withColumn("g_at", F.coalesce(F.try_element_at(past, F.lit(-1))["g"], F.lit(1.0))).drop("__g", "__k")
-    rows = rows.join(survival.select("pid", F.col("step").alias("at"), "survival"), ["pid", "at"])
-    case = (F.col("time") <= F.col("at")) & (F.col("event") == 1)
-    control = F.col("time") > F.col("at")
+    rows = rows.join(survival.select("pid", F.col("step").alias("eval_step"), "survival"), ["pid", "eval_step"])
+    case = (F.col("time") <= F.col("eval_step")) & (F.col("event") == 1)
+    control = F.col("time") > F.col("eval_step")
     s = F.col("survival")
     loss = F.when(case & (F.col("g_own") > 0), s * s / F.col("g_own")).when(control & (F.col("g_at") > 0), (1 - s) * (1 - s) / F.col("g_at")).otherwise(0.0)
-    return rows.groupBy("at").agg(F.avg(loss).alias("brier"))
+    return rows.groupBy("eval_step").agg(F.avg(loss).alias("brier"))
 
 
 def d_calibration(subjects: DataFrame, at: int, n_bins: int = 10, min_n: int = 5) -> DataFrame:
@@ -471,13 +479,12 @@ def d_calibration(subjects: DataFrame, at: int, n_bins: int = 10, min_n: int = 5
 
 def placements(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Placement value per distinct score: share of the other class it beats, ties half."""
-    t = threshold_table(rows.select(*keys, F.col(score).alias("score"), "label"), keys)
-    below_neg = F.col("n_neg") - F.col("fp")
+    t = threshold_table(rows.select(*keys, F.col(score).alias("score"), "label"), keys, totals=True)
     above_pos = F.col("tp") - F.col("pos")
     return t.select(
         *keys,
         F.col("score").alias(score),
-        ((below_neg + F.col("neg") / 2) / F.col("n_neg")).alias(f"__p_{score}"),
+        ((F.col("neg_below") + F.col("neg") / 2) / F.col("n_neg")).alias(f"__p_{score}"),
         ((above_pos + F.col("pos") / 2) / F.col("n_pos")).alias(f"__q_{score}"),
     )
 
@@ -546,7 +553,8 @@ def compare_scores(
     keys = ["name", "step"]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("label").alias("__a"), F.max("label").alias("__b"))
     fit = sizes.filter((F.col("__n") >= min_n) & (F.col("__a") != F.col("__b")))
-    rows = rows.join(fit.select(*keys), keys, "left_semi")
+    # read six times below: written once to shared storage instead of recomputed
+    rows = cut_lineage(rows.join(fit.select(*keys), keys, "left_semi"))
 
     def side(column, tag):
         d = discrimination(rows.select(*keys, F.col(column).alias("score"), "label"), keys)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import clip
 from tidemark.functions.numeric import inverse_normal, yeo_johnson
 from tidemark.operators.quantiles import group_quantiles, quantile_table
+from tidemark.session import cut_lineage
 
 # Shape thresholds of the adaptive choice.
 SKEW_NORMAL, SKEW_MODERATE = 0.5, 2.0
@@ -167,10 +168,10 @@ def apply_quantile(rows: DataFrame, fitted: DataFrame, output: str = "normal", b
 def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: float = 5.0, points: int = 9, rounds: int = 6) -> DataFrame:
     """Yeo-Johnson lambda by maximum likelihood, with the mean and std of the transformed values.
 
-    Values are counted once and that shuffle is reused; every round scores ``points`` candidates
+    Values are counted once and written once; every round scores ``points`` candidates
     per channel in one aggregation with map-side combine and narrows the bracket around the best.
     """
-    counts = values.filter(F.col("value").isNotNull()).groupBy(by, "value").agg(F.count("*").cast("double").alias("w"))
+    counts = cut_lineage(values.filter(F.col("value").isNotNull()).groupBy(by, "value").agg(F.count("*").cast("double").alias("w")))
     bracket = counts.groupBy(by).agg(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
     x, w = F.col("value"), F.col("w")
     jacobian = F.signum(x) * F.log1p(F.abs(x))
@@ -220,6 +221,7 @@ def fit(values: DataFrame, method: str = "adaptive", n_quantiles: int = 1000, by
         few = F.count("value") < 3
         chosen = values.groupBy(by).agg(F.when(few, "standard").otherwise(method).alias("method"))
         methods = sorted({"standard", method})
+    values = cut_lineage(values.select(by, "value")) if len(methods) > 2 else values
     out = None
     for name in methods:
         mine = chosen.filter(F.col("method") == name)

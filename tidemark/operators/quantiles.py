@@ -16,10 +16,8 @@ from tidemark.operators.sliced import Scan, sliced_scan, value_slice
 def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with their rank range: ``keys, value, n, total, first_rank, last_rank`` (0-based)."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    span = counts.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("total"))
-    both = counts.join(span, keys)
-    slices = value_slice(F.col(value), F.col("__lo"), F.col("__hi"))
-    out = sliced_scan(both, keys, [value], slices, [Scan("__cum", "sum", F.col("n"))])
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    out = sliced_scan(counts, keys, [value], value_slice(F.col(value)), [Scan("__cum", "sum", F.col("n"))]).join(totals, keys)
     return out.select(
         *keys, value, "n", "total", (F.col("__cum") - F.col("n")).alias("first_rank"), (F.col("__cum") - 1).alias("last_rank")
     )

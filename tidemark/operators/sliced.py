@@ -25,13 +25,10 @@ def time_slice(ts: Column, width: str = "1 day") -> Column:
     return F.floor(micros(ts) / F.lit(us))
 
 
-def value_slice(value: Column, lo: Column, hi: Column, n: int = 1024) -> list[Column]:
-    """Monotone slices of a number: equal-width buckets, refined by magnitude for heavy tails."""
-    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    linear = F.floor((value - lo) / span * F.lit(float(n)))
-    shifted = (value - lo) / span
-    magnitude = F.floor(F.when(shifted > 0, F.log2(shifted)).otherwise(F.lit(-1100.0)) * 32)
-    return [linear, magnitude]
+def value_slice(value: Column, per_unit: int = 1024) -> list[Column]:
+    """Monotone slice of a number: about linear near zero, logarithmic further out, so scores in
+    [0, 1] get many slices and large amounts a bounded number."""
+    return [F.floor(F.asinh(value) * per_unit)]
 
 
 @dataclass(frozen=True)
@@ -78,6 +75,7 @@ def sliced_scan(
 
     ``order`` must be a total order within the key and its first column must rise with the
     slices. Rows with a NULL slice are kept together in a slice of their own, first in order.
+    Keys are entity ids and must not be NULL.
     """
     names = [f"__slice{i}" for i in range(len(slices))]
     df = df.withColumns({n: F.coalesce(s.cast("long"), F.lit(-(2**62))) for n, s in zip(names, slices)})
@@ -101,16 +99,14 @@ def sliced_scan(
         )
 
     summary = df.groupBy(*keys, *names).agg(*folds)
-    carry = summary.withColumns(carries).drop(*[f"__f_{s.name}" for s in scans])
-    carry = carry.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[F.col(n).alias(f"__s_{n}") for n in names],
-        *carries.keys(),
+    carry = summary.withColumns(carries).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(n).alias(f"__s_{n}") for n in names], *carries.keys()
     )
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col(n) == F.col(f"__s_{n}") for n in names]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+    for n in names:
+        cond = cond & (F.col(n) == F.col(f"__s_{n}"))
     joined = df.withColumns(local).join(carry, cond, "left")
     joined = joined.withColumns({s.name: _merge(s.kind, F.col(f"__l_{s.name}"), F.col(f"__c_{s.name}")) for s in scans})
     drop = [*local, *carries, *names, *[f"__k_{k}" for k in keys], *[f"__s_{n}" for n in names]]
@@ -146,3 +142,39 @@ def neighbour(df, keys, order, columns: dict[str, str], ahead: bool = False, wid
         [Scan("__row", "last", row, inclusive=False, reverse=ahead)],
     )
     return out.withColumns({new: F.col("__row").getField(new) for new in columns}).drop("__row")
+
+
+def numbered_runs(df, keys, order, previous: dict[str, str], starts_new, name: str, width="1 day") -> DataFrame:
+    """Running number of groups, where ``starts_new()`` tells from the previous row's columns
+    whether a row opens a group (no previous row: they are NULL).
+
+    One pass instead of a lag followed by a running sum: inside a slice only its first row needs
+    the row before it, and that one is the last row of an earlier slice.
+    """
+    row = F.struct(*[F.col(src).alias(new) for new, src in previous.items()])
+    position = F.struct(*[F.col(c) for c in order])
+    df = df.withColumn("__slice", time_slice(F.col(order[0]), width).cast("long"))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    local = df.withColumn("__prev", F.lag(row).over(inside))
+    local = local.withColumns({new: F.col("__prev").getField(new) for new in previous})
+    # the first row of a slice is settled on the slice level
+    opens = F.when(F.col("__prev").isNotNull(), starts_new().cast("long")).otherwise(F.lit(0))
+    local = local.withColumn("__open", F.coalesce(opens, F.lit(0))).drop("__prev", *previous)
+
+    first_row = [F.min_by(F.col(c), position).alias(c) for c in df.columns if c not in (*keys, "__slice")]
+    slices = local.groupBy(*keys, "__slice").agg(F.sum("__open").alias("__n"), F.max_by(row, position).alias("__last"), *first_row)
+    across = Window.partitionBy(*keys).orderBy("__slice")
+    slices = slices.withColumn("__before", F.lag("__last").over(across))
+    slices = slices.withColumns({new: F.col("__before").getField(new) for new in previous})
+    slices = slices.withColumn("__first", F.coalesce(starts_new().cast("long"), F.lit(0)))
+    total = F.sum(F.col("__n") + F.col("__first")).over(across.rowsBetween(Window.unboundedPreceding, 0))
+    slices = slices.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__s"), (total - F.col("__n")).alias("__base")
+    )
+    cond = F.col("__slice") == F.col("__s")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+    running = F.sum("__open").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    out = local.withColumn("__run", running).join(slices, cond, "left")
+    out = out.withColumn(name, F.coalesce("__base", F.lit(0)) + F.col("__run"))
+    return out.drop("__slice", "__open", "__run", "__s", "__base", *[f"__k_{k}" for k in keys])

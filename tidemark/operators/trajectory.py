@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timegrid import DEFAULT_GRID, Grid, from_micros, micros
-from tidemark.operators.sliced import Scan, neighbour, running_sum, sliced_scan, time_slice
+from tidemark.operators.sliced import Scan, neighbour, numbered_runs, running_sum, sliced_scan, time_slice
 
 HOUR = 3_600_000_000
 
@@ -29,14 +29,15 @@ def mark_islands(
     A missing end keeps the island open.
     """
     order = list(order)
-    if running_max:
-        out = sliced_scan(
-            stays, [key], order, [time_slice(F.col(order[0]))], [Scan("__prev", "max", F.col("end_ts"), inclusive=False)]
-        )
-    else:
-        out = neighbour(stays, [key], order, {"__prev": "end_ts"})
-    gap = micros(F.col("start_ts")) - micros(F.col("__prev"))
-    out = out.withColumn("__new", F.when(gap >= F.lit(int(gap_hours * HOUR)), 1).otherwise(0).cast("long")).drop("__prev")
+
+    def late() -> Column:
+        return micros(F.col("start_ts")) - micros(F.col("__prev_end")) >= F.lit(int(gap_hours * HOUR))
+
+    if not running_max:
+        return numbered_runs(stays, [key], order, {"__prev_end": "end_ts"}, late, "island")
+    seen = Scan("__prev_end", "max", F.col("end_ts"), inclusive=False)
+    out = sliced_scan(stays, [key], order, [time_slice(F.col(order[0]))], [seen])
+    out = out.withColumn("__new", F.when(late(), 1).otherwise(0).cast("long")).drop("__prev_end")
     return running_sum(out, [key], order, F.col("__new"), "island").drop("__new")
 
 
@@ -85,10 +86,12 @@ def next_start_as_end(points: DataFrame, key: str = "pid") -> DataFrame:
 def merge_adjacent(stays: DataFrame, key: str = "pid", state: str = "feature") -> DataFrame:
     """Merge touching stays in the same state (end = next start); empty stays go first."""
     alive = stays.filter(F.col("end_ts") > F.col("ts"))
-    out = neighbour(alive, [key], ["ts", "event_id"], {"__pe": "end_ts", "__ps": state})
-    joined = (F.col("__pe") == F.col("ts")) & (F.col("__ps") == F.col(state))
-    out = out.withColumn("__new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1).cast("long"))
-    out = running_sum(out.drop("__pe", "__ps"), [key], ["ts", "event_id"], F.col("__new"), "run")
+
+    def fresh() -> Column:
+        same = (F.col("__pe") == F.col("ts")) & (F.col("__ps") == F.col(state))
+        return ~F.coalesce(same, F.lit(False))
+
+    out = numbered_runs(alive, [key], ["ts", "event_id"], {"__pe": "end_ts", "__ps": state}, fresh, "run")
     return out.groupBy(key, "run", state).agg(
         F.min("ts").alias("ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n_merged")
     )

@@ -63,16 +63,16 @@ def auc_sql(src, keys, score="score"):
 
 def ap_sql(src, keys, score="score"):
     k = ", ".join(keys)
-    return f"""(SELECT {k}, sum(pos * tp / (tp + fp)) / any_value(np) AS auprc FROM (SELECT {k}, {score}, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {k}) AS np
+    return f"""(SELECT {k}, sum(pos * tp / (tp + fp)) / nullif(any_value(np), 0) AS auprc FROM (SELECT {k}, {score}, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {k}) AS np
       FROM (SELECT {k}, {score}, sum(label) AS pos, sum(1 - label) AS neg FROM {src} GROUP BY ALL) WINDOW w AS (PARTITION BY {k} ORDER BY {score} DESC ROWS UNBOUNDED PRECEDING)) GROUP BY ALL)"""
 
 
-CI = """round(greatest(auroc - 1.959963984540054 * sqrt((auroc / (2 - auroc) - auroc * auroc) / (n - p) + (2 * auroc * auroc / (1 + auroc) - auroc * auroc) / p), 0), 6) AS auroc_ci_lower,
-      round(least(auroc + 1.959963984540054 * sqrt((auroc / (2 - auroc) - auroc * auroc) / (n - p) + (2 * auroc * auroc / (1 + auroc) - auroc * auroc) / p), 1), 6) AS auroc_ci_upper"""
+CI = """round(CASE WHEN auroc IS NOT NULL THEN greatest(auroc - 1.959963984540054 * sqrt((auroc / (2 - auroc) - auroc * auroc) / (n - p) + (2 * auroc * auroc / (1 + auroc) - auroc * auroc) / p), 0) END, 6) AS auroc_ci_lower,
+      round(CASE WHEN auroc IS NOT NULL THEN least(auroc + 1.959963984540054 * sqrt((auroc / (2 - auroc) - auroc * auroc) / (n - p) + (2 * auroc * auroc / (1 + auroc) - auroc * auroc) / p), 1) END, 6) AS auroc_ci_upper"""
 MODES = """rm AS MATERIALIZED (SELECT *, 'full' AS mode FROM rw UNION ALL SELECT *, 'active' FROM rw WHERE traj_len > step)"""
 STEP_HOURS = "CASE step WHEN 0 THEN 10 WHEN 5 THEN 60 WHEN 20 THEN 210 WHEN 40 THEN 460 WHEN 66 THEN 1680 WHEN 80 THEN 6480 WHEN 100 THEN 21600 WHEN 115 THEN 43200 END / 60.0::DOUBLE"
 METRICS = f"""{EVAL}, {MODES}, sz AS (SELECT mode, step, count(*) AS n, sum(label) AS p FROM rm GROUP BY 1, 2),
-    mt AS (SELECT mode, step, auroc, auprc, n, p, {STEP_HOURS} AS time_hours, {CI} FROM {auc_sql("rm", ["mode", "step"])} JOIN {ap_sql("rm", ["mode", "step"])} USING (mode, step) JOIN sz USING (mode, step))"""
+    mt AS (SELECT mode, step, auroc, auprc, n, p, {STEP_HOURS} AS time_hours, {CI} FROM sz LEFT JOIN {auc_sql("rm", ["mode", "step"])} USING (mode, step) LEFT JOIN {ap_sql("rm", ["mode", "step"])} USING (mode, step))"""
 
 
 @query(
@@ -230,9 +230,9 @@ def i14_ci(t):
 
 @query(
     "i15_time_dependent_auc",
-    f"""WITH {SUBJ}, x AS (SELECT *, unnest([0, 20, 60, 90]) AS at FROM su), y AS (SELECT at, risk AS score, CAST(time <= at AND event = 1 AS INT) AS label FROM x WHERE event = 1 OR time > at),
-    n AS (SELECT at, count(*) AS n FROM y GROUP BY 1)
-    SELECT CAST(n.at AS INT) AS at, round(CASE WHEN n.n >= 10 AND auroc IS NOT NULL THEN auroc ELSE 0.5 END, 6) AS auc, n.n FROM n LEFT JOIN {auc_sql("y", ["at"])} USING (at)""",
+    f"""WITH {SUBJ}, x AS (SELECT *, unnest([0, 20, 60, 90]) AS eval_step FROM su), y AS (SELECT eval_step, risk AS score, CAST(time <= eval_step AND event = 1 AS INT) AS label FROM x WHERE event = 1 OR time > eval_step),
+    n AS (SELECT eval_step, count(*) AS n FROM y GROUP BY 1)
+    SELECT CAST(n.eval_step AS INT) AS eval_step, round(CASE WHEN n.n >= 10 AND auroc IS NOT NULL THEN auroc ELSE 0.5 END, 6) AS auc, n.n FROM n LEFT JOIN {auc_sql("y", ["eval_step"])} USING (eval_step)""",
 )
 def i15(t):
     return rounded(ev.time_dependent_auc(subjects(t), [0, 20, 60, 90]))
@@ -242,8 +242,8 @@ def i15(t):
     "i16_survival_brier",
     f"""WITH {SUBJ}, b AS (SELECT time, count(*) AS n, sum(event) AS d, sum(1 - event) AS c FROM su GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS rs FROM b),
     g AS (SELECT time, product(CASE WHEN rs - d > 0 THEN 1 - c / (rs - d) ELSE 1 END) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING) AS g FROM r),
-    x AS (SELECT su.*, unnest([20, 60, 90]) AS at FROM su), j AS (SELECT x.*, g.g AS go, coalesce((SELECT max_by(g2.g, g2.time) FROM g g2 WHERE g2.time <= x.at), 1) AS ga, survival AS s FROM x JOIN g ON g.time = x.time JOIN sv ON sv.pid = x.pid AND sv.step = x.at)
-    SELECT CAST(at AS INT) AS at, round(avg(CASE WHEN time <= at AND event = 1 AND go > 0 THEN s * s / go WHEN time > at AND ga > 0 THEN (1 - s) * (1 - s) / ga ELSE 0 END), 6) AS brier FROM j GROUP BY 1""",
+    x AS (SELECT su.*, unnest([20, 60, 90]) AS eval_step FROM su), j AS (SELECT x.*, g.g AS go, coalesce((SELECT max_by(g2.g, g2.time) FROM g g2 WHERE g2.time <= x.eval_step), 1) AS ga, survival AS s FROM x JOIN g ON g.time = x.time JOIN sv ON sv.pid = x.pid AND sv.step = x.eval_step)
+    SELECT CAST(eval_step AS INT) AS eval_step, round(avg(CASE WHEN time <= eval_step AND event = 1 AND go > 0 THEN s * s / go WHEN time > eval_step AND ga > 0 THEN (1 - s) * (1 - s) / ga ELSE 0 END), 6) AS brier FROM j GROUP BY 1""",
 )
 def i16(t):
     return rounded(ev.survival_brier(subjects(t).drop("risk"), survival_curves(t, [20, 60, 90]), [20, 60, 90]))
@@ -340,7 +340,7 @@ def i21(t):
 @query(
     "i22_report_table",
     f"""WITH {METRICS}, k(h, time) AS (VALUES (1.0::DOUBLE, '1 h'), (3, '3 h'), (6, '6 h'), (12, '12 h'), (24, '24 h'), (48, '48 h'), (72, '72 h'), (168, '7 days'), (336, '14 days'), (720, '30 days'), (1440, '60 days'), (2160, '90 days')),
-    nr AS (SELECT h, time, mode, arg_min(printf('%.3f [%.3f–%.3f]', auroc, auroc_ci_lower, auroc_ci_upper), (abs(time_hours - h), step)) AS txt, arg_min(n, (abs(time_hours - h), step)) AS n FROM k JOIN mt ON abs(time_hours - h) <= 1.5 GROUP BY 1, 2, 3)
+    nr AS (SELECT h, time, mode, arg_min(printf('%.3f [%.3f–%.3f]', auroc, auroc_ci_lower, auroc_ci_upper), (abs(time_hours - h), step)) AS txt, arg_min(n, (abs(time_hours - h), step)) AS n FROM k JOIN mt ON abs(time_hours - h) <= 1.5 AND auroc IS NOT NULL GROUP BY 1, 2, 3)
     SELECT h AS hours, time, coalesce(max(txt) FILTER (mode = 'full'), '—') AS auroc_full, coalesce(max(txt) FILTER (mode = 'active'), '—') AS auroc_active, max(n) FILTER (mode = 'full') AS n_full, max(n) FILTER (mode = 'active') AS n_active FROM nr GROUP BY 1, 2""",
 )
 def i22(t):
@@ -437,7 +437,7 @@ VIT = f"""vv AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 19 <> 0 THEN (
       (o_custkey % 76)::DOUBLE AS sev, CASE WHEN o_orderkey % 23 <> 0 THEN (o_orderkey % 95)::INT END AS age, {sql_one_of(MECH, "o_orderkey")} AS mech FROM orders),
     cd AS (SELECT *, CASE WHEN gcs >= 13 THEN 4 WHEN gcs >= 9 THEN 3 WHEN gcs >= 6 THEN 2 WHEN gcs >= 4 THEN 1 ELSE 0 END AS g, CASE WHEN sbp > 89 THEN 4 WHEN sbp >= 76 THEN 3 WHEN sbp >= 50 THEN 2 WHEN sbp >= 1 THEN 1 ELSE 0 END AS s,
       CASE WHEN rr BETWEEN 10 AND 29 THEN 4 WHEN rr >= 30 THEN 3 WHEN rr >= 6 THEN 2 WHEN rr >= 1 THEN 1 ELSE 0 END AS r FROM vv),
-    rt AS (SELECT *, CASE WHEN gcs IS NOT NULL THEN 0.9368 * g + 0.7326 * s + 0.2908 * r END AS rts, CASE WHEN gcs IS NOT NULL THEN CAST(g + s + r AS DOUBLE) END AS plain FROM cd),
+    rt AS (SELECT *, CASE WHEN gcs IS NOT NULL THEN CAST(0.9368 * g + 0.7326 * s + 0.2908 * r AS DOUBLE) END AS rts, CASE WHEN gcs IS NOT NULL THEN CAST(g + s + r AS DOUBLE) END AS plain FROM cd),
     ts AS (SELECT *, CASE WHEN lower(mech) IN ('blunt', 'b', 'blunt_tr') THEN -0.4499 + 0.8085 * rts - 0.0835 * sev - 1.743 * CAST(age >= 55 AS INT)
       WHEN lower(mech) IN ('penetrating', 'p', 'pen') THEN -2.5355 + 0.9934 * rts - 0.0651 * sev - 1.136 * CAST(age >= 55 AS INT) END AS b FROM rt)"""
 
@@ -509,7 +509,7 @@ def scored(t):
 
 @query(
     "n4_score_table",
-    f"{with_('ev')}, {FIRST} SELECT pid, mechanism, severity, round(rts, 6) AS physiology, round(death, 6) AS death_prob FROM z",
+    f"{with_('ev')}, {FIRST} SELECT pid, mechanism, severity, round(CAST(rts AS DOUBLE), 6) AS physiology, round(death, 6) AS death_prob FROM z",
 )
 def n4(t):
     return rounded(scored(t).select("pid", "mechanism", "severity", "physiology", "death_prob"))
@@ -526,7 +526,7 @@ def n4_coverage(t):
 
 # ---- attribution -------------------------------------------------------------------------
 
-ATTR = """at AS MATERIALIZED (SELECT vec_id AS pid, label % 4 AS timeframe, CAST((p - 1) % 16 AS INT) AS channel, CAST((p - 1) // 16 AS INT) AS step, CAST(embedding[p] AS DOUBLE) AS value FROM embeddings, UNNEST(range(1, 65)) u(p))"""
+ATTR = """atr AS MATERIALIZED (SELECT vec_id AS pid, label % 4 AS timeframe, CAST((p - 1) % 16 AS INT) AS channel, CAST((p - 1) // 16 AS INT) AS step, CAST(embedding[p] AS DOUBLE) AS value FROM embeddings, UNNEST(range(1, 65)) u(p))"""
 
 
 def attribution(t):
@@ -535,7 +535,7 @@ def attribution(t):
 
 
 def imp_sql(axis):
-    return f"SELECT timeframe, {axis}, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n_entities FROM (SELECT timeframe, pid, {axis}, avg(abs(value)) AS v FROM at GROUP BY 1, 2, 3) GROUP BY 1, 2"
+    return f"SELECT timeframe, {axis}, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n_entities FROM (SELECT timeframe, pid, {axis}, avg(abs(value)) AS v FROM atr GROUP BY 1, 2, 3) GROUP BY 1, 2"
 
 
 @query("o1_channel_importance", f"WITH {ATTR} SELECT timeframe, channel, round(mean, 6) AS mean, round(std, 6) AS std, n_entities FROM ({imp_sql('channel')})")
@@ -550,19 +550,19 @@ def o1_step(t):
 
 @query(
     "o1_category_importance",
-    f"""WITH {ATTR}, c AS (SELECT timeframe, pid, 'c' || channel // 4 AS category, avg(abs(value)) AS v FROM at GROUP BY 1, 2, 3) SELECT timeframe, category, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n_entities FROM c GROUP BY 1, 2""",
+    f"""WITH {ATTR}, c AS (SELECT timeframe, pid, 'c' || channel // 4 AS category, avg(abs(value)) AS v FROM atr GROUP BY 1, 2, 3) SELECT timeframe, category, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n_entities FROM c GROUP BY 1, 2""",
 )
 def o1_category(t):
     rows = attribution(t).withColumn("category", F.concat(F.lit("c"), F.floor(F.col("channel") / 4).cast("string")))
     return rounded(at.importance(rows, "category"))
 
 
-@query("o1_entity_counts", f"WITH {ATTR} SELECT timeframe, count(DISTINCT pid) AS n_entities FROM at GROUP BY 1")
+@query("o1_entity_counts", f"WITH {ATTR} SELECT timeframe, count(DISTINCT pid) AS n_entities FROM atr GROUP BY 1")
 def o1_counts(t):
     return at.entity_counts(attribution(t))
 
 
-SHARE = "SELECT {k}, avg(a) AS group_total, avg(b) AS rest_total FROM (SELECT {k}, pid, sum(abs(value)) FILTER (channel < 3) AS a, sum(abs(value)) FILTER (channel >= 3) AS b FROM at GROUP BY ALL) GROUP BY ALL"
+SHARE = "SELECT {k}, avg(a) AS group_total, avg(b) AS rest_total FROM (SELECT {k}, pid, sum(abs(value)) FILTER (channel < 3) AS a, sum(abs(value)) FILTER (channel >= 3) AS b FROM atr GROUP BY ALL) GROUP BY ALL"
 
 
 @query(
@@ -613,7 +613,7 @@ def o4_summary(t):
 
 @query(
     "o5_change_between",
-    f"""WITH {ATTR}, s AS (SELECT channel, coalesce(sum(abs(value)) FILTER (timeframe = 0), 0) AS "before", coalesce(sum(abs(value)) FILTER (timeframe = 1), 0) AS "after" FROM at WHERE timeframe IN (0, 1) GROUP BY 1)
+    f"""WITH {ATTR}, s AS (SELECT channel, coalesce(sum(abs(value)) FILTER (timeframe = 0), 0) AS "before", coalesce(sum(abs(value)) FILTER (timeframe = 1), 0) AS "after" FROM atr WHERE timeframe IN (0, 1) GROUP BY 1)
     SELECT channel, round("before", 5) AS "before", round("after", 5) AS "after", round("after" - "before", 5) AS change FROM s ORDER BY abs("after" - "before") DESC, channel LIMIT 10""",
 )
 def o5(t):
