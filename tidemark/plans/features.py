@@ -133,11 +133,18 @@ def e12(t):
     return ft.multi_hot(labels, ft.vocabulary(labels.filter(F.col("pid") % 3 != 0)))
 
 
-@query("e13_dense_tensor")
+@query(
+    "e13_dense_tensor",
+    f"""{with_("ev", "base", "seg", "grid", "mapped")}, a AS (SELECT pid, feature, step, avg(value) AS v FROM mapped GROUP BY 1, 2, 3)
+    SELECT s.pid, CAST(f.i AS INT) AS channel, grid.step, round(a.v, 6) AS value FROM (SELECT DISTINCT pid FROM mapped) s CROSS JOIN (SELECT f, i - 1 AS i FROM (SELECT unnest({sql_list(FEATURES)}) AS f, unnest(range(1, 6)) AS i)) f CROSS JOIN grid
+      LEFT JOIN a ON a.pid = s.pid AND a.feature = f.f AND a.step = grid.step""",
+)
 def e13(t):
-    """Channel x step nested array per user."""
+    """Channel x step nested array per user (shown as rows)."""
     cells = m.map_concept(t.ev, t.base, ["mean"]).withColumnRenamed("mean", "value")
-    return ft.dense_tensor(cells, FEATURES, N)
+    wide = ft.dense_tensor(cells, FEATURES, N)
+    rows = wide.select("pid", F.posexplode("tensor").alias("channel", "steps"))
+    return rounded(rows.select("pid", "channel", F.posexplode("steps").alias("step", "value")))
 
 
 @query(
