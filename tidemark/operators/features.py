@@ -9,6 +9,7 @@ from tidemark.functions.columns import to_number
 from tidemark.operators.joins import first_per_key, range_join
 from tidemark.operators.quantiles import group_quantiles
 from tidemark.operators.sliced import running_number
+from tidemark.operators.trajectory import number_distinct
 
 NUMERIC = ("first", "last", "min", "max", "mean", "std", "count", "median")
 
@@ -156,10 +157,9 @@ def category_codes(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
     out = df
     fit = fit_on if fit_on is not None else df
     for c in columns:
-        words = fit.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != "#na#")).select(c).distinct()
-        order = Window.partitionBy(F.lit(0)).orderBy(F.col(c).cast("string"))
-        codes = words.select(c, F.row_number().over(order).alias("__code"))
-        out = out.join(codes, c, "left").withColumn(c, F.coalesce("__code", F.lit(0))).drop("__code")
+        known = fit.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != "#na#"))
+        codes = number_distinct(known, [c], "__code")
+        out = out.join(codes, c, "left").withColumn(c, F.coalesce("__code", F.lit(0)).cast("int")).drop("__code")
     return out.select(*df.columns)
 
 
@@ -192,10 +192,10 @@ def numbered_codes(codes: DataFrame, base: DataFrame, offset_days: int = 1) -> D
     from tidemark.operators.joins import days_after, days_before
 
     rows = range_join(
-        codes, base, ["pid"], "ts", days_before(F.col("start_ts"), offset_days), days_after(F.col("end_ts"), offset_days)
+        codes, base, ["pid"], "ts", days_before(F.col("start_ts"), offset_days), days_after(F.col("end_ts"), offset_days), None
     )
     rows = rows.select("pid", "ts", "code", "event_id")
-    return running_number(rows, ["pid"], ["ts", "code", "event_id"], "position")
+    return running_number(rows, ["pid"], ["ts", "code", "event_id"], "position", width="30 day")
 
 
 def codes_to_columns(numbered: DataFrame, n: int, prefix: str = "code") -> DataFrame:
@@ -217,6 +217,7 @@ def score_times(scores: DataFrame, codes: DataFrame, base: DataFrame, offset_day
         "ts",
         days_before(F.col("start_ts"), offset_days),
         days_after(F.col("end_ts"), offset_days),
+        None,
     )
     latest = rows.groupBy("pid").agg(F.max("ts").alias("ts"))
     value = F.coalesce(*[F.col(c) for c in scores.columns if c != "pid"])

@@ -24,14 +24,19 @@ def range_join(
     ts: str,
     lo: Column,
     hi: Column,
-    bucket: str = "1 day",
+    bucket: str | None = "1 day",
 ) -> DataFrame:
     """Inner join of points to the intervals of the same keys that contain them, ``[lo, hi]``.
 
     Intervals are exploded to the time buckets they touch, points have one bucket, and the
     join runs on (keys, bucket). Each match is found exactly once, a hot key is spread over
-    its buckets, and only pairs near in time are compared.
+    its buckets, and only pairs near in time are compared. The bucket should be of the order of
+    the intervals. With ``bucket=None`` (keys with one interval each) it is a plain equi-join: no
+    point meets more than one interval, and AQE splits a hot key's points.
     """
+    if bucket is None:
+        one = intervals.withColumn("__lo", lo).withColumn("__hi", hi)
+        return points.join(one, keys).filter(F.col(ts).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     spread = (
         intervals.withColumn("__lo", lo)
         .withColumn("__hi", hi)
@@ -44,8 +49,9 @@ def range_join(
     return out.filter(F.col(ts).between(F.col("__lo"), F.col("__hi"))).drop("__b", "__lo", "__hi")
 
 
-def in_stay(events: DataFrame, base: DataFrame, offset_days: int = 1, key: str = "pid") -> DataFrame:
-    """Events within ``[start - d, end + d]`` days of a stay, distinct."""
+def in_stay(events: DataFrame, base: DataFrame, offset_days: int = 1, key: str = "pid", bucket: str | None = None) -> DataFrame:
+    """Events within ``[start - d, end + d]`` days of a stay, distinct. Give a ``bucket`` when a key
+    has several stays."""
     out = range_join(
         events,
         base,
@@ -53,6 +59,7 @@ def in_stay(events: DataFrame, base: DataFrame, offset_days: int = 1, key: str =
         "ts",
         days_before(F.col("start_ts"), offset_days),
         days_after(F.col("end_ts"), offset_days),
+        bucket,
     )
     return out.drop("start_ts", "end_ts").distinct()
 

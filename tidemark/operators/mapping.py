@@ -221,6 +221,22 @@ def scaffold(ids: DataFrame, features: list[str], key: str = "pid") -> DataFrame
     return ids.select(key).distinct().withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
 
 
+def spread_cells(series: DataFrame, cells: DataFrame, columns: list[str], n_steps: int) -> DataFrame:
+    """Every step of every series ``(pid, feature)``, with the cell's columns where there is one.
+
+    The cells of a series (at most one per grid step) are packed into a map and joined once per
+    series; the steps are exploded afterwards, so the dense rows are never shuffled and stay
+    partitioned by series for a window that follows.
+    """
+    entry = F.struct("step", F.struct(*columns).alias("c"))
+    packed = cells.groupBy("pid", "feature").agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
+    out = series.select("pid", "feature").join(packed, ["pid", "feature"], "left")
+    out = out.select("pid", "feature", "__m", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("step"))
+    cell = F.try_element_at("__m", F.col("step"))
+    out = out.withColumn("__c", cell).drop("__m")
+    return out.select("pid", "feature", "step", *[F.col("__c").getField(c).alias(c) for c in columns])
+
+
 def fill_forward(cells: DataFrame, columns: Iterable[str], keys=("pid", "feature"), order: str = "step") -> DataFrame:
     """Carry values along the steps of a series. A series has at most one row per grid cell,
     so its window is bounded by the grid."""

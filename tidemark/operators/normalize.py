@@ -107,17 +107,17 @@ def fit_quantile(values: DataFrame, n_quantiles: int = 1000, by: str = "feature"
     )
 
 
-# a fitted table is channels x quantiles numbers; beyond this it is no lookup any more
-MAX_TABLE = 2_000_000
+# a fitted table has one row of at most n_quantiles numbers per channel; beyond this many channels
+# it is no lookup any more
+MAX_CHANNELS = 5_000
 
 
 def collect_quantiles(fitted: DataFrame, by: str = "feature") -> dict[str, np.ndarray]:
-    """Fitted quantiles on the driver, after checking that the table is as small as it must be."""
-    rows = fitted.filter(F.col("quantiles").isNotNull())
-    size = rows.agg(F.sum(F.size("quantiles"))).first()[0] or 0
-    if size > MAX_TABLE:
-        raise ValueError(f"{size} quantiles are too many for a lookup table")
-    return {r[0]: np.asarray(r[1], dtype=float) for r in rows.select(by, "quantiles").collect()}
+    """Fitted quantiles on the driver; more channels than a lookup may hold are refused."""
+    rows = fitted.filter(F.col("quantiles").isNotNull()).select(by, "quantiles").limit(MAX_CHANNELS + 1).collect()
+    if len(rows) > MAX_CHANNELS:
+        raise ValueError(f"more than {MAX_CHANNELS} channels are too many for a lookup table")
+    return {r[0]: np.asarray(r[1], dtype=float) for r in rows}
 
 
 # The normal output is cut at the quantile of 1e-7.
@@ -165,11 +165,12 @@ def apply_quantile(rows: DataFrame, fitted: DataFrame, output: str = "normal", b
 # ---- power -----------------------------------------------------------------------------
 
 
-def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: float = 5.0, points: int = 9, rounds: int = 6) -> DataFrame:
+def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: float = 5.0, points: int = 9, rounds: int = 3) -> DataFrame:
     """Yeo-Johnson lambda by maximum likelihood, with the mean and std of the transformed values.
 
-    Values are counted once and written once; every round scores ``points`` candidates
-    per channel in one aggregation with map-side combine and narrows the bracket around the best.
+    Values are counted once and written once; every round scores ``points`` candidates per channel
+    in one aggregation with map-side combine and narrows the bracket around the best. The vertex of
+    the parabola through the last three scores is the result.
     """
     counts = cut_lineage(values.filter(F.col("value").isNotNull()).groupBy(by, "value").agg(F.count("*").cast("double").alias("w")))
     bracket = counts.groupBy(by).agg(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
@@ -177,19 +178,26 @@ def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: floa
     jacobian = F.signum(x) * F.log1p(F.abs(x))
     for _ in range(rounds):
         step = (F.col("b") - F.col("a")) / (points - 1)
-        tried = bracket.select(by, step.alias("h"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + i * step)).alias("lam"))
+        at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + i * step)
+        tried = bracket.select(by, step.alias("h"), F.explode(at).alias("lam"))
         scored = counts.join(tried, by).withColumn("y", yeo_johnson(x, F.col("lam")))
         scored = scored.groupBy(by, "h", "lam").agg(
             F.sum("w").alias("n"), F.sum(w * jacobian).alias("j"), F.sum(w * F.col("y")).alias("s"), F.sum(w * F.col("y") * F.col("y")).alias("q")
         )
         var = F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2))
         ll = F.when(var > 1e-300, -F.col("n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("j")).otherwise(F.lit(-1e300))
-        best = scored.withColumn("ll", F.when(F.isnan(ll), F.lit(-1e300)).otherwise(ll)).groupBy(by).agg(
-            F.max_by(F.struct("lam", "h"), F.struct("ll", -F.abs("lam"))).alias("m")
+        scored = scored.withColumn("ll", F.when(F.isnan(ll), F.lit(-1e300)).otherwise(ll))
+        curve = scored.groupBy(by, "h").agg(
+            F.array_sort(F.collect_list(F.struct("lam", "ll"))).alias("c"), F.max_by("lam", F.struct("ll", -F.abs("lam"))).alias("best")
         )
-        bracket = best.select(by, (F.col("m.lam") - F.col("m.h")).alias("a"), (F.col("m.lam") + F.col("m.h")).alias("b"), F.col("m.lam").alias("lam"))
+        bracket = curve.select(by, (F.col("best") - F.col("h")).alias("a"), (F.col("best") + F.col("h")).alias("b"), "best", "h", "c")
+    i = F.array_position(F.transform("c", lambda r: r["lam"]), F.col("best")).cast("int")
+    left, mid, right = (F.get("c", i - 1 + d)["ll"] for d in (-1, 0, 1))
+    bend = left - 2 * mid + right
+    shift = F.when((bend < 0) & (left > -1e299) & (right > -1e299), (left - right) / (2 * bend) * F.col("h")).otherwise(0.0)
+    chosen = bracket.select(by, (F.col("best") + F.coalesce(shift, F.lit(0.0))).alias("lam"))
     y = yeo_johnson(x, F.col("lam"))
-    moments = counts.join(bracket.select(by, "lam"), by).withColumn("y", y).groupBy(by, "lam").agg(
+    moments = counts.join(chosen, by).withColumn("y", y).groupBy(by, "lam").agg(
         (F.sum(w * F.col("y")) / F.sum(w)).alias("center"), F.sum(w * F.col("y") * F.col("y")).alias("q"), F.sum(w).alias("n")
     )
     std = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("center"), F.lit(2)), F.lit(0.0)))

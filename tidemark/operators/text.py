@@ -163,9 +163,13 @@ def _candidate_lines(notes: DataFrame) -> DataFrame:
     """Lines that may report an arrest, with their flags. One regex pass over the matching notes."""
     norm_head = normal_text(F.substring("text", 1, 300))
     rows = notes.withColumn("recap", _hit(norm_head, P.ARREST_RECAP))
-    raw = F.filter(F.split("text", r"[\n\r]+"), lambda r: ~normal_text(r).rlike(P.ARREST_DATE_PREFIX))
-    parts = F.flatten(F.transform(raw, lambda r: F.split(r, r"(?U)(?<=\w)\.(?=\s+(?:[A-ZÆØÅ]|[Hh]jertestop\b))")))
-    rows = rows.select("pid", "ts", "note_id", "recap", F.posexplode(parts).alias("line_no", "line"))
+    rows = rows.select("pid", "ts", "note_id", "recap", F.posexplode(F.split("text", r"[\n\r]+")).alias("i", "line"))
+    # most lines neither name the event nor open a section: they need no further look
+    speaks = _hit(F.col("line"), "(?iu)" + P.ARREST) | _hit(F.col("line"), P.ARREST_EXCLUDED_SECTION) | F.col("line").contains(":")
+    rows = rows.filter(speaks & ~_hit(normal_text(F.col("line")), P.ARREST_DATE_PREFIX))
+    parts = F.split("line", r"(?U)(?<=\w)\.(?=\s+(?:[A-ZÆØÅ]|[Hh]jertestop\b))")
+    rows = rows.select("pid", "ts", "note_id", "recap", "i", F.posexplode(parts).alias("j", "line"))
+    rows = rows.withColumn("line_no", F.col("i").cast("long") * 1_000_000 + F.col("j"))
     rows = rows.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).filter(F.col("line") != "")
     # a family section lasts until the next heading; the window holds the lines of one note
     section = F.when(_hit(F.col("line"), P.ARREST_EXCLUDED_SECTION), "out").when(_hit(F.col("line"), P.ARREST_HEADING), "in")
@@ -225,7 +229,7 @@ def arrest_events(notes: DataFrame) -> DataFrame:
 
     own = kept.filter(own_type & ~_hit(F.col("text"), P.ARREST_TYPE_NEGATION))
     own = own.select(
-        "pid", "ts", "note_id", F.lit(0).alias("line_no"), F.sha2(F.trim("text"), 256).alias("key"), F.regexp_count("text", F.lit(P.ARREST_AGAIN)).alias("more")
+        "pid", "ts", "note_id", F.lit(0).cast("long").alias("line_no"), F.sha2(F.trim("text"), 256).alias("key"), F.regexp_count("text", F.lit(P.ARREST_AGAIN)).alias("more")
     )
     firsts = own.groupBy("pid", "key").agg(F.min(_place()).alias("f"))
     own = own.join(firsts, ["pid", "key"]).filter((_place() == F.col("f")) | (F.col("more") > 0))

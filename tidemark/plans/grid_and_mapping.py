@@ -25,10 +25,9 @@ FEATURES = ["click", "error", "purchase", "signup", "view"]
 def flagship(t):
     """Events to cells, four aggregates, all cells present, mean carried forward."""
     cells = m.map_concept(t.ev, t.base, ["mean", "std", "max", "count"])
-    full = m.scaffold(t.base, FEATURES).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(DEFAULT_GRID.total_steps - 1)))
-    )
-    out = full.join(cells, ["pid", "feature", "step"], "left").withColumn("mean_filled", F.col("mean"))
+    series = m.scaffold(t.base, FEATURES)
+    out = m.spread_cells(series, cells, ["mean", "std", "max", "count"], DEFAULT_GRID.total_steps)
+    out = out.withColumn("mean_filled", F.col("mean"))
     out = m.fill_forward(out, ["mean_filled"]).withColumn("count", F.coalesce("count", F.lit(0)))
     return rounded(out)
 
@@ -284,5 +283,4 @@ def e6(t):
 def f2(t):
     cells = m.map_concept(t.ev, t.base, ["max"]).withColumnRenamed("max", "value")
     series = cells.select("pid", "feature").distinct()
-    series = series.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(DEFAULT_GRID.total_steps - 1))))
-    return m.fill_forward(series.join(cells, ["pid", "feature", "step"], "left"), ["value"])
+    return m.fill_forward(m.spread_cells(series, cells, ["value"], DEFAULT_GRID.total_steps), ["value"])

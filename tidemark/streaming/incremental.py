@@ -68,7 +68,9 @@ class CellStore:
         rest = [c for c in by if c != "version"]
         writer = df.drop("version").write.mode("overwrite")
         if rest:
-            writer = writer.partitionBy(*rest)
+            # a bucket of a batch goes to a few tasks: few files, and no task for a hot entity alone
+            spread = df.drop("version").repartition(*rest, F.pmod(F.xxhash64("event_id"), F.lit(4)))
+            writer = spread.write.mode("overwrite").partitionBy(*rest)
         writer.parquet(f"{path}/version={version}")
 
     def current(self) -> DataFrame:
