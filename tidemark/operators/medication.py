@@ -48,13 +48,21 @@ for _name, _table in T.TIER_TABLES.items():
     register_tiers(TierMap(_name, **_flat))
 
 
-def check_tiers(spark) -> DataFrame:
-    """Spot checks of the registered maps: ``(mapping, code, expected, tier, ok)``."""
-    out = None
-    for name, checks in T.TIER_SPOT_CHECKS.items():
-        rows = spark.createDataFrame([(name, c, t) for c, t in checks.items()], "mapping string, code string, expected int")
-        rows = rows.withColumn("tier", TIER_MAPS[name].tier(F.col("code")))
-        out = rows if out is None else out.unionByName(rows)
+def check_tiers(codes: DataFrame) -> DataFrame:
+    """Spot checks of the registered maps on the codes in use: ``(mapping, code, n, expected, tier, ok)``."""
+    checks = F.array(
+        *[
+            F.struct(F.lit(name).alias("mapping"), F.lit(code).alias("code"), F.lit(level).alias("expected"))
+            for name, table in T.TIER_SPOT_CHECKS.items()
+            for code, level in table.items()
+        ]
+    )
+    used = codes.groupBy("code").agg(F.count("*").alias("n"))
+    hits = used.withColumn("c", F.explode(F.filter(checks, lambda c: c["code"] == F.col("code"))))
+    tier = F.lit(None).cast("int")
+    for name in T.TIER_SPOT_CHECKS:
+        tier = F.when(F.col("mapping") == name, TIER_MAPS[name].tier(F.col("code"))).otherwise(tier)
+    out = hits.select("c.mapping", "code", "n", "c.expected").withColumn("tier", tier)
     return out.withColumn("ok", F.col("tier").eqNullSafe(F.col("expected")))
 
 

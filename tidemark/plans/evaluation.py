@@ -421,13 +421,14 @@ def i26(t):
 
 @query(
     "d8_step_labels",
-    """WITH s AS (SELECT CAST(e AS INT) AS step, x FROM (VALUES (0, '10 min'), (5, '1 h'), (20, '3.5 h'), (36, '6.333333333333333 h'), (65, '1 day'), (66, '1.1666666666666667 days'), (115, '30 days')) v(e, x))
-    SELECT step, x AS label, (SELECT count(*) FROM labels) > 0 AS used FROM s""",
+    f"""{with_("ev", "base", "seg", "grid", "mapped")}
+    SELECT event_id, CASE WHEN hi < 60 THEN hi || ' min' WHEN hi < 1440 THEN CASE WHEN hi % 60 = 0 THEN CAST(hi // 60 AS VARCHAR) ELSE CAST(hi / 60 AS VARCHAR) END || ' h'
+      ELSE CASE WHEN hi % 1440 = 0 THEN CAST(hi // 1440 AS VARCHAR) ELSE CAST(hi / 1440 AS VARCHAR) END || CASE WHEN hi = 1440 THEN ' day' ELSE ' days' END END AS label
+    FROM mapped JOIN grid USING (step)""",
 )
 def d8_labels(t):
-    """Readable labels of steps."""
-    steps = t.labels.select(F.lit(True).alias("used")).distinct().withColumn("step", F.explode(F.lit([0, 5, 20, 36, 65, 66, 115])))
-    return steps.select("step", ev.step_label(F.col("step")).alias("label"), "used")
+    """Readable time of every event's step."""
+    return m.point_to_step(t.ev, t.base).select("event_id", ev.step_label(F.col("step")).alias("label"))
 
 
 # ---- clinical scores ---------------------------------------------------------------------

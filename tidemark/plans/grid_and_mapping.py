@@ -163,12 +163,13 @@ def d10(t):
 @query(
     "d10_elapsed_arrays",
     f"""{with_("base", "seg", "grid")}
-    SELECT pid, list(round((lo + hi) / 120.0, 6) ORDER BY step) AS elapsed_hours FROM base, grid GROUP BY 1""",
+    SELECT pid, step, round((lo + hi) / 120.0, 6) AS elapsed_hours FROM base, grid""",
 )
 def d10_arrays(t):
-    """The same as one array per user: a literal array, nothing is collected."""
-    mid = F.array(*[F.lit(round((c.lo + c.hi) / 120.0, 6)) for c in DEFAULT_GRID.steps])
-    return t.base.select("pid", mid.alias("elapsed_hours"))
+    """Elapsed hours as one array per user (a literal array, nothing is collected), shown as rows."""
+    mid = F.lit([round((c.lo + c.hi) / 120.0, 6) for c in DEFAULT_GRID.steps])
+    wide = t.base.select("pid", mid.alias("elapsed"))
+    return wide.select("pid", F.posexplode("elapsed").alias("step", "elapsed_hours"))
 
 
 @query(

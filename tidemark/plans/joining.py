@@ -28,6 +28,18 @@ def c1(t):
     return j.in_stay(t.ev.drop("k"), base, 1)
 
 
+@query(
+    "c1_in_stay_many",
+    f"""{with_("ev")}, {ISLANDS}, e AS (SELECT pid AS key, ts, event_id FROM ev) SELECT DISTINCT key, e.ts, event_id, island FROM e JOIN tra ON key = pid
+      WHERE e.ts BETWEEN tra.start_ts - to_days(1) AND tra.end_ts + to_days(1)""",
+)
+def c1_many(t):
+    """Several stays per key: an event may fall into more than one padded stay."""
+    stays = trajectories_of(t).select(F.col("pid").alias("key"), "island", "start_ts", "end_ts")
+    events = t.ev.select(F.col("pid").alias("key"), "ts", "event_id")
+    return j.in_stay(events, stays, 1, key="key", bucket="1 day")
+
+
 @query(
     "c5_episode_match",
     f"""{with_("ev")}, {ISLANDS}, r AS (SELECT o_orderkey, o_custkey % 150 AS key, TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 720) AS ref_ts FROM orders)
