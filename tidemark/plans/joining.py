@@ -295,9 +295,10 @@ def m3(t):
     return t.orders.select(F.col("o_custkey").alias("id")).intersect(t.events.select(F.col("user_id").alias("id")))
 
 
-@query("m4_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("m4_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def m4(t):
-    return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.select(F.col("o_custkey").alias("id")))
+    big = t.orders.filter(F.col("o_totalprice") > 400000)
+    return t.customer.select(F.col("c_custkey").alias("id")).subtract(big.select(F.col("o_custkey").alias("id")))
 
 
 @query("m5_global_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
