@@ -25,6 +25,13 @@ def _hit(col: Column, pattern: str) -> Column:
     return F.coalesce(col.rlike(pattern), F.lit(False))
 
 
+def mentions(col: Column, *words: str) -> Column:
+    """May any of some lower-case words occur? A first look at long texts without a regex; the rare
+    long s, which a case-insensitive match takes for s, passes and is left to the exact patterns."""
+    plain = F.lower(col)
+    return F.coalesce(reduce(lambda a, b: a | b, [plain.contains(w) for w in words]) | col.contains("\u017f"), F.lit(False))
+
+
 def normal_text(col: Column) -> Column:
     """Lower case, single blanks, trimmed."""
     return F.regexp_replace(F.lower(F.regexp_replace(col, r"(?U)^\s+|\s+$", "")), r"(?U)\s+", " ")
@@ -53,10 +60,10 @@ def coma_scores(notes: DataFrame) -> DataFrame:
     Per line: threshold phrases are cut, lines about the past are skipped, "from X to Y" and arrows
     keep their last value, subscales their total; a score after "repeat" is skipped.
     """
-    rows = notes.filter(_hit(F.col("text"), "(?iu)gcs|glasgow"))
+    rows = notes.filter(mentions(F.col("text"), "gcs", "glasgow"))
     line = F.explode(F.split("text", r"[\n\r.]+"))
     rows = rows.select("pid", "ts", "note_id", line.alias("l"))
-    rows = rows.filter(_hit(F.col("l"), "(?iu)gcs|glasgow"))
+    rows = rows.filter(mentions(F.col("l"), "gcs", "glasgow"))
     rows = rows.withColumn("l", F.regexp_replace("l", P.COMA_THRESHOLD, "")).filter(~_hit(F.col("l"), P.COMA_HISTORICAL))
     text = F.regexp_replace("l", P.COMA_FALL, "GCS $2")
     text = F.regexp_replace(text, P.COMA_ARROW, "GCS $1")
@@ -83,7 +90,7 @@ def injury_scores(lines: DataFrame) -> DataFrame:
     """
     pieces = F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("t"))))
     notes = lines.groupBy("pid", "ts").agg(F.array_join(F.transform(pieces, lambda s: s["t"]), "\n").alias("text"))
-    notes = notes.filter(F.col("text").contains("ISS") | F.col("text").rlike("(?iu)iss"))
+    notes = notes.filter(mentions(F.col("text"), "iss"))
     found = F.concat(F.regexp_extract_all("text", F.lit(P.INJURY_AFTER), 1), F.regexp_extract_all("text", F.lit(P.INJURY_BEFORE), 1))
     values = notes.select("pid", "ts", F.explode(found).alias("v")).select("pid", "ts", F.col("v").try_cast("double").alias("value"))
     best = F.min(F.struct("ts", (-F.col("value")).alias("v"))).alias("m")
@@ -165,7 +172,7 @@ def _candidate_lines(notes: DataFrame) -> DataFrame:
     rows = notes.withColumn("recap", _hit(norm_head, P.ARREST_RECAP))
     rows = rows.select("pid", "ts", "note_id", "recap", F.posexplode(F.split("text", r"[\n\r]+")).alias("i", "line"))
     # most lines neither name the event nor open a section: they need no further look
-    speaks = _hit(F.col("line"), "(?iu)" + P.ARREST) | _hit(F.col("line"), P.ARREST_EXCLUDED_SECTION) | F.col("line").contains(":")
+    speaks = F.col("line").contains(":") | mentions(F.col("line"), P.ARREST, "fam", "information", "hereditet")
     rows = rows.filter(speaks & ~_hit(normal_text(F.col("line")), P.ARREST_DATE_PREFIX))
     parts = F.split("line", r"(?U)(?<=\w)\.(?=\s+(?:[A-ZÆØÅ]|[Hh]jertestop\b))")
     rows = rows.select("pid", "ts", "note_id", "recap", "i", F.posexplode(parts).alias("j", "line"))
@@ -225,7 +232,7 @@ def arrest_events(notes: DataFrame) -> DataFrame:
     """
     kept = notes.filter(~_hit(F.trim("note_type"), P.ARREST_EXCLUDED_TYPES))
     own_type = _hit(F.col("note_type"), "(?iu)" + P.ARREST)
-    kept = kept.filter(own_type | _hit(F.col("text"), "(?iu)" + P.ARREST))
+    kept = kept.filter(own_type | mentions(F.col("text"), P.ARREST))
 
     own = kept.filter(own_type & ~_hit(F.col("text"), P.ARREST_TYPE_NEGATION))
     own = own.select(

@@ -77,7 +77,7 @@ def notes_with(t, phrases, types=TYPES):
         ts.alias("ts"),
         d.alias("note_id"),
         one_of(types, F.floor(d / 3)).alias("note_type"),
-        F.concat(one_of(phrases, d), F.lit("\n"), F.regexp_replace("text", r"\d", "#")).alias("text"),
+        F.concat(one_of(phrases, d), F.lit("\n"), F.translate("text", "0123456789", "#" * 10)).alias("text"),
     )
 
 
