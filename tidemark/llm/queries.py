@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, id_files, packing, token_counts, work
+from tidemark.llm import byte_bpe, id_files, packing, shingle_join, token_counts, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -41,6 +41,12 @@ def op4_ranked_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return id_files.read_ids(spark, path, digest=True)
 
 
+@query
+def op9_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents joined on five-word shingles at a Jaccard similarity of 0.8."""
+    return shingle_join.near_copies(table(spark, folder, "documents"), shingle_join.Rule(words=5, similar=80, out_of=100))
+
+
 @query
 def op10_distinct_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every text, each distinct pre-token counted once."""
