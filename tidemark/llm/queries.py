@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, id_files, packing, shingle_join, token_counts, work
+from tidemark.llm import byte_bpe, id_files, language, packing, shingle_join, token_counts, toxicity, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -16,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def fold(parts: int, nth: int) -> Column:
+    """Whether crc32 of the doc_id's digits leaves ``nth`` on division by ``parts``; false without a doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == nth, F.lit(False))
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -41,6 +47,28 @@ def op4_ranked_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return id_files.read_ids(spark, path, digest=True)
 
 
+@query
+def op6_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learned from two folds of three."""
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(3, 1))
+    filters = language.learn(docs.where(~F.col("held_out")))
+    return language.predict(docs, filters, keep=("doc_id", "held_out"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from three folds of four: two are counted, the third fits the weights."""
+    rows = work.written(toxicity.labelled_texts(docs.where(~fold(4, 2)), labels, "toxic"))
+    return toxicity.learn(rows.where(~fold(4, 3)), rows.where(fold(4, 3)))
+
+
+@query
+def op8_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels of three folds of four."""
+    docs = table(spark, folder, "documents")
+    model = toxicity_model(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs.withColumn("held_out", fold(4, 2)), model, 0.3, keep=("doc_id", "held_out"))
+
+
 @query
 def op9_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     """All documents joined on five-word shingles at a Jaccard similarity of 0.8."""

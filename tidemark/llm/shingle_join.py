@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import spans, work
+from tidemark.llm import id_filter, spans, work
 from tidemark.llm.components import components
 from tidemark.llm.token_counts import _large, _small
 
 U64 = np.uint64
 BLOCK_BYTES = 16 << 20
-FILTER_BITS = 1 << 23
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -277,36 +276,14 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
     return dealt.groupBy("slot").applyInArrow(meet, "gid long, class long").distinct()
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash value of an id in ``ids``: ``FILTER_BITS`` bits, however many ids there are."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, np.uint8)
-        for b in batches:
-            bits[_filter_place(b.column(0).to_numpy())] = 1
-        word = np.packbits(bits, bitorder="little").view(np.int64)
-        at = np.flatnonzero(word)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at), "bits": pa.array(word[at])})
-
-    rows = ids.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    word = np.zeros(FILTER_BITS // 64, np.int64)
-    word[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(word.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _filter_place(ids: np.ndarray) -> np.ndarray:
-    return (spans.mix(ids.astype(np.int64).view(U64)) % U64(FILTER_BITS)).astype(np.int64)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """class, size, sketch and set (hashes as bytes) of the classes ``wanted`` (class, rep doc_id)."""
     ids = wanted.where("rep IS NOT NULL").select("rep")
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter.marked(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
-            b = b.filter(pa.array(bits.value[_filter_place(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False)))
+            b = b.filter(id_filter.may_hold(bits.value, b.column("doc_id")))
             for c in spans.chunks(b.column("text")):
                 s = shingle_sets(c, rule.words)
                 own = [s.shingle[x:y] for x, y in zip(s.begin.tolist(), s.begin[1:].tolist())]

@@ -156,6 +156,30 @@ def distinct_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[step], which
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_runs(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of letters, each framed by a space: their bytes, and the run of each byte.
+
+    Then the run and the text number of every occurrence. ASCII is lowered; bytes from 0x80 on count as letters.
+    """
+    data = np.where(LETTER[c.data], LOWER[c.data], 0x20).astype(np.uint8)
+    start, end, doc = words(data, c.off)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, doc
+    first, which, _ = distinct(data, start, end)
+    size = (end - start)[first] + 2
+    at = np.cumsum(size) - size
+    framed = np.full(size.sum(), 0x20, np.uint8)
+    body = np.ones(len(framed), bool)
+    body[at] = body[at + size - 1] = False
+    framed[body] = gather(data, start, end - start, first)
+    return framed, np.repeat(np.arange(len(first)), size), which, doc
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Concatenate ``flat[begin[w] : begin[w] + length[w]]`` for every ``w`` of ``which``."""
     n = length[which]
