@@ -13,7 +13,7 @@ import regex
 from tidemark.llm import spans
 
 #: Pieces, and pre-tokens in them, that a Python worker remembers; when full, further ones are encoded anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _known: dict[tuple, dict] = {}
 _loaded: dict[str, object] = {}
 
