@@ -4,7 +4,8 @@ Two models of the letters in words, one of toxic and one of ordinary texts, are
 lower orders: continuation counts of both classes together. A rare expression that one class alone has
 seen thus falls back on what both share, and says little; an expression that a class has seen often says
 much. A word's two log-likelihoods are compared per letter; a text's score is a logistic function of its
-mean over all words, of its highest word, and of how far its words stand out, fitted on a fold of its own.
+mean over all words, its highest word, how far its words stand out, and how many words it had the chance
+to do so in, fitted on a fold of its own.
 
 Counts cover all labelled rows given, so they grow with the input. The scorer reads them from hash tables
 of fixed size (``SLOTS``): where two expressions meet, the more frequent one stays.
@@ -28,7 +29,7 @@ DISCOUNT = 0.75
 SLOTS = 1 << 21
 #: A word stands out by what its log-ratio exceeds this.
 MARGIN = 3.0
-#: At most so many labelled rows fit the three weights of the logistic function.
+#: At most so many labelled rows fit the weights of the logistic function.
 FIT_ROWS = 20_000
 
 
@@ -142,23 +143,23 @@ def learn_counts(labelled: DataFrame) -> Model:
 
 
 def evidence(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and x1 to x3 of every text: mean log-ratio per letter, highest word's, and words' excess."""
+    """``keep`` and x1 to x4 of every text: mean log-ratio per letter, highest word's, words' excess, and length."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_evidence(c, shared.value) for c in spans.chunks(b.column("text"))]
-            x = np.concatenate(found) if found else np.zeros((0, 3))
-            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | {f"x{i + 1}": pa.array(x[:, i]) for i in range(3)})
+            x = np.concatenate(found) if found else np.zeros((0, 4))
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | {f"x{i + 1}": pa.array(x[:, i]) for i in range(4)})
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"x{i} double" for i in (1, 2, 3)])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"x{i} double" for i in (1, 2, 3, 4)])
     return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(run, schema)
 
 
 def _evidence(c: spans.Chunk, model: Model) -> np.ndarray:
     framed, run, which, doc = spans.letter_runs(c)
-    out = np.zeros((len(c), 3))
+    out = np.zeros((len(c), 4))
     if not len(which):
         return out
     key, owner = grams(framed, run)
@@ -170,12 +171,13 @@ def _evidence(c: spans.Chunk, model: Model) -> np.ndarray:
     per_word = ratio[which]
     out[held, 0] = np.add.reduceat(per_word, begin) / np.add.reduceat(letters[which], begin)
     out[held, 1] = np.maximum.reduceat(per_word, begin)
+    out[held, 3] = np.log1p(np.bincount(doc, minlength=len(c))[held])
     out[held, 2] = np.log1p(np.add.reduceat(np.maximum(per_word - MARGIN, 0), begin))
     return out
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), np.clip(x[:, 0], -5, 5), np.clip(x[:, 1], -5, 15), np.clip(x[:, 2], 0, 10)])
+    return np.column_stack([np.ones(len(x)), np.clip(x[:, 0], -5, 5), np.clip(x[:, 1], -5, 15), np.clip(x[:, 2], 0, 10), x[:, 3]])
 
 
 def _logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -184,13 +186,13 @@ def _logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of the logistic function by Newton steps, with a ridge; without rows, a score of about 0."""
-    a, w = _design(x), np.array([-8.0, 0, 0, 0])
+    a, w = _design(x), np.array([-8.0, 0, 0, 0, 0])
     if not len(y):
         return w
-    w = np.zeros(4)
+    w = np.zeros(5)
     for _ in range(50):
         p = _logistic(x, w)
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(4), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(5), a.T @ (y - p) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -209,7 +211,7 @@ def learn(count_rows: DataFrame, fit_rows: DataFrame) -> Model:
     model = learn_counts(count_rows)
     some = fit_rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     rows = evidence(some, model, ("label",)).toArrow()
-    x = np.column_stack([rows[f"x{i}"].to_numpy() for i in (1, 2, 3)]) if rows.num_rows else np.zeros((0, 3))
+    x = np.column_stack([rows[f"x{i}"].to_numpy() for i in (1, 2, 3, 4)]) if rows.num_rows else np.zeros((0, 4))
     model.weights = fit_weights(x, rows["label"].to_numpy() if rows.num_rows else np.zeros(0))
     return model
 
