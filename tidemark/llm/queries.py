@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, id_files, language, packing, shingle_join, token_counts, toxicity, work
+from tidemark.llm import byte_bpe, id_files, language, packing, quality_model, quality_rules, shingle_join, token_counts, toxicity, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -14,6 +14,7 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    work.ship(spark)
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -47,6 +48,13 @@ def op4_ranked_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return id_files.read_ids(spark, path, digest=True)
 
 
+@query
+def op5_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every text, and whether its distributions are those of a language."""
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs))
+
+
 @query
 def op6_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every text, learned from two folds of three."""
@@ -55,6 +63,14 @@ def op6_bitmask_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, filters, keep=("doc_id", "held_out"))
 
 
+@query
+def op7_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text, learned from the labels of four folds of five."""
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(5, 0))
+    forest = quality_model.learn(docs.where(~F.col("held_out")), table(spark, folder, "labels"), "quality")
+    return quality_model.score(docs, forest, 0.3, keep=("doc_id", "held_out"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from three folds of four: two are counted, the third fits the weights."""
     rows = work.written(toxicity.labelled_texts(docs.where(~fold(4, 2)), labels, "toxic"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,14 @@ def written(df: DataFrame, *by: str) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """How many ranges packed intermediate data is dealt into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """On a local master, give Python workers this package; on a cluster it is submitted with the job."""
+    context = spark.sparkContext
+    if context.master.startswith("local") and "cluster" not in context.master and context.applicationId not in _shipped:
+        context.addFile(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True)
+        _shipped.add(context.applicationId)
