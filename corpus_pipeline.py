@@ -1,25 +1,72 @@
-"""A cleaning pipeline over documents: toxicity, language, near duplicates, packing."""
+"""A cleaning pipeline over documents: toxicity, language, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
+the columns of ``docs``. Extra columns pass through, whatever their names; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, packing, queries, shingle_join, toxicity, work
+
+#: A text whose language holds less than this share of its n-grams is in none of the learned languages.
+LEAST_LANGUAGE = 0.1
+
+
+def _filtered(docs: DataFrame, judge: Callable[[DataFrame, tuple[str, ...]], DataFrame], stays: Column) -> DataFrame:
+    """The rows of ``docs`` that stay by the columns ``judge`` adds; its names can't clash with those of ``docs``."""
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*own.values()).withColumns({c: F.col(own[c]) for c in ("text",)})
+    return judge(plain, tuple(own.values())).where(stays).select(*[F.col(x).alias(c) for c, x in own.items()])
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the two language models call toxic go; a text without letters stays."""
+    model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
+    return _filtered(docs, lambda d, keep: toxicity.score(d, model, 0.3, keep), F.col("predicted") == 0)
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters (or text), or in no language learned from the rest, go."""
+    work.ship(spark)
+    filters = language.learn(docs)
+    stays = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
+    return _filtered(docs, lambda d, keep: language.predict(d, filters, keep), stays)
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays (one without comes last).
 
-from tidemark.llm import packing, work
+    Rows are told apart by their place in ``docs``, so repeated or null doc_ids are documents of their own.
+    """
+    work.ship(spark)
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = shingle_join.near_copies(numbered.select(F.col("_row").alias("doc_id"), "text"), shingle_join.Rule(words=5, similar=80, out_of=100))
+    ids = numbered.select("_row", F.col("doc_id").alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("without"), "id", "_row")
+    first = groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row").groupBy("component_id").agg(F.min(rank).alias("r"))
+    return numbered.join(work.written(first.select("r._row")), "_row", "left_semi").drop("_row")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All kept documents in sequences of at most 2048 ids, one row per piece."""
+    work.ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
-STAGES = [("packing", stage_packing)]
+STAGES = [("toxicity", stage_toxicity), ("language", stage_language), ("near_duplicates", stage_near_duplicates), ("packing", stage_packing)]
+#: Learned models and tokenizers have no SQL; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's result is written and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

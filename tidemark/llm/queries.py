@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, id_files, language, packing, quality_model, quality_rules, shingle_join, token_counts, toxicity, work
+from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, packing, quality_model, quality_rules, shingle_join, token_counts, toxicity, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -34,6 +34,12 @@ def op1_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+@query
+def op2_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors with a cosine of 0.9 or more linked."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), least=0.9)
+
+
 @query
 def op3_tree_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded over a tree of halves."""
