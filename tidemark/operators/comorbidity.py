@@ -24,11 +24,11 @@ def prior_unresolved(diagnoses: DataFrame, base: DataFrame) -> DataFrame:
     return out.filter(noted & alive)
 
 
-def category_array(code: Column, ranges: dict[str, str]) -> Column:
+def category_array(code: Column, codes: dict[str, list[str]]) -> Column:
     """All categories whose prefixes match a code; a code may belong to several."""
     by_length: dict[int, dict[str, list[str]]] = {}
-    for category, text in ranges.items():
-        for prefix in D.expand(text):
+    for category, prefixes in codes.items():
+        for prefix in prefixes:
             by_length.setdefault(len(prefix), {}).setdefault(prefix, []).append(category)
     parts = [
         F.coalesce(F.split(lookup(F.substring(code, 1, n), {p: " ".join(c) for p, c in table.items()}), " "), F.array().cast("array<string>"))
@@ -40,7 +40,7 @@ def category_array(code: Column, ranges: dict[str, str]) -> Column:
 def comorbidity_score(
     diagnoses: DataFrame,
     base: DataFrame,
-    ranges: dict[str, str] = D.CATEGORY_RANGES,
+    codes: dict[str, list[str]] = D.CATEGORY_CODES,
     weights: dict[str, float] = D.CATEGORY_WEIGHTS,
     exclusions: dict[str, str] = D.CATEGORY_EXCLUSIONS,
 ) -> DataFrame:
@@ -49,7 +49,7 @@ def comorbidity_score(
     ``diagnoses(pid, code)``. Maps, weights and exclusions are parameters (other published maps fit).
     The categories per pid are a set over a fixed vocabulary, combined map-side.
     """
-    hit = diagnoses.select("pid", F.explode(category_array(compact_code(F.col("code")), ranges)).alias("category"))
+    hit = diagnoses.select("pid", F.explode(category_array(compact_code(F.col("code")), codes)).alias("category"))
     sets = hit.groupBy("pid").agg(F.collect_set("category").alias("found"))
     kept = F.col("found")
     for present, milder in exclusions.items():

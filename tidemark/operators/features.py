@@ -198,12 +198,10 @@ def numbered_codes(codes: DataFrame, base: DataFrame, offset_days: int = 1) -> D
     return running_number(rows, ["pid"], ["ts", "code", "event_id"], "position", width="30 day")
 
 
-def codes_to_columns(numbered: DataFrame, n: int, prefix: str = "code") -> DataFrame:
-    """The first n positions as columns, plus how many there are in all."""
-    return numbered.groupBy("pid").agg(
-        *[F.max(F.when(F.col("position") == i, F.col("code"))).alias(f"{prefix}_{i}") for i in range(1, n + 1)],
-        F.max("position").alias(f"n_{prefix}"),
-    )
+def codes_in_order(numbered: DataFrame) -> DataFrame:
+    """All codes of an entity as one array in order, and how many there are."""
+    rows = F.array_sort(F.collect_list(F.struct("position", "code")))
+    return numbered.groupBy("pid").agg(F.transform(rows, lambda r: r["code"]).alias("codes"), F.max("position").alias("n_code"))
 
 
 def score_times(scores: DataFrame, codes: DataFrame, base: DataFrame, offset_days: int = 1) -> DataFrame:

@@ -41,11 +41,7 @@ def register_tiers(tiers: TierMap) -> None:
 
 
 for _name, _table in T.TIER_TABLES.items():
-    _flat = {
-        part: {code: level for level, codes in _table.get(part, {}).items() for code in codes}
-        for part in ("exact", "prefix", "default")
-    }
-    register_tiers(TierMap(_name, **_flat))
+    register_tiers(TierMap(_name, **{part: _table.get(part, {}) for part in ("exact", "prefix", "default")}))
 
 
 def check_tiers(codes: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ def i23_top(t):
     return rounded(q.largest_differences(a, b, ["pid", "feature"], "value", 20), 4)
 
 
-AUD = f"""{EVAL}, au AS MATERIALIZED (SELECT 'raw' AS source, step AS hour, score, label FROM rw UNION ALL SELECT 'halved', step, round(score / 2, 2), label FROM rw UNION ALL SELECT 'inverted', step, -1 * score, label FROM rw WHERE step < 60),
+AUD = f"""{EVAL}, au AS MATERIALIZED (SELECT 'raw' AS source, step AS hour, score, label FROM rw UNION ALL SELECT 'halved', step, round(score / 2, 2), label FROM rw UNION ALL SELECT 'inverted', step, -1 * score, label FROM rw),
     an AS (SELECT source, hour, count(*) AS n_samples FROM au GROUP BY 1, 2)"""
 
 
@@ -392,7 +392,7 @@ def i24(t):
     forms = {
         "raw": rows,
         "halved": rows.withColumn("score", F.round(F.col("score") / 2, 2)),
-        "inverted": rows.filter(F.col("step") < 60).withColumn("score", -F.col("score")),
+        "inverted": rows.withColumn("score", -F.col("score")),
     }
     return rounded(ev.signal_audit(forms))
 
@@ -483,7 +483,7 @@ def n3(t):
     return rows.select("l_orderkey", "l_linenumber", sc.mechanism(rows, ["ai60", "ai10"], ["major1"]).alias("mechanism"))
 
 
-FIRST = """fv AS (SELECT pid, coalesce(arg_min(value / 30, (ts, event_id)) FILTER (feature = 'click'), 0) AS g, coalesce(arg_min(value * 2, (ts, event_id)) FILTER (feature = 'view'), 0) AS s, coalesce(arg_min(value / 4, (ts, event_id)) FILTER (feature = 'error' AND k < 40), 0) AS r FROM ev GROUP BY 1),
+FIRST = """fv AS (SELECT pid, coalesce(arg_min(value / 30, (ts, event_id)) FILTER (feature = 'click'), 0) AS g, coalesce(arg_min(value * 2, (ts, event_id)) FILTER (feature = 'view'), 0) AS s, coalesce(arg_min(value / 4, (ts, event_id)) FILTER (feature = 'error'), 0) AS r FROM ev GROUP BY 1),
     sv AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 60)::DOUBLE END AS riss, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 70)::DOUBLE END AS niss, c_mktsegment AS seg, (c_custkey % 95)::INT AS age FROM customer),
     x AS (SELECT sv.*, nullif(g, 0) AS g, nullif(s, 0) AS s, nullif(r, 0) AS r, greatest(riss, niss) AS severity, CASE WHEN seg = 'MACHINERY' THEN 'penetrating' ELSE 'blunt' END AS mechanism FROM sv LEFT JOIN fv USING (pid)),
     y AS (SELECT *, CASE WHEN g IS NOT NULL AND s IS NOT NULL AND r IS NOT NULL THEN 0.9368 * CASE WHEN g >= 13 THEN 4 WHEN g >= 9 THEN 3 WHEN g >= 6 THEN 2 WHEN g >= 4 THEN 1 ELSE 0 END + 0.7326 * CASE WHEN s > 89 THEN 4 WHEN s >= 76 THEN 3 WHEN s >= 50 THEN 2 WHEN s >= 1 THEN 1 ELSE 0 END
@@ -492,7 +492,7 @@ FIRST = """fv AS (SELECT pid, coalesce(arg_min(value / 30, (ts, event_id)) FILTE
 
 
 def scored(t):
-    ev_ = t.ev.filter(F.col("feature").isin("click", "view") | ((F.col("feature") == "error") & (F.col("k") < 40)))
+    ev_ = t.ev.filter(F.col("feature").isin("click", "view", "error"))
     scale = F.when(F.col("feature") == "click", F.col("value") / 30).when(F.col("feature") == "view", F.col("value") * 2).otherwise(F.col("value") / 4)
     first = ft.numeric_features(ev_.withColumn("value", scale), ["click", "view", "error"], "v", ["first"])
     vitals = first.select(

@@ -53,16 +53,16 @@ LABEL_SQL = ", ".join(
 )
 
 
-@query("e8_label_pivot", f"{with_('ev')} SELECT pid, {LABEL_SQL} FROM ev WHERE k < 30 GROUP BY 1")
+@query("e8_label_pivot", f"{with_('ev')} SELECT pid, {LABEL_SQL} FROM ev GROUP BY 1")
 def e8(t):
-    rows = t.ev.filter(F.col("k") < 30).withColumn("value", F.col("feature"))
+    rows = t.ev.withColumn("value", F.col("feature"))
     return ft.label_features(rows, FEATURES, "ev")
 
 
 @query(
     "e9_landmark_dataset",
-    f"""{with_("ev")}, a AS (SELECT pid, {wide_sql(["click", "purchase"], "ev")} FROM ev WHERE k >= 20 AND feature IN ('click', 'purchase') GROUP BY 1),
-    b AS (SELECT pid, {LABEL_SQL} FROM ev WHERE k < 10 GROUP BY 1)
+    f"""{with_("ev")}, a AS (SELECT pid, {wide_sql(["click", "purchase"], "ev")} FROM ev WHERE feature IN ('click', 'purchase') GROUP BY 1),
+    b AS (SELECT pid, {LABEL_SQL} FROM ev GROUP BY 1)
     SELECT c_custkey AS pid, c_acctbal, CAST(c_custkey % 2 AS INT) AS target,
       {", ".join(f'coalesce(a."{f}_ev_{x}", 0) AS "{f}_ev_{x}"' for x in AGGS for f in ("click", "purchase"))},
       {", ".join(f'coalesce(b."{f}_ev_{x}", 0) AS "{f}_ev_{x}"' for x in ("count", "given") for f in ("error", "signup", "view"))}
@@ -73,8 +73,8 @@ def e9(t):
     static = t.customer.select(
         F.col("c_custkey").alias("pid"), "c_acctbal", (F.col("c_custkey") % 2).cast("int").alias("target")
     )
-    numeric = ft.numeric_features(t.ev.filter(F.col("k") >= 20), ["click", "purchase"], "ev")
-    rows = t.ev.filter(F.col("k") < 10).withColumn("value", F.col("feature"))
+    numeric = ft.numeric_features(t.ev, ["click", "purchase"], "ev")
+    rows = t.ev.withColumn("value", F.col("feature"))
     labels = ft.label_features(rows, ["error", "signup", "view"], "ev")
     return rounded(ft.assemble_dataset(static, [numeric, labels], keep=("target",)))
 
@@ -211,12 +211,13 @@ def e17(t):
     "e17_code_columns",
     f"""{with_("stay")}, {DIAG_SQL}, i AS (SELECT pid, code, row_number() OVER (PARTITION BY pid ORDER BY noted_ts, code, event_id) AS n FROM dg JOIN stay ON key = pid
       WHERE noted_ts BETWEEN start_ts - to_days(1) AND end_ts + to_days(1))
-    SELECT pid, {", ".join(f"max(code) FILTER (n = {i}) AS code_{i}" for i in range(1, 51))}, max(n) AS n_code FROM i GROUP BY 1""",
+    SELECT pid, string_agg(code, ' ' ORDER BY n) AS codes, max(n) AS n_code FROM i GROUP BY 1""",
 )
 def e17_wide(t):
-    """First fifty codes as columns with the full count next to them."""
+    """All codes of an entity in order, with their number."""
     codes = diagnoses(t).select(F.col("key").alias("pid"), F.col("noted_ts").alias("ts"), "code", "event_id")
-    return ft.codes_to_columns(ft.numbered_codes(codes, t.stay), 50)
+    rows = ft.codes_in_order(ft.numbered_codes(codes, t.stay))
+    return rows.select("pid", F.array_join("codes", " ").alias("codes"), "n_code")
 
 
 @query(
@@ -272,7 +273,7 @@ def prior(t):
 
 
 def comorbidity_sql(weights):
-    rows = ", ".join(f"('{p}', '{c}')" for c, text in D.CATEGORY_RANGES.items() for p in D.expand(text))
+    rows = ", ".join(f"('{p}', '{c}')" for c, prefixes in D.CATEGORY_CODES.items() for p in prefixes)
     wrows = ", ".join(f"('{c}', {w})" for c, w in weights.items())
     return f"""WITH {PRIOR_SQL}, mp(prefix, cat) AS (VALUES {rows}), wt(cat, w) AS (VALUES {wrows}),
     f AS (SELECT DISTINCT pid, cat FROM pr JOIN mp ON starts_with(code, prefix)),
@@ -288,7 +289,7 @@ def e20(t):
     return cm.comorbidity_score(rows, base)
 
 
-OTHER_WEIGHTS = {c: 1 for c in D.CATEGORY_RANGES} | {"ld": 3, "metacanc": 6, "rf": 2}
+OTHER_WEIGHTS = {c: 1 for c in D.CATEGORY_CODES} | {"ld": 3, "metacanc": 6, "rf": 2}
 
 
 @query("e21_other_weights", comorbidity_sql(OTHER_WEIGHTS))
@@ -302,7 +303,7 @@ def e21(t):
     "e22_injury_scores",
     f"""WITH {DIAG_SQL}, tb AS (SELECT code, row_number() OVER (ORDER BY code) AS i FROM (SELECT unnest({sql_list(DIAG)}) AS code)),
     sv AS (SELECT code, CAST(i % 6 AS INT) AS region, CAST(i % 5 + 1 + CASE WHEN i = 17 THEN 3 ELSE 0 END AS INT) AS severity FROM tb),
-    h AS (SELECT DISTINCT key AS pid, code, region, severity FROM dg JOIN sv USING (code) WHERE event_id % 4 = 0),
+    h AS (SELECT DISTINCT key AS pid, code, region, severity FROM dg JOIN sv USING (code)),
     r AS (SELECT pid, region, max(severity) AS severity FROM h GROUP BY 1, 2),
     a AS (SELECT pid, CASE WHEN max(severity) >= 6 THEN 75 ELSE sum(severity * severity) END AS iss FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pid ORDER BY severity DESC, region) <= 3) GROUP BY 1),
     b AS (SELECT pid, CASE WHEN max(severity) >= 6 THEN 75 ELSE sum(severity * severity) END AS niss, max(severity) AS max_severity FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY pid ORDER BY severity DESC, code) <= 3) GROUP BY 1)
@@ -312,7 +313,7 @@ def e22(t):
     """Injury scores with the caller's (code, region, severity) table."""
     rows = [(c, i % 6, i % 5 + 1 + (3 if i == 17 else 0)) for i, c in enumerate(sorted(DIAG), 1)]
     table = t.lit_frame(rows, "code string, region int, severity int")
-    injuries = diagnoses(t).filter(F.col("event_id") % 4 == 0).select(F.col("key").alias("pid"), "code")
+    injuries = diagnoses(t).select(F.col("key").alias("pid"), "code")
     return cm.injury_scores(injuries, table)
 
 
@@ -403,29 +404,37 @@ HIGH = "coalesce((code = 'B01AB10' AND x > 4500) OR (code = 'B01AB04' AND x > 50
 
 def abx_case():
     t = T.TIER_TABLES["antibiotic_escalation"]
-    ex = " ".join(f"WHEN code IN ({', '.join(repr(c) for c in cs)}) THEN {lv}" for lv, cs in t["exact"].items())
-    pf = " ".join(f"WHEN {begins(*ps)} THEN {lv}" for lv, ps in t["prefix"].items())
+    ex = " ".join(f"WHEN code = '{c}' THEN {lv}" for c, lv in t["exact"].items())
+    pf = " ".join(f"WHEN {begins(p)} THEN {lv}" for p, lv in t["prefix"].items())
     return f"CASE {ex} {pf} WHEN code LIKE 'J01DD%' THEN 4 END"
 
 
+SIGNALS = [
+    *T.SIGNAL_CODES, *T.SIGNAL_PREFIXES, "antibiotic", "propofol_sedation", "propofol_surgical", "nmba_infusion", "nmba_bolus", "prophylactic_lmwh",
+    "therapeutic_lmwh", "iv_heparin", "continuous_loop", "iv_insulin", "strong_or_icu_opioid", "therapeutic_anticoag",
+]
+
 TAG_SQL = f"""tg AS (SELECT *, {INF} AS inf, {MG} AS mg, {DOSE} AS x FROM dd),
     sg AS (SELECT pid, step, code, code LIKE 'J01%' AND NOT coalesce(code = 'J01FA01' AND x <= 250 AND mg, false) AS antibiotic,
       code = 'N01AX10' AND NOT mg AS propofol_sedation, code = 'N01AX10' AND mg AS propofol_surgical,
       code = 'M03AC11' OR (code = 'M03AC09' AND inf) AS nmba_infusion, code = 'M03AB01' OR (code = 'M03AC09' AND NOT inf) AS nmba_bolus,
       code IN ('B01AB10', 'B01AB04', 'B01AB05') AND NOT {HIGH} AS prophylactic_lmwh,
       (code IN ('B01AB10', 'B01AB04', 'B01AB05') AND {HIGH}) OR (code = 'B01AB01' AND inf) OR {codes_in("doac", "vka")} AS therapeutic_anticoag,
-      {codes_in("loop_diuretic")} AND inf AS continuous_loop, code IN ('A10AB01', 'A10AB05') AND inf AS iv_insulin FROM tg)"""
+      {codes_in("loop_diuretic")} AND inf AS continuous_loop, code IN ('A10AB01', 'A10AB05') AND inf AS iv_insulin,
+      code IN ('B01AB10', 'B01AB04', 'B01AB05') AND {HIGH} AS therapeutic_lmwh, code = 'B01AB01' AND inf AS iv_heparin,
+      {codes_in("strong_opioid")} OR code LIKE 'N01AH%' AS strong_or_icu_opioid,
+      {", ".join(f"{codes_in(n)} AS {n}" for n in T.SIGNAL_CODES)}, {", ".join(f"{begins(*p)} AS {n}" for n, p in T.SIGNAL_PREFIXES.items())} FROM tg)"""
 
 
 @query(
     "e24_signal_tags",
-    f"""WITH {DOSE_SQL}, {TAG_SQL} SELECT pid, step, code, antibiotic, propofol_sedation, propofol_surgical, nmba_infusion, nmba_bolus, prophylactic_lmwh,
-      therapeutic_anticoag, continuous_loop, iv_insulin, CAST(CASE WHEN antibiotic THEN {abx_case()} END AS INT) AS abx_level FROM sg""",
+    f"""WITH {DOSE_SQL}, {TAG_SQL} SELECT pid, step, code, {", ".join(SIGNALS)},
+      CAST(CASE WHEN antibiotic THEN {abx_case()} END AS INT) AS abx_level FROM sg""",
 )
 def e24(t):
+    """Every signal flag of every record."""
     out = md.tag_signals(md.strongest_dose(doses(t)))
-    names = ["antibiotic", "propofol_sedation", "propofol_surgical", "nmba_infusion", "nmba_bolus", "prophylactic_lmwh"]
-    return out.select("pid", "step", "code", *names, "therapeutic_anticoag", "continuous_loop", "iv_insulin", "abx_level")
+    return out.select("pid", "step", "code", *SIGNALS, "abx_level")
 
 
 ROLL_SQL = f"""rl AS (SELECT pid, step, coalesce(max(CASE WHEN antibiotic THEN {abx_case()} END), 0) AS abx,
@@ -453,20 +462,13 @@ TIER_SQL = """ti AS (SELECT *, CASE WHEN n_icu_vaso >= 2 OR (icu_vaso AND amioda
 
 @query(
     "e26_signal_rollup",
-    f"""WITH {DOSE_SQL}, {TAG_SQL}, {ROLL_SQL} SELECT pid, step, CAST(abx AS INT) AS abx_level, CAST(n_abx AS INT) AS antibiotic, CAST(n_icu_vaso AS INT) AS icu_vaso,
-      CAST(n_antiplatelet AS INT) AS antiplatelet, CAST(n_electrolyte AS INT) AS electrolyte, CAST(n_strong AS INT) AS strong_or_icu_opioid,
-      therapeutic_anticoag, tpn, sc_insulin FROM rl""",
+    f"""WITH {DOSE_SQL}, {TAG_SQL} SELECT pid, step, {", ".join(f"CAST(count(DISTINCT code) FILTER ({n}) AS INT) AS {n}" for n in SIGNALS)},
+      CAST(coalesce(max(CASE WHEN antibiotic THEN {abx_case()} END), 0) AS INT) AS abx_level FROM sg GROUP BY 1, 2""",
 )
 def e26(t):
+    """Every signal per cell: how many codes carry it."""
     out = md.roll_up_signals(md.tag_signals(md.strongest_dose(doses(t))))
-    counts = ["antibiotic", "icu_vaso", "antiplatelet", "electrolyte", "strong_or_icu_opioid"]
-    return out.select(
-        "pid",
-        "step",
-        F.coalesce("abx_level", F.lit(0)).alias("abx_level"),
-        *counts,
-        *[(F.col(c) > 0).alias(c) for c in ("therapeutic_anticoag", "tpn", "sc_insulin")],
-    )
+    return out.select("pid", "step", *SIGNALS, F.coalesce("abx_level", F.lit(0)).alias("abx_level"))
 
 
 FINAL_TIERS = """SELECT pid, step, CAST(abx AS INT) AS abx_tier, CAST(n_abx AS INT) AS abx_n_concurrent, hemo AS hemodynamic_tier, sed AS sedation_tier,
@@ -485,22 +487,22 @@ def e27(t):
 @query(
     "e28_composite_series",
     f"""WITH {DOSE_SQL}, {TAG_SQL}, {ROLL_SQL}, {TIER_SQL}, x AS ({FINAL_TIERS}),
-    l AS (SELECT pid, step, 'sedation_tier' AS feature, CAST(sedation_tier AS DOUBLE) AS v FROM x UNION ALL SELECT pid, step, 'max_severity_signal', max_severity_signal FROM x)
-    SELECT s.pid, f.feature, CAST(g.i AS INT) AS step, coalesce(l.v, 0) AS value FROM (SELECT DISTINCT pid FROM x) s, (VALUES ('sedation_tier'), ('max_severity_signal')) f(feature),
+    l AS (UNPIVOT (SELECT pid, step, {", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in md.COMPOSITE_FEATURES)} FROM x) ON {", ".join(md.COMPOSITE_FEATURES)} INTO NAME feature VALUE v)
+    SELECT s.pid, f.feature, CAST(g.i AS INT) AS step, round(coalesce(l.v, 0), 6) AS value FROM (SELECT DISTINCT pid FROM x) s, (SELECT DISTINCT feature FROM l) f,
       UNNEST(range(0, 150)) g(i) LEFT JOIN l ON l.pid = s.pid AND l.feature = f.feature AND l.step = g.i""",
 )
 def e28(t):
     """Composite features as series with 0 where no drug was given."""
-    cells = md.composite_features(doses(t)).filter(F.col("feature").isin("sedation_tier", "max_severity_signal"))
+    cells = md.composite_features(doses(t))
     rows = ft.series_to_cells(ft.series(cells, 150))
     return rounded(rows.select("pid", "feature", F.col("step").cast("int").alias("step"), F.coalesce("value", F.lit(0.0)).alias("value")))
 
 
 def tier_case(name):
     t = T.TIER_TABLES[name]
-    parts = [f"WHEN code IN ({', '.join(repr(c) for c in cs)}) THEN {lv}" for lv, cs in t["exact"].items() if cs]
+    parts = [f"WHEN code = '{c}' THEN {lv}" for c, lv in t["exact"].items()]
     for part in ("prefix", "default"):
-        parts += [f"WHEN {begins(*ps)} THEN {lv}" for lv, ps in t.get(part, {}).items()]
+        parts += [f"WHEN {begins(p)} THEN {lv}" for p, lv in t.get(part, {}).items()]
     return f"CAST(CASE WHEN length(code) < 4 THEN NULL {' '.join(parts)} END AS INT)"
 
 

@@ -112,34 +112,34 @@ def c8(t):
 
 @query(
     "c9_full_merge",
-    f"""{with_("ev")}, a AS (SELECT pid, max(value) AS v FROM ev WHERE feature = 'click' AND k % 3 = 0 GROUP BY 1),
-    b AS (SELECT pid, max(value) AS v FROM ev WHERE feature = 'error' AND k % 5 = 0 AND pid % 2 = 0 GROUP BY 1), c AS (SELECT pid, max(value) AS v FROM ev WHERE feature = 'view' AND k < 5 GROUP BY 1)
+    f"""{with_("ev")}, a AS (SELECT pid, max(value) AS v FROM ev WHERE feature = 'click' GROUP BY 1),
+    b AS (SELECT o_custkey AS pid, max(o_totalprice) AS v FROM orders GROUP BY 1), c AS (SELECT s_suppkey AS pid, max(s_acctbal) AS v FROM supplier GROUP BY 1)
     SELECT coalesce(a.pid, b.pid, c.pid) AS pid, a.v AS "A", b.v AS "B", c.v AS "C" FROM a FULL JOIN b ON a.pid = b.pid FULL JOIN c ON coalesce(a.pid, b.pid) = c.pid""",
 )
 def c9(t):
-    def part(name, cond):
-        return t.ev.filter(cond).groupBy("pid").agg(F.max("value").alias(name))
-
-    f, k = F.col("feature"), F.col("k")
+    """Three tables whose ids overlap in part."""
     parts = {
-        "A": part("A", (f == "click") & (k % 3 == 0)),
-        "B": part("B", (f == "error") & (k % 5 == 0) & (F.col("pid") % 2 == 0)),
-        "C": part("C", (f == "view") & (k < 5)),
+        "A": t.ev.filter(F.col("feature") == "click").groupBy("pid").agg(F.max("value").alias("A")),
+        "B": t.orders.groupBy(F.col("o_custkey").alias("pid")).agg(F.max("o_totalprice").alias("B")),
+        "C": t.supplier.groupBy(F.col("s_suppkey").alias("pid")).agg(F.max("s_acctbal").alias("C")),
     }
     return j.full_merge(parts, "pid")
 
 
 @query(
     "c10_fallback_union",
-    f"""{with_("ev")}, a AS (SELECT pid, event_id FROM ev WHERE feature = 'signup' AND k < 10), b AS (SELECT pid, event_id FROM ev WHERE feature = 'view' AND k < 40),
-    c AS (SELECT pid, event_id FROM ev WHERE feature = 'error'), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE pid NOT IN (SELECT pid FROM a))
+    """WITH a AS (SELECT s_suppkey AS pid, s_suppkey AS id FROM supplier), b AS (SELECT o_custkey AS pid, o_orderkey AS id FROM orders),
+    c AS (SELECT c_custkey AS pid, c_custkey AS id FROM customer), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE pid NOT IN (SELECT pid FROM a))
     SELECT * FROM ab UNION ALL SELECT * FROM c WHERE pid NOT IN (SELECT pid FROM ab)""",
 )
 def c10(t):
-    def part(feature, below):
-        return t.ev.filter((F.col("feature") == feature) & (F.col("k") < below)).select("pid", "event_id")
+    """Rows of the first table that has an id: suppliers, else orders, else customers."""
+
+    def part(table, key, row):
+        return table.select(F.col(key).alias("pid"), F.col(row).alias("id"))
 
-    return j.fallback_union(j.fallback_union(part("signup", 10), part("view", 40), "pid"), part("error", 1000), "pid")
+    known = j.fallback_union(part(t.supplier, "s_suppkey", "s_suppkey"), part(t.orders, "o_custkey", "o_orderkey"), "pid")
+    return j.fallback_union(known, part(t.customer, "c_custkey", "c_custkey"), "pid")
 
 
 @query("c11_semi_join", "SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
@@ -244,11 +244,11 @@ def c19(t):
 
 @query(
     "c20_scaffold",
-    f"""{with_("ev")}, a AS (SELECT pid, feature, count(*) AS n FROM ev WHERE k < 15 GROUP BY 1, 2)
+    f"""{with_("ev")}, a AS (SELECT pid, feature, count(*) AS n FROM ev GROUP BY 1, 2)
     SELECT s.pid, f.feature, coalesce(n, 0) AS n FROM (SELECT DISTINCT pid FROM ev) s CROSS JOIN (SELECT DISTINCT feature FROM ev) f LEFT JOIN a ON a.pid = s.pid AND a.feature = f.feature""",
 )
 def c20(t):
-    counts = t.ev.filter(F.col("k") < 15).groupBy("pid", "feature").agg(F.count("*").alias("n"))
+    counts = t.ev.groupBy("pid", "feature").agg(F.count("*").alias("n"))
     full = m.scaffold(t.ev, ["click", "error", "purchase", "signup", "view"])
     return full.join(counts, ["pid", "feature"], "left").fillna(0, ["n"])
 
