@@ -40,12 +40,12 @@ def may_hold(filled: np.ndarray, ids: pa.Array) -> pa.Array:
     return pa.array(filled[_place(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False))
 
 
-def held(rows: DataFrame, filled: np.ndarray) -> DataFrame:
-    """The rows of ``rows`` whose doc_id may be among the marked ones."""
+def held(rows: DataFrame, filled: np.ndarray, column: str = "doc_id") -> DataFrame:
+    """The rows of ``rows`` whose id may be among the marked ones."""
     shared = rows.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(may_hold(shared.value, b.column("doc_id")))
+            yield b.filter(may_hold(shared.value, b.column(column)))
 
     return rows.mapInArrow(run, rows.schema)

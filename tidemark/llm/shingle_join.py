@@ -31,6 +31,8 @@ from tidemark.llm.token_counts import _large, _small
 
 U64 = np.uint64
 BLOCK_BYTES = 16 << 20
+#: Gids by which a pair finds the one group that is to test it.
+FIRST = 8
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -313,20 +315,32 @@ def tested(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(sieve, "a long, b long")
-    whole = left.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    left = work.written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(sieve, "a long, b long"))
+    # only the sets of pairs that are left are shuffled
+    needed = id_filter.marked(left.select("a").union(left.select("b")))
+    some = id_filter.held(sets.select("class", "set"), needed, "class")
+    whole = left.join(some.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(some.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     return whole.mapInArrow(test, "a long, b long")
 
 
+def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number that ``x`` shares with each row of ``y``, or the largest integer."""
+    return np.where((y[:, :, None] == x).any(axis=2), y, np.iinfo(np.int64).max).min(axis=1)
+
+
 def open_pairs(members: DataFrame, rule: Rule, slots: int) -> DataFrame:
     """Pairs of a group (gid, class, label, size, sketch) with two labels that the sketches leave possible.
 
-    The group's least class is left out: it was tested against all others.
+    The group's least class is left out: it was tested against all others. Two classes often share many
+    groups; each class brings its ``FIRST`` least gids, and a pair is left to the least gid in both lists.
     """
 
     def cross(table: pa.Table) -> pa.Table:
         gid, own, label, size = (table.column(c).to_numpy() for c in ("gid", "class", "label", "size"))
         sketches, found = table.column("sketch").to_pylist(), []
+        first = np.full((len(gid), FIRST), np.iinfo(np.int64).max)
+        for i, own_gids in enumerate(table.column("first").to_pylist()):
+            first[i, : len(own_gids)] = own_gids
         order = np.lexsort((own, gid))
         for at in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
             at = at[1:]
@@ -335,11 +349,13 @@ def open_pairs(members: DataFrame, rule: Rule, slots: int) -> DataFrame:
                 rest = at[i + 1 :]
                 ok = (label[rest] != label[at[i]]) & may_link(bits[i], bits[i + 1 :], size[rest] + size[at[i]], rule)
                 if ok.any():
+                    ok[ok] = _least_shared(first[at[i]], first[rest[ok]]) >= gid[at[i]]
                     found.append(np.stack([np.full(ok.sum(), own[at[i]]), own[rest[ok]]], 1))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
-    dealt = members.withColumn("slot", F.pmod(F.xxhash64("gid"), F.lit(slots)))
+    lists = members.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("gid")), 1, FIRST).alias("first"))
+    dealt = members.join(lists, "class").withColumn("slot", F.pmod(F.xxhash64("gid"), F.lit(slots)))
     return dealt.groupBy("slot").applyInArrow(cross, "a long, b long").distinct()
 
 
