@@ -124,7 +124,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     coded = staged.mapInArrow(pack, ROW)
     ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "data")
-    ordered.mapInArrow(number, ROW + ", file long, before long").write.parquet(f"{path}/ids")
+    ordered.mapInArrow(number, ROW + ", file long, before long").write.option("compression", "zstd").parquet(f"{path}/ids")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

@@ -13,7 +13,10 @@ import regex
 from tidemark.llm import spans
 
 #: Pieces, and pre-tokens in them, that a Python worker remembers; when full, further ones are encoded anew.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+REMEMBERED_PARTS = 150_000
+#: Bytes of a chunk: the larger, the fewer pieces come up in several chunks.
+CHUNK = 6 << 20
 _known: dict[tuple, dict] = {}
 _loaded: dict[str, object] = {}
 
@@ -24,6 +27,8 @@ SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(SHOWN))}
 #: Below this character every Unicode version agrees on classes, and composing changes nothing.
 PLAIN = "\u0250"
+#: Characters that end a match of letters and are one by themselves at a piece's end.
+CLOSING = (".", ",")
 
 
 def tokenizer(path: str):
@@ -61,13 +66,22 @@ def encode_pieces(path: str, pieces: list[bytes]) -> list[bytes]:
             out.append(None)
             rest.append(text)
             continue
+        if word:
+            text = text.lower()
+        letters = text[1:] if text[:1] == " " else text
+        if letters.isalpha():
+            parts = (text,)
+        elif letters[-1:] in CLOSING and letters[:-1].isalpha():
+            parts = (text[:-1], text[-1])
+        else:
+            parts = find(text)
         ids = b""
-        for token in find(text.lower() if word else text):
+        for token in parts:
             found = memory.get(token)
             if found is None:
                 shown = token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(BYTE_CHARS)
                 found = array("I", [t.id for t in model(shown)]).tobytes()
-                if len(memory) < REMEMBERED and len(token) <= 64:
+                if len(memory) < REMEMBERED_PARTS and len(token) <= 64:
                     memory[token] = found
             ids += found
         out.append(ids)
@@ -116,6 +130,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Iter
     """Chunk by chunk: the rows, all their ids, and where each row's ids begin."""
     encoder = Encoder(path)
     for batch in batches:
-        for c in spans.chunks(batch.column(text_col)):
+        for c in spans.chunks(batch.column(text_col), CHUNK):
             ids, begin = encoder.chunk(c)
             yield batch.slice(c.first, len(c)), ids, begin

@@ -184,6 +184,11 @@ def _logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_design(x) @ w, -35, 35)))
 
 
+def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The logistic function where there are words, else 0."""
+    return np.where(x[:, 3] > 0, _logistic(x, w), 0.0)
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of the logistic function by Newton steps, with a ridge; without rows, a score of about 0."""
     a, w = _design(x), np.array([-8.0, 0, 0, 0, 0])
@@ -219,14 +224,14 @@ def learn(count_rows: DataFrame, fit_rows: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` (text, ...), with score and predicted.
 
-    A null text, or one without letters, has no evidence and gets the score that follows from none. Without
-    labelled rows every score is near 0. Clashing columns: score and predicted are replaced.
+    A null text, or one without letters, has no evidence against it and scores 0. Without labelled rows
+    every score is near 0. Clashing columns: score and predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_logistic(_evidence(c, shared.value), shared.value.weights) for c in spans.chunks(b.column("text"))]
+            found = [_score(_evidence(c, shared.value), shared.value.weights) for c in spans.chunks(b.column("text"))]
             p = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
 

@@ -15,10 +15,10 @@ def folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: later jobs and retries see the same rows."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
