@@ -49,7 +49,8 @@ def frequencies(docs: DataFrame, tokenizer: str, slots: int) -> DataFrame:
                 piece, text = which[pair], doc[pair]
                 holders = np.bincount(piece, minlength=len(first))
                 often = holders * 64 > max(len(c), 64)
-                slot = ((h + np.where(often, np.uint64(block * 0x9E3779B1), np.uint64(0))) % np.uint64(slots)).astype(np.int64)
+                salt = spans.mix(np.array([block], np.uint64))
+                slot = (np.where(often, h + salt, h) % np.uint64(slots)).astype(np.int64)
                 order = np.argsort(slot, kind="stable")
                 place = np.empty(len(first), np.int64)
                 place[order] = np.arange(len(first))
