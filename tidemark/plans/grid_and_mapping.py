@@ -46,7 +46,7 @@ def c2(t):
     shifted AS (SELECT pid, date_trunc('minute', ts) AS ts, feature, event_id FROM ev),
     b2 AS (SELECT pid, date_trunc('minute', start_ts) AS start_ts FROM base)
     SELECT e.pid, e.ts, e.feature, e.event_id, g.step FROM shifted e JOIN b2 USING (pid) JOIN grid g
-      ON e.ts >= start_ts + to_minutes(g.lo) AND e.ts <= start_ts + to_minutes(g.hi)""",
+      ON epoch_us(e.ts) - epoch_us(start_ts) >= g.lo * 60000000 AND epoch_us(e.ts) - epoch_us(start_ts) <= g.hi * 60000000""",
 )
 def c3(t):
     """Closed cells on whole minutes, so that many events sit exactly on an edge."""
@@ -59,7 +59,7 @@ def c3(t):
     "c4_interval_to_bins",
     f"""{with_("ev", "base", "seg", "grid", "nexts")}
     SELECT n.pid, n.feature, n.event_id, g.step FROM nexts n JOIN base USING (pid) JOIN grid g
-      ON n.ts < base.start_ts + to_minutes(g.hi) AND n.end_ts > base.start_ts + to_minutes(g.lo)
+      ON epoch_us(n.ts) - epoch_us(base.start_ts) < g.hi * 60000000 AND epoch_us(n.end_ts) - epoch_us(base.start_ts) > g.lo * 60000000
     WHERE n.end_ts IS NOT NULL""",
 )
 def c4(t):
@@ -264,7 +264,7 @@ def e5(t):
     "e6_map_concept",
     f"""{with_("ev", "base", "seg", "grid", "nexts")},
     mi AS (SELECT n.*, g.step FROM nexts n JOIN base USING (pid) JOIN grid g
-      ON n.ts < base.start_ts + to_minutes(g.hi) AND n.end_ts > base.start_ts + to_minutes(g.lo))
+      ON epoch_us(n.ts) - epoch_us(base.start_ts) < g.hi * 60000000 AND epoch_us(n.end_ts) - epoch_us(base.start_ts) > g.lo * 60000000)
     SELECT pid, step, feature, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, count(value) AS count
     FROM mi GROUP BY 1, 2, 3""",
 )

@@ -341,7 +341,7 @@ def k5(t):
 @query(
     "k6_prefix_replay",
     f"""{with_("ev", "base", "seg", "grid")} SELECT base.pid, g.step, ev.feature, count(*) AS n, round(sum(value), 6) AS total, max(value) AS max FROM base CROSS JOIN grid g
-      JOIN ev ON ev.pid = base.pid AND ev.ts <= base.start_ts + to_minutes(g.hi) GROUP BY 1, 2, 3""",
+      JOIN ev ON ev.pid = base.pid AND epoch_us(ev.ts) - epoch_us(base.start_ts) <= g.hi * 60000000 GROUP BY 1, 2, 3""",
 )
 def k6(t):
     """For every cell end the running count, sum and maximum of what was known then.

@@ -65,7 +65,7 @@ def k3(t):
 @query(
     "k4_running_intervals",
     f"""{with_("ev", "base", "seg", "grid", "nexts")}, x AS (SELECT n.pid, feature, event_id, n.ts, least(coalesce(n.end_ts, start_ts + to_hours(300)), start_ts + to_hours(300)) AS e, start_ts FROM nexts n JOIN base USING (pid) WHERE n.ts <= start_ts + to_hours(300))
-    SELECT DISTINCT pid, feature, step FROM x JOIN grid g ON x.ts < start_ts + to_minutes(g.hi) AND x.e > start_ts + to_minutes(g.lo)""",
+    SELECT DISTINCT pid, feature, step FROM x JOIN grid g ON epoch_us(x.ts) - epoch_us(start_ts) < g.hi * 60000000 AND epoch_us(x.e) - epoch_us(start_ts) > g.lo * 60000000""",
 )
 def k4(t):
     """Three refreshes of running intervals give the same cells as one look at the end."""

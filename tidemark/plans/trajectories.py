@@ -266,7 +266,7 @@ def d20(t):
     "d21_boundary_step",
     f"""{with_("ev", "seg", "grid")},
     b AS (SELECT pid, min(CASE WHEN feature = 'click' THEN ts END) AS start_ts, min(CASE WHEN feature = 'view' THEN ts END) AS second FROM ev GROUP BY 1)
-    SELECT pid, g.step AS boundary_step FROM b LEFT JOIN grid g ON second > start_ts + to_minutes(g.lo) AND second <= start_ts + to_minutes(g.hi)""",
+    SELECT pid, g.step AS boundary_step FROM b LEFT JOIN grid g ON epoch_us(second) - epoch_us(start_ts) > g.lo * 60000000 AND epoch_us(second) - epoch_us(start_ts) <= g.hi * 60000000""",
 )
 def d21(t):
     first = {f: F.min(F.when(F.col("feature") == f, F.col("ts"))) for f in ("click", "view")}
