@@ -117,10 +117,10 @@ def parse_timestamp(col: Column) -> Column:
     """ISO text, else ``22FEB2018:13:40:02.2750``; NULL when neither fits."""
     month = F.initcap(F.substring(col, 3, 3))
     sas = F.concat(F.substring(col, 1, 2), month, F.substring(col, 6, 100))
-    # the fraction may have any number of digits: cut or pad it to four
-    sas = F.rpad(F.when(sas.contains("."), sas).otherwise(F.concat(sas, F.lit("."))), 23, "0")
+    # the fraction may have any number of digits: cut or pad it to microseconds
+    sas = F.rpad(F.when(sas.contains("."), sas).otherwise(F.concat(sas, F.lit("."))), 25, "0")
     iso = col.try_cast("timestamp_ntz")
-    parsed = F.try_to_timestamp(sas, F.lit("ddMMMyyyy:HH:mm:ss.SSSS")).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(sas, F.lit("ddMMMyyyy:HH:mm:ss.SSSSSS")).cast("timestamp_ntz")
     looks_sas = col.rlike(r"^\d{2}[A-Za-z]{3}\d{4}:")
     return F.coalesce(F.when(~looks_sas, iso), F.when(looks_sas, parsed))
 

@@ -8,12 +8,14 @@ then a sliced running count over the score gives every threshold its true and fa
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import inverse_normal, two_sided_p
+from tidemark.functions.numeric import two_sided_p
 from tidemark.functions.timegrid import DEFAULT_GRID, Grid
 from tidemark.operators.quantiles import group_quantiles
 from tidemark.operators.sliced import Scan, sliced_scan, value_slice
@@ -169,26 +171,26 @@ def poisson_quantile():
     @F.pandas_udf("double")
     def quantile(u: pd.Series, mean: pd.Series) -> pd.Series:
         x, m = u.to_numpy(dtype=float), mean.to_numpy(dtype=float)
-        k = np.zeros(len(x))
-        term = np.exp(-m)
+        # from 12 standard deviations below the mean on; less than 1e-30 lies outside them
+        wide = 12 * np.sqrt(m) + 20
+        k = np.floor(np.maximum(m - wide, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            term = np.where(m > 0, np.exp(np.where(k > 0, k * np.log(m), 0) - m - np.array([math.lgamma(i + 1) for i in k])), 1.0)
         total = term.copy()
-        open_ = total < x
+        open_ = (total < x) & (m > 0)
         while open_.any():
             k[open_] += 1
             term[open_] *= m[open_] / k[open_]
             total[open_] += term[open_]
-            open_ &= (total < x) & (term > 1e-300)
+            open_ &= (total < x) & (k < m + wide)
         return pd.Series(k)
 
     return quantile
 
 
-def poisson_weight(count: Column, *parts: Column, exact_up_to: int = 100) -> Column:
-    """Poisson(count) resampling weight from hashed parts; normal approximation for large counts."""
-    u = _uniform(*parts)
-    exact = poisson_quantile()(u, F.least(count.cast("double"), F.lit(float(exact_up_to))))
-    big = F.greatest(F.round(count + F.sqrt(count) * inverse_normal(u)), F.lit(0.0))
-    return F.when(count <= 0, 0.0).when(count <= exact_up_to, exact).otherwise(big)
+def poisson_weight(count: Column, *parts: Column) -> Column:
+    """Poisson(count) resampling weight from hashed parts, by inversion whatever the count."""
+    return poisson_quantile()(_uniform(*parts), count.cast("double"))
 
 
 def bootstrap_tables(rows: DataFrame, keys: list[str], replicates: int, seed: int, totals: bool = False) -> DataFrame:
@@ -382,17 +384,15 @@ def concordance(subjects: DataFrame) -> DataFrame:
     every count is laid on the event steps before its time, and each step is one rank statistic.
     """
     counted = subjects.groupBy("time", "event", "risk").agg(F.count("*").cast("double").alias("c"))
-    return _concordance(counted, []).drop("__k")
+    return _concordance(counted, [])
 
 
 def _concordance(counted: DataFrame, keys: list[str]) -> DataFrame:
-    keys = keys or ["__k"]
-    if keys == ["__k"]:
-        counted = counted.withColumn("__k", F.lit(1))
     events = counted.filter(F.col("event") == 1)
     # the discrete event times of a key are bounded by the grid
     steps = events.groupBy(*keys).agg(F.array_sort(F.collect_set("time")).alias("__steps"))
-    everyone = counted.groupBy(*keys, "time", "risk").agg(F.sum("c").alias("c")).join(steps, keys)
+    everyone = counted.groupBy(*keys, "time", "risk").agg(F.sum("c").alias("c"))
+    everyone = everyone.join(steps, keys) if keys else everyone.withColumn("__steps", steps.scalar())
     later = everyone.select(
         *keys, F.explode(F.filter("__steps", lambda s: s < F.col("time"))).alias("eval_step"), "risk", F.lit(0.0).alias("pos"), F.col("c").alias("neg")
     )
@@ -411,9 +411,10 @@ def concordance_ci(subjects: DataFrame, replicates: int = 1000, seed: int = 42)
     rep = counted.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     tags = [F.col(c) for c in ("time", "event", "risk", "replicate")] + [F.lit(seed)]
     drawn = rep.withColumn("c", poisson_weight(F.col("c"), *tags)).filter(F.col("c") > 0)
-    per = _concordance(cut_lineage(drawn), ["replicate"]).withColumn("__k", F.lit(1))
-    q = group_quantiles(per, ["__k"], "cindex", {"ci_lower": 0.025, "ci_upper": 0.975})
-    return concordance(subjects).withColumn("__k", F.lit(1)).join(q, "__k").drop("__k")
+    per = _concordance(cut_lineage(drawn), ["replicate"])
+    q = group_quantiles(per, [], "cindex", {"ci_lower": 0.025, "ci_upper": 0.975})
+    ends = q.select(F.struct("ci_lower", "ci_upper")).scalar()
+    return concordance(subjects).withColumn("__q", ends).select("*", "__q.ci_lower", "__q.ci_upper").drop("__q")
 
 
 def time_dependent_auc(subjects: DataFrame, times: list[int], min_n: int = 10) -> DataFrame:
@@ -451,10 +452,10 @@ def survival_brier(subjects: DataFrame, survival: DataFrame, times: list[int]) -
     g = censoring_survival(subjects)
     rows = subjects.join(g.select("time", F.col("g").alias("g_own")), "time").withColumn("eval_step", F.explode(F.lit(times)))
     # G at the evaluation time: the last value at or before it, over the few discrete times
-    steps = g.groupBy().agg(F.array_sort(F.collect_list(F.struct("time", "g"))).alias("__g")).withColumn("__k", F.lit(1))
-    rows = rows.withColumn("__k", F.lit(1)).join(F.broadcast(steps), "__k")
+    steps = g.agg(F.array_sort(F.collect_list(F.struct("time", "g"))))
+    rows = rows.withColumn("__g", steps.scalar())
     past = F.filter("__g", lambda s: s["time"] <= F.col("eval_step"))
-    rows = rows.withColumn("g_at", F.coalesce(F.try_element_at(past, F.lit(-1))["g"], F.lit(1.0))).drop("__g", "__k")
+    rows = rows.withColumn("g_at", F.coalesce(F.try_element_at(past, F.lit(-1))["g"], F.lit(1.0))).drop("__g")
     rows = rows.join(survival.select("pid", F.col("step").alias("eval_step"), "survival"), ["pid", "eval_step"])
     case = (F.col("time") <= F.col("eval_step")) & (F.col("event") == 1)
     control = F.col("time") > F.col("eval_step")
@@ -656,7 +657,6 @@ def early_coverage(cells: DataFrame, n_entities: DataFrame, hours: list[float],
     table = F.array(*[F.struct(F.lit(float(h)).alias("hour"), F.lit(s).alias("last")) for h, s in zip(hours, last)])
     seen = rows.withColumn("t", F.explode(table)).filter(F.col("step") <= F.col("t.last"))
     per = seen.groupBy("feature", F.col("t.hour").alias("hour"), "pid").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-    out = per.groupBy("feature", "hour").agg(F.count("*").alias("n_pid"), (F.sum("s") / F.sum("c")).alias("mean_value")).withColumn("__k", F.lit(1))
-    out = out.join(F.broadcast(n_entities.select(F.lit(1).alias("__k"), F.col("n").alias("__n"))), "__k")
-    out = out.withColumn("pct_entities", F.col("n_pid") * 100.0 / F.col("__n")).filter(F.col("pct_entities") >= min_pct)
+    out = per.groupBy("feature", "hour").agg(F.count("*").alias("n_pid"), (F.sum("s") / F.sum("c")).alias("mean_value"))
+    out = out.withColumn("pct_entities", F.col("n_pid") * 100.0 / n_entities.select("n").scalar()).filter(F.col("pct_entities") >= min_pct)
     return out.select("feature", "hour", "pct_entities", "mean_value")

@@ -127,8 +127,14 @@ def landmark_dataset(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether a table was written there; the writer leaves no files behind before it commits."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def out_of_fold(

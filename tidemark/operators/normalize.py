@@ -6,8 +6,6 @@ trajectory (``lengths(pid, traj_len)``).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,47 +105,24 @@ def fit_quantile(values: DataFrame, n_quantiles: int = 1000, by: str = "feature"
     )
 
 
-# a fitted table has one row of at most n_quantiles numbers per channel; beyond this many channels
-# it is no lookup any more
-MAX_CHANNELS = 5_000
-
-
-def collect_quantiles(fitted: DataFrame, by: str = "feature") -> dict[str, np.ndarray]:
-    """Fitted quantiles on the driver; more channels than a lookup may hold are refused."""
-    rows = fitted.filter(F.col("quantiles").isNotNull()).select(by, "quantiles").limit(MAX_CHANNELS + 1).collect()
-    if len(rows) > MAX_CHANNELS:
-        raise ValueError(f"more than {MAX_CHANNELS} channels are too many for a lookup table")
-    return {r[0]: np.asarray(r[1], dtype=float) for r in rows}
-
-
 # The normal output is cut at the quantile of 1e-7.
 NORMAL_LIMIT = 5.19933758270342
 
 
-def position_udf(tables: dict[str, np.ndarray]):
-    """Vectorised position of values in [0, 1] among their channel's quantiles.
-
-    Interpolating from both ends and averaging puts a repeated quantile in the middle of its run.
-    """
-
-    @F.pandas_udf("double")
-    def position(feature: pd.Series, value: pd.Series) -> pd.Series:
-        out = np.full(len(value), np.nan)
-        x = value.to_numpy(dtype=float)
-        for name, idx in feature.groupby(feature).indices.items():
-            q = tables.get(name)
-            if q is None:
-                continue
-            ref = np.linspace(0, 1, len(q)) if len(q) > 1 else np.zeros(1)
-            v = x[idx]
-            u = 0.5 * (np.interp(v, q, ref) - np.interp(-v, -q[::-1], -ref[::-1]))
-            u[v <= q[0]] = 0.0
-            u[v >= q[-1]] = 1.0 if len(q) > 1 and q[-1] > q[0] else 0.0
-            u[np.isnan(v)] = np.nan
-            out[idx] = u
-        return pd.Series(out)
-
-    return position
+def position(value: Column, quantiles: Column) -> Column:
+    """Position of a value in [0, 1] among ascending quantiles; a repeated quantile counts at the
+    middle of its run. NULL for NULL or NaN values and without quantiles."""
+    n = F.size(quantiles)
+    below = F.size(F.filter(quantiles, lambda q: q < value))
+    upto = F.size(F.filter(quantiles, lambda q: q <= value))
+    first, last = F.get(quantiles, F.lit(0)), F.get(quantiles, n - 1)
+    lo, hi = F.get(quantiles, below - 1), F.get(quantiles, below)
+    between = below - 1 + (value - lo) / (hi - lo)
+    middle = (below + upto - 1) / 2
+    inside = F.when(upto > below, middle).otherwise(between) / (n - 1)
+    top = F.when((n > 1) & (last > first), 1.0).otherwise(0.0)
+    found = F.when(value >= last, top).when(value <= first, 0.0).otherwise(inside)
+    return F.when(value.isNotNull() & ~F.isnan(value) & (n > 0), found)
 
 
 def normal_score(u: Column) -> Column:
@@ -157,9 +132,9 @@ def normal_score(u: Column) -> Column:
 
 def apply_quantile(rows: DataFrame, fitted: DataFrame, output: str = "normal", by: str = "feature") -> DataFrame:
     """Map values to their quantile position, as uniform or normal scores."""
-    u = F.nanvl(position_udf(collect_quantiles(fitted, by))(F.col(by), F.col("value")), F.lit(None).cast("double"))
-    out = rows.withColumn("__u", u)
-    return out.withColumn("value", F.col("__u") if output == "uniform" else normal_score(F.col("__u"))).drop("__u")
+    out = rows.join(fitted.select(by, F.col("quantiles").alias("__q")), by, "left").withColumn("__u", position(F.col("value"), F.col("__q")))
+    out = out.withColumn("value", F.col("__u") if output == "uniform" else normal_score(F.col("__u")))
+    return out.select(*rows.columns)
 
 
 # ---- power -----------------------------------------------------------------------------
@@ -249,15 +224,13 @@ def fit(values: DataFrame, method: str = "adaptive", n_quantiles: int = 1000, by
 def transform(rows: DataFrame, fitted: DataFrame, clip_range: tuple[float, float] | None = None, by: str = "feature") -> DataFrame:
     """Normalise with fitted statistics; every row stays and NULL or unknown becomes 0.0."""
     keep = rows.columns
-    tables = collect_quantiles(fitted, by)
-    out = rows.join(fitted.select(by, "method", "center", "scale", "lam"), by, "left")
+    out = rows.join(fitted.select(by, "method", "center", "scale", "lam", "quantiles"), by, "left")
     x, is_ = F.col("value"), lambda name: F.col("method") == name
     y = F.when(is_("power"), (yeo_johnson(x, F.col("lam")) - F.col("center")) / F.col("scale")).otherwise(
         (x - F.col("center")) / F.col("scale")
     )
-    if tables:
-        out = out.withColumn("__u", F.nanvl(position_udf(tables)(F.col(by), x), F.lit(None).cast("double")))
-        y = F.when(is_("quantile"), normal_score(F.col("__u"))).otherwise(y)
+    out = out.withColumn("__u", position(x, F.col("quantiles")))
+    y = F.when(is_("quantile"), normal_score(F.col("__u"))).otherwise(y)
     if clip_range is not None:
         y = clip(y, *clip_range)
     return out.withColumn("value", F.coalesce(y, F.lit(0.0))).select(*keep)

@@ -14,10 +14,11 @@ from tidemark.operators.sliced import Scan, sliced_scan, value_slice
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values with their rank range: ``keys, value, n, total, first_rank, last_rank`` (0-based)."""
+    """Distinct values with their rank range: ``keys, value, n, total, first_rank, last_rank`` (0-based); keys may be none."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    out = sliced_scan(counts, keys, [value], value_slice(F.col(value)), [Scan("__cum", "sum", F.col("n"))]).join(totals, keys)
+    out = sliced_scan(counts, keys, [value], value_slice(F.col(value)), [Scan("__cum", "sum", F.col("n"))])
+    out = out.join(totals, keys) if keys else out.withColumn("total", totals.scalar())
     return out.select(
         *keys, value, "n", "total", (F.col("__cum") - F.col("n")).alias("first_rank"), (F.col("__cum") - 1).alias("last_rank")
     )

@@ -70,13 +70,11 @@ def quantile_bins(df: DataFrame, value: str, q: int, name: str) -> DataFrame:
     """Right-closed quantile bins 0..q-1 with linear quantile edges; the lowest edge is included,
     repeated edges are dropped. Edges are one row for the whole frame."""
     probs = {f"__e{i}": i / q for i in range(q + 1)}
-    one = df.withColumn("__one", F.lit(1))
-    edges = group_quantiles(one, ["__one"], value, probs)
-    edges = edges.select("__one", F.array_distinct(F.array(*[F.col(p) for p in probs])).alias("__edges"))
+    edges = group_quantiles(df, [], value, probs).select(F.array_distinct(F.array(*[F.col(p) for p in probs])))
     # number of edges below the value, the first bin taking the minimum itself
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    out = one.join(F.broadcast(edges), "__one")
-    return out.withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__one", "__edges")
+    out = df.withColumn("__edges", edges.scalar())
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__edges")
 
 
 def equal_width_bins(value: Column, lo: float, hi: float, n: int) -> Column:
@@ -87,10 +85,10 @@ def equal_width_bins(value: Column, lo: float, hi: float, n: int) -> Column:
 
 def proportional_sample(df: DataFrame, strata: list[str], key: str, n_target: int, seed: int) -> DataFrame:
     """About ``n_target`` ids, at least one per stratum, in proportion to the stratum's size."""
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("__n")).withColumn("__one", F.lit(1))
-    total = sizes.groupBy("__one").agg(F.sum("__n").alias("__total"))
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("__n"))
+    total = sizes.agg(F.sum("__n"))
     # rounding half to even, as the quota rule does
-    quota = sizes.join(F.broadcast(total), "__one").withColumn(
+    quota = sizes.withColumn("__total", total.scalar()).withColumn(
         "__q", F.greatest(F.lit(1.0), F.rint(F.col("__n") * F.lit(float(n_target)) / F.col("__total")))
     )
     ranked = hash_rank(df, strata, key, seed, "__r").join(quota.select(*strata, "__q"), strata)

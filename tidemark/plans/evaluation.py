@@ -100,8 +100,8 @@ def i5(t):
 
 @query("i5_average_precision_ci")
 def i5_ci(t):
-    """Average precision with a bootstrap interval (200 replicates)."""
-    return rounded(ev.average_precision_ci(at_steps(t), ["step"], replicates=200))
+    """Average precision with a bootstrap interval."""
+    return rounded(ev.average_precision_ci(at_steps(t), ["step"]))
 
 
 @query(
@@ -127,7 +127,7 @@ def i7(t):
 
 @query("i7_recall_at_top_ci")
 def i7_ci(t):
-    return rounded(ev.recall_at_top_ci(at_steps(t), ["step"], [5, 25], replicates=100))
+    return rounded(ev.recall_at_top_ci(at_steps(t), ["step"], [5, 10, 15, 20, 25]))
 
 
 @query(
@@ -225,7 +225,7 @@ def i14(t):
 
 @query("i14_concordance_ci")
 def i14_ci(t):
-    return rounded(ev.concordance_ci(subjects(t), replicates=50))
+    return rounded(ev.concordance_ci(subjects(t)))
 
 
 @query(

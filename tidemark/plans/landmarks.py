@@ -12,6 +12,7 @@ from tidemark.plans.registry import query, rounded, with_
 from tidemark.plans.source_checks import scratch
 
 HOURS = lm.landmark_hours()
+FEATURES = ["click", "error", "purchase", "signup", "view"]
 SQL_HOURS = "hr(h) AS (VALUES " + ", ".join(f"({h!r}::DOUBLE)" for h in HOURS) + ")"
 STATS = {
     "first": "arg_min(value, (ts, event_id))",
@@ -35,17 +36,16 @@ def p1(t):
     return rounded(lm.landmark_stats(t.ev, t.base, HOURS), 5, tuple(STATS))
 
 
-SHORT = [1.0, 24.0, 240.0]
-
-
 @query(
     "p1_landmark_dataset",
-    f"""{with_("ev", "base")}, hr(h) AS (VALUES (1.0::DOUBLE), (24), (240)), a AS (SELECT h, ev.pid, feature, max(value) AS mx, CAST(count(*) AS DOUBLE) AS c FROM ev JOIN base USING (pid) JOIN hr ON epoch_us(ev.ts) - epoch_us(start_ts) <= h * 3600000000 GROUP BY 1, 2, 3)
-    SELECT hr.h AS landmark, base.pid, {", ".join(f'coalesce(max({c}) FILTER (feature = {f!r}), 0) AS {f}_ev_{n}' for c, n in (("mx", "max"), ("c", "count")) for f in ("click", "view"))}
+    f"""{with_("ev", "base")}, {SQL_HOURS}, a AS (SELECT h, ev.pid, feature, {", ".join(f"round({sql}, 5) AS s_{k}" for k, sql in STATS.items())} FROM ev JOIN base USING (pid) JOIN hr ON epoch_us(ev.ts) - epoch_us(start_ts) <= round(h * 3600000000) GROUP BY 1, 2, 3)
+    SELECT hr.h AS landmark, base.pid, {", ".join(f'coalesce(max(s_{k}) FILTER (feature = {f!r}), 0) AS {f}_ev_{k}' for k in STATS for f in FEATURES)}
     FROM base CROSS JOIN hr LEFT JOIN a ON a.pid = base.pid AND a.h = hr.h GROUP BY 1, 2""",
 )
 def p1_dataset(t):
-    return lm.landmark_dataset(t.ev, t.base, SHORT, ["click", "view"], "ev", ("max", "count"))
+    """Every feature and aggregate at every landmark, one row per entity and landmark."""
+    out = lm.landmark_dataset(t.ev, t.base, HOURS, FEATURES, "ev", tuple(STATS))
+    return rounded(out, 5, tuple(c for c in out.columns if c not in ("landmark", "pid")))
 
 
 @query(
@@ -64,7 +64,7 @@ def p2(t):
     label = t.ev.groupBy("pid").agg((F.max("value") > 250).cast("int").alias("label"))
     labels = stratified_holdout(label, "label", "pid", 0.2, 2024)
     columns = [f"{f}_ev_{fn}" for fn in functions for f in features]
-    return rounded(lm.out_of_fold(data, labels, [24.0, 240.0], columns, scratch(t, "folds"), folds=3))
+    return rounded(lm.out_of_fold(data, labels, [24.0, 240.0], columns, scratch(t, "folds")))
 
 
 @query(
@@ -92,9 +92,22 @@ def p4(t):
     return rounded(out.select("landmark", "auroc", "auprc", "n_samples"))
 
 
+def split(t):
+    rows = at_steps(t)
+    return rows.filter(F.col("pid") % 4 != 0), rows.filter(F.col("pid") % 4 == 0)
+
+
 @query("i13_posthoc_calibration")
 def i13(t):
-    """Isotonic and Platt calibration fitted on half of the entities, judged on the other half."""
-    rows = at_steps(t).filter(F.col("step").isin(5, 66))
-    train, test = rows.filter(F.col("pid") % 2 == 0), rows.filter(F.col("pid") % 2 == 1)
-    return rounded(rc.compare_calibration(rc.recalibrate(train, test, min_positive=10)))
+    """Isotonic and Platt calibration fitted on three quarters of the entities, judged on the rest."""
+    return rounded(rc.compare_calibration(rc.recalibrate(*split(t))))
+
+
+@query("i13_saved_calibrators")
+def i13_saved(t):
+    """Calibrators fitted, saved, read again, and the best of each step applied."""
+    train, test = split(t)
+    path = scratch(t, "calibrators")
+    rc.fit_calibrators(train).write.mode("overwrite").parquet(path)
+    best = rc.best_calibrators(t.spark.read.schema(rc.CALIBRATORS).parquet(path), test)
+    return rounded(rc.apply_calibrators(test, best).select("pid", "step", "scope", "method", "label", "score", "calibrated"))
