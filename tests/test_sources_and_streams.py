@@ -65,3 +65,24 @@ def test_landmark_schedule():
     assert hours[:7] == [0.0, 0.166667, 0.333333, 0.5, 1.0, 2.0, 3.0]
     assert hours[-1] <= 2160 and hours == sorted(set(hours))
     assert landmark_hours({"30min": "10min", "4h": "1h"}) == [0.0, 0.166667, 0.333333, 0.5, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_entities_that_arrive_late(spark, folder, tmp_path):
+    """Events that come before their entity are mapped once it is admitted."""
+    t = Tables(spark, folder)
+    ev = t.ev.select(*STD)
+    want = {tuple(r) for r in m.map_concept(ev, t.base, ["count"]).collect()}
+    store = inc.CellStore(spark, str(tmp_path / "late"), t.base.filter("pid % 3 <> 0"), ["count"], buckets=4)
+    store.refresh(ev.filter("event_id % 2 = 0"), 0)
+    store.admit(t.base, 1)
+    store.refresh(ev.filter("event_id % 2 = 1"), 2)
+    assert {tuple(r) for r in store.current().select("pid", "step", "feature", "count").collect()} == want
+
+
+def test_archive_keeps_earlier_groups(spark, tmp_path):
+    log = inc.PredictionLog(spark, str(tmp_path / "log"), lambda df: df)
+    log.refresh(spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "pid long, pred double"), 0)
+    one = spark.createDataFrame([(1,)], "pid long")
+    assert [r.pid for r in log.archive(one, 0).collect()] == [1]
+    log.archive(spark.createDataFrame([(2,)], "pid long"), 1)
+    assert sorted(r.pid for r in log.archive(one, 0).collect()) == [1, 2]

@@ -132,7 +132,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
     return True
 

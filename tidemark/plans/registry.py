@@ -105,7 +105,7 @@ def with_(*names: str) -> str:
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; without SQL it is checked against brute force in the tests."""
+    """Register a query; the README names those without SQL and how they are tested."""
 
     def keep(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:

@@ -23,6 +23,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "1
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-ck-"))
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -37,14 +38,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the session's own setting, a temporary one only where unset."""
+    """Shared folder for checkpoints: the session's own setting; where unset, one temporary folder for
+    each local session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="tidemark-ck-")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-ck-")
+    return _local_folders[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,11 +122,16 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def write_slots(spark: SparkSession, buckets: int) -> int:
+    """Write tasks of one bucket: the session's shuffle partitions, dealt over the buckets."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+
+
 def write_entity_store(table: DataFrame, path: str, key: str, buckets: int = 256) -> None:
     """Table laid out by hash bucket of the entity and sorted inside, so that one entity is one
     pruned folder and a few row groups. A bucket may be spread over several files: rows are
     distributed by (bucket, file slot), so that a hot entity is not one task."""
-    slots = F.pmod(F.xxhash64(*table.columns), F.lit(8))
+    slots = F.pmod(F.xxhash64(*table.columns), F.lit(write_slots(table.sparkSession, buckets)))
     (
         table.withColumn("bucket", bucket_of(F.col(key), buckets))
         .repartition(F.col("bucket"), slots)
@@ -145,9 +151,11 @@ def read_entity(spark: SparkSession, path: str, key: str, value, buckets: int =
 
 def read_entity_or(spark: SparkSession, path: str, fallback: DataFrame, key: str, value, buckets: int = 256) -> DataFrame:
     """Entity read that falls back to the whole table when the store does not exist."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
         return read_entity(spark, path, key, value, buckets)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     return fallback.filter(F.col(key) == F.lit(value))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timegrid import DEFAULT_GRID, Grid
 from tidemark.operators.cohort import delta_window
 from tidemark.operators.mapping import CELL, aggregate_cells, interval_to_steps, point_to_step
-from tidemark.sources.tables import bucket_of
+from tidemark.sources.tables import bucket_of, write_slots
 
 
 def accept(events: DataFrame, now: Column | None) -> DataFrame:
@@ -60,6 +60,19 @@ class CellStore:
             return
         known = stored.filter(F.col("bucket").isin(hit) & (F.col("version") <= version))
         mapped = point_to_step(known, self.base, self.grid).join(touched, ["pid", "step"], "left_semi")
+        self._write_cells(mapped, version)
+
+    def admit(self, entities: DataFrame, version: int) -> None:
+        """Take in entities ``(pid, start_ts, end_ts)`` whose events may have come before them: all their
+        stored events are mapped now."""
+        fresh = entities.join(self.base.select("pid"), "pid", "left_anti")
+        self.base = self.base.unionByName(fresh)
+        hit = [r[0] for r in fresh.select(bucket_of(F.col("pid"), self.buckets)).distinct().collect()]
+        stored = self.spark.read.parquet(self.events_path)
+        known = stored.filter(F.col("bucket").isin(hit)).join(fresh.select("pid"), "pid", "left_semi")
+        self._write_cells(point_to_step(known, fresh, self.grid), version)
+
+    def _write_cells(self, mapped: DataFrame, version: int) -> None:
         cells = aggregate_cells(mapped, self.functions).withColumn("version", F.lit(version))
         self._write(cells, self.cells_path, version, ["version"])
 
@@ -68,8 +81,9 @@ class CellStore:
         rest = [c for c in by if c != "version"]
         writer = df.drop("version").write.mode("overwrite")
         if rest:
-            # a bucket of a batch goes to a few tasks: few files, and no task for a hot entity alone
-            spread = df.drop("version").repartition(*rest, F.pmod(F.xxhash64("event_id"), F.lit(4)))
+            # a bucket goes to as many tasks as the session deals out, so no task holds a hot entity alone
+            slots = write_slots(self.spark, self.buckets)
+            spread = df.drop("version").repartition(*rest, F.pmod(F.xxhash64("event_id"), F.lit(slots)))
             writer = spread.write.mode("overwrite").partitionBy(*rest)
         writer.parquet(f"{path}/version={version}")
 
@@ -136,11 +150,12 @@ class PredictionLog:
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/log")
 
-    def archive(self, ended: DataFrame) -> DataFrame:
-        """Final log rows of ended entities, written aside."""
+    def archive(self, ended: DataFrame, group: int = 0) -> DataFrame:
+        """Final log rows of ended entities, written next to the groups archived before; a repeated
+        group replaces its own rows. Returns the whole archive."""
         done = self.log().join(ended.select("pid").distinct(), "pid", "left_semi")
-        done.write.mode("overwrite").parquet(f"{self.path}/archive")
-        return self.spark.read.parquet(f"{self.path}/archive")
+        done.write.mode("overwrite").parquet(f"{self.path}/archive/group={group}")
+        return self.spark.read.parquet(f"{self.path}/archive").drop("group")
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         query = (
