@@ -41,6 +41,8 @@ def test_inventory_is_covered():
 @pytest.mark.parametrize("name", NAMED)
 def test_query_equals_sql(spark, folder, con, name):
     df = QUERIES[name](spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     cols = sorted(df.columns)
     cur = con.execute(SQL[name])
     have = [d[0] for d in cur.description]

@@ -114,17 +114,17 @@ def g5_fit(t):
 
 @query(
     "g5_quantile_uniform",
-    """WITH v AS (SELECT list(l_quantity ORDER BY l_quantity) AS v, count(*) AS n FROM lineitem),
-    q AS (SELECT i, i * (n - 1) / 50.0::DOUBLE AS pos, v FROM v, UNNEST(range(0, 51)) u(i)),
-    k AS MATERIALIZED (SELECT i, v[CAST(floor(pos) AS INT) + 1] + (v[CAST(ceil(pos) AS INT) + 1] - v[CAST(floor(pos) AS INT) + 1]) * (pos - floor(pos)) AS q FROM q),
-    d AS (SELECT DISTINCT l_quantity AS x FROM lineitem),
-    e AS (SELECT x, max(i) FILTER (q <= x) AS j, min(i) FILTER (q >= x) AS i, min(q) FILTER (q > x) AS b, max(q) FILTER (q <= x) AS a, min(q) AS lo, max(q) AS hi FROM d, k GROUP BY 1),
-    u AS (SELECT x, CASE WHEN x <= lo THEN 0 WHEN x >= hi THEN 1 WHEN a = x THEN (i + j) / 100.0 ELSE (j + (x - a) / (b - a)) / 50.0 END AS u FROM e)
-    SELECT l_orderkey, l_linenumber, round(u::DOUBLE, 6) AS value FROM lineitem JOIN u ON x = l_quantity""",
+    """WITH v AS (SELECT l_linestatus AS f, list(l_quantity ORDER BY l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY 1),
+    q AS (SELECT f, i, i * (n - 1) / 50.0::DOUBLE AS pos, v FROM v, UNNEST(range(0, 51)) u(i)),
+    k AS MATERIALIZED (SELECT f, i, v[CAST(floor(pos) AS INT) + 1] + (v[CAST(ceil(pos) AS INT) + 1] - v[CAST(floor(pos) AS INT) + 1]) * (pos - floor(pos)) AS q FROM q),
+    d AS (SELECT DISTINCT l_linestatus AS f, l_quantity AS x FROM lineitem),
+    e AS (SELECT f, x, max(i) FILTER (q <= x) AS j, min(i) FILTER (q >= x) AS i, min(q) FILTER (q > x) AS b, max(q) FILTER (q <= x) AS a, min(q) AS lo, max(q) AS hi FROM d JOIN k USING (f) GROUP BY 1, 2),
+    u AS (SELECT f, x, CASE WHEN x <= lo THEN 0 WHEN x >= hi THEN 1 WHEN a = x THEN (i + j) / 100.0 ELSE (j + (x - a) / (b - a)) / 50.0 END AS u FROM e)
+    SELECT l_orderkey, l_linenumber, round(u::DOUBLE, 6) AS value FROM lineitem JOIN u ON x = l_quantity AND f = l_linestatus""",
 )
 def g5_uniform(t):
     """Quantile transform to uniform scores, 51 quantiles."""
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("q").alias("feature"), F.col("l_quantity").alias("value"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("feature"), F.col("l_quantity").alias("value"))
     fitted = nz.fit_quantile(rows, 51)
     out = nz.apply_quantile(rows, fitted, "uniform")
     return rounded(out.select("l_orderkey", "l_linenumber", "value"))
