@@ -214,7 +214,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame
 def learn(count_rows: DataFrame, fit_rows: DataFrame) -> Model:
     """A model from two disjoint sets of (doc_id, text, label): one is counted, the other fits the weights."""
     model = learn_counts(count_rows)
-    some = fit_rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    chosen = fit_rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    some = fit_rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # FIT_ROWS ids at most
     rows = evidence(some, model, ("label",)).toArrow()
     x = np.column_stack([rows[f"x{i}"].to_numpy() for i in (1, 2, 3, 4)]) if rows.num_rows else np.zeros((0, 4))
     model.weights = fit_weights(x, rows["label"].to_numpy() if rows.num_rows else np.zeros(0))
