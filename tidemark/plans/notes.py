@@ -77,7 +77,7 @@ def notes_with(t, phrases, types=TYPES):
         ts.alias("ts"),
         d.alias("note_id"),
         one_of(types, F.floor(d / 3)).alias("note_type"),
-        F.concat(one_of(phrases, d), F.lit("\n"), F.translate("text", "0123456789", "#" * 10)).alias("text"),
+        F.concat(one_of(phrases, d), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 
@@ -124,8 +124,9 @@ def j3(t):
     """Lines of an entity and time joined, then scores after and before the keyword."""
     d = F.col("doc_id")
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(hours=(d % 20).cast("int"))
-    # a closing line keeps one phrase's keyword from reading the next one's number
-    text = F.concat(one_of(list(INJURY), d), F.lit("\n- - - - -"))
+    # closing lines keep a phrase's keyword from reading a number of what stands next to it
+    close = F.lit("\n- - - - -\n")
+    text = F.concat(one_of(list(INJURY), d), close, F.coalesce("text", F.lit("")), close)
     return tx.injury_scores(t.documents.select((d % 97).alias("pid"), ts.alias("ts"), d.alias("line_no"), text.alias("text")))
 
 
@@ -137,9 +138,8 @@ AIR_SQL = f"""WITH {note_sql(AIRWAY)}, h AS (SELECT nt.*, list_contains([{", ".j
 def airway_notes(t):
     d = F.col("doc_id")
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(hours=(d % 200).cast("int"))
-    return t.documents.select(
-        (d % 97).alias("pid"), ts.alias("ts"), d.alias("note_id"), one_of(TYPES, F.floor(d / 3)).alias("note_type"), one_of(list(AIRWAY), d).alias("text")
-    )
+    text = F.concat(one_of(list(AIRWAY), d), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return t.documents.select((d % 97).alias("pid"), ts.alias("ts"), d.alias("note_id"), one_of(TYPES, F.floor(d / 3)).alias("note_type"), text.alias("text"))
 
 
 @query("j4_airway_events", f"{AIR_SQL} SELECT pid, ts, 'INTUBATED' AS feature, 1.0::DOUBLE AS value FROM f WHERE ts <= TIMESTAMP '2024-01-02 12:00:00' + to_hours(24)")
