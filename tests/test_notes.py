@@ -106,7 +106,7 @@ def test_arrests_equal_sequential_reading(spark):
     for i in range(700):
         text = "\n".join(rnd.choice(ARREST + extra) for _ in range(rnd.randint(1, 3)))
         rows.append((rnd.randint(1, 60), T0 + dt.timedelta(hours=rnd.randint(0, 30)), i, rnd.choice(kinds), text))
-    got = sorted((r.pid, r.ts) for r in tx.arrest_events(notes_frame(spark, rows)).select("pid", "ts").collect())
+    got = sorted((r.pid, r.ts) for r in tx.one_row_each(tx.arrest_events(notes_frame(spark, rows))).select("pid", "ts").collect())
     want = sorted((p, ts) for p in range(1, 61) for ts in arrests_one_by_one([r for r in rows if r[0] == p]))
     assert got == want
 

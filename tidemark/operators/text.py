@@ -228,7 +228,8 @@ def arrest_events(notes: DataFrame) -> DataFrame:
     of repetition, a line in the present tense if no earlier note of the same time counted, and any
     other line only as the entity's very first event. The line-overlap comparison of near duplicates
     (``jaccard``) needs an event counted before, after which plain lines no longer count; so the
-    rules below already decide every line and all of them are order statistics per entity.
+    rules below already decide every line and all of them are order statistics per entity. A line that
+    reports several events is one row with their number ``n``.
     """
     kept = notes.filter(~_hit(F.trim("note_type"), P.ARREST_EXCLUDED_TYPES))
     own_type = _hit(F.col("note_type"), "(?iu)" + P.ARREST)
@@ -269,8 +270,13 @@ def arrest_events(notes: DataFrame) -> DataFrame:
     # a plain first event makes later notes of its own time stale as well
     shadowed = (F.col("kind") == "present") & leads & F.coalesce((F.col("ts") == F.col("p1.ts")) & (F.col("note_id") > F.col("p1.note_id")), F.lit(False))
     every = every.filter((plain & leads & (F.col("place") == F.col("p1"))) | (~plain & ~shadowed))
-    out = every.filter(F.col("n") >= 1).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return out.select("pid", "ts", "note_id", F.lit("cardiac_arrest").alias("feature"), F.lit(1.0).alias("value"))
+    out = every.filter(F.col("n") >= 1)
+    return out.select("pid", "ts", "note_id", F.lit("cardiac_arrest").alias("feature"), F.lit(1.0).alias("value"), F.col("n").cast("long").alias("n"))
+
+
+def one_row_each(events: DataFrame) -> DataFrame:
+    """A row for each of the ``n`` events of a row, for export: as many rows as the notes claim events."""
+    return events.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
 
 
 def as_concept(parts: list[DataFrame], feature: str = "event") -> DataFrame:
