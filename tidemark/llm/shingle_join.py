@@ -329,21 +329,20 @@ def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def open_pairs(members: DataFrame, rule: Rule, slots: int) -> DataFrame:
-    """Pairs of a group (gid, class, shared, label, size, sketch) with two labels that the sketches leave possible.
+    """Pairs of a group (gid, class, label, size, sketch) with two labels that the sketches leave possible.
 
-    The group's hub is left out: it was tested against all others. Two classes often share many
-    groups; each class brings its ``FIRST`` least gids, and a pair is left to the least gid in both lists.
+    Two classes often share many groups; each class brings its ``FIRST`` least gids, and a pair is left to
+    the least gid in both lists.
     """
 
     def cross(table: pa.Table) -> pa.Table:
-        gid, own, shared, label, size = (table.column(c).to_numpy() for c in ("gid", "class", "shared", "label", "size"))
+        gid, own, label, size = (table.column(c).to_numpy() for c in ("gid", "class", "label", "size"))
         sketches, found = table.column("sketch").to_pylist(), []
         first = np.full((len(gid), FIRST), np.iinfo(np.int64).max)
         for i, own_gids in enumerate(table.column("first").to_pylist()):
             first[i, : len(own_gids)] = own_gids
-        order = np.lexsort((own, -shared, gid))
+        order = np.lexsort((own, gid))
         for at in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
-            at = at[1:]
             bits = folded([sketches[i] for i in at]) if len(at) > 1 else None
             for i in range(len(at) - 1):
                 rest = at[i + 1 :]
@@ -375,17 +374,19 @@ def near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     groups = work.written(shared_signatures(docs, rule, slots))
     sets = work.written(sets_of(docs, groups.select("class").distinct().join(by_class, "class"), rule))
 
-    # first every member against its group's hub, the class that is in most groups (a family's original, as a
-    # rule), then what is still apart against each other
+    # A group's hub is the class that is in most groups (a family's original, as a rule). First each class is
+    # tested against the one of its hubs that is in most groups, then against all it is still apart from.
     groups = work.written(groups.join(groups.groupBy("class").agg(F.count("*").alias("shared")), "class").select("gid", "class", "shared"))
-    hub = groups.groupBy("gid").agg(F.min_by("class", F.struct(-F.col("shared"), "class")).alias("a"))
-    near = groups.join(hub, "gid").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    place = F.struct(-F.col("shared"), "class")
+    hub = groups.groupBy("gid").agg(F.min(place).alias("hub"))
+    to_hub = groups.join(hub, "gid").groupBy("class").agg(F.min("hub").alias("hub")).select(F.col("hub.class").alias("h"), "class").where("h <> class")
+    near = work.written(to_hub.select(F.least("h", "class").alias("a"), F.greatest("h", "class").alias("b")).distinct())
     links = work.written(tested(near, sets, rule))
     label = components(links)
-    labelled = groups.join(label, groups["class"] == label["id"], "left").select("gid", "class", "shared", F.coalesce("component", "class").alias("label"))
-    apart = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2")
+    labelled = groups.join(label, groups["class"] == label["id"], "left").select("gid", "class", F.coalesce("component", "class").alias("label"))
+    apart = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     members = labelled.join(apart.select("gid"), "gid").join(sets.select("class", "size", "sketch"), "class")
-    more = work.written(tested(open_pairs(members, rule, slots), sets, rule))
+    more = work.written(tested(open_pairs(members, rule, slots).join(near, ["a", "b"], "left_anti"), sets, rule))
     if not more.isEmpty():
         label = components(links.union(more))
 
