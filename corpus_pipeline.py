@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, queries, shingle_join, toxicity, work
+from tidemark.llm import id_filter, language, packing, queries, shingle_join, toxicity, work
 
 #: A text whose language holds less than this share of its n-grams is in none of the learned languages.
 LEAST_LANGUAGE = 0.1
@@ -43,6 +43,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each group of near copies the document with the least doc_id stays (one without comes last).
 
     Rows are told apart by their place in ``docs``, so repeated or null doc_ids are documents of their own.
+    Texts that surely stay are not shuffled: a filter of fixed size tells which ones may have to go.
     """
     work.ship(spark)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
@@ -50,7 +51,10 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ids = numbered.select("_row", F.col("doc_id").alias("id"))
     rank = F.struct(F.col("id").isNull().alias("without"), "id", "_row")
     first = groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row").groupBy("component_id").agg(F.min(rank).alias("r"))
-    return numbered.join(work.written(first.select("r._row")), "_row", "left_semi").drop("_row")
+    stays = work.written(first.select("r._row"))
+    goes = id_filter.marked(ids.select("_row").join(stays, "_row", "left_anti"))
+    sure, maybe = (id_filter.held(numbered, goes, "_row", inside) for inside in (False, True))
+    return sure.unionByName(maybe.join(stays, "_row", "left_semi")).drop("_row")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

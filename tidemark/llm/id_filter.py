@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +41,13 @@ def may_hold(filled: np.ndarray, ids: pa.Array) -> pa.Array:
     return pa.array(filled[_place(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False))
 
 
-def held(rows: DataFrame, filled: np.ndarray, column: str = "doc_id") -> DataFrame:
-    """The rows of ``rows`` whose id may be among the marked ones."""
+def held(rows: DataFrame, filled: np.ndarray, column: str = "doc_id", inside: bool = True) -> DataFrame:
+    """The rows of ``rows`` whose id may be among the marked ones, or the others, whose id surely isn't."""
     shared = rows.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(may_hold(shared.value, b.column(column)))
+            may = may_hold(shared.value, b.column(column))
+            yield b.filter(may if inside else pc.invert(may))
 
     return rows.mapInArrow(run, rows.schema)
