@@ -189,6 +189,17 @@ def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.
     return np.bitwise_count(a ^ b).sum(-1) <= rule.difference(sizes)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The high six bytes of each hash, in the same order."""
+    return x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
 def linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     """The exact test on two ascending arrays of distinct hashes."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -291,7 +302,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 own = [s.shingle[x:y] for x, y in zip(s.begin.tolist(), s.begin[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({
                     "class": pa.array(s.key.view(np.int64)), "doc_id": b.column("doc_id").slice(c.first, len(c)), "size": pa.array(s.size),
-                    "sketch": pa.array([sketch(x) for x in own], pa.binary()), "set": pa.array([x.tobytes() for x in own], pa.binary()),
+                    "sketch": pa.array([sketch(x) for x in own], pa.binary()), "set": pa.array([_packed(x) for x in own], pa.binary()),
                 })
 
     made = docs.mapInArrow(run, "class long, doc_id long, size long, sketch binary, set binary")
@@ -311,7 +322,7 @@ def tested(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), rule) for x, y in zip(b.column("x"), b.column("y"))]
+            ok = [linked(_unpacked(x.as_py()), _unpacked(y.as_py()), rule) for x, y in zip(b.column("x"), b.column("y"))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
