@@ -142,3 +142,26 @@ def test_forest_leaves_and_tiles(spark, monkeypatch):
     want = (u @ u.T >= 0.9).sum(1) - 1
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum()
     assert all(got[i] == want[i] for i in range(1800, 1860))
+
+
+def test_forest_keeps_a_dense_group_whole():
+    """A third of 50,000 vectors is one group of distinct near copies: its pairs meet, the others stay apart."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((50_000, 32))
+    group = rng.permutation(50_000)[:16_667]
+    x[group] = rng.standard_normal(32) + 0.2 * rng.standard_normal((len(group), 32))
+    x = E.unit(x)
+    a, b = rng.choice(group, (2, 20_000))
+    a, b = (p[(x[a] * x[b]).sum(1) >= 0.9] for p in (a, b))
+    assert len(a) > 10_000
+    together, compared = np.zeros(len(a), bool), 0
+    for seed in range(E.TREES):
+        row, leaf = E.grow(x[: E.SAMPLE], 9, seed).leaves(x)
+        for k in np.unique(leaf):
+            held = np.zeros(len(x), bool)
+            held[row[leaf == k]] = True
+            together |= held[a] & held[b]
+            compared += int(held.sum()) ** 2
+    print(together.mean(), compared / E.TREES / len(group) ** 2)
+    assert together.mean() > 0.995
+    assert compared < 4 * E.TREES * len(group) ** 2
