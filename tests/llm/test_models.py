@@ -193,3 +193,17 @@ def test_forest_walk_equals_one_row_at_a_time():
         walked.append(1 / (1 + np.exp(-total)))
     assert np.allclose(forest.score(x), walked)
     assert ((forest.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_every_counted_expression_is_kept(spark):
+    """Expressions that one class has seen once count for that class, however many there are."""
+    work.ship(spark)
+    letters = np.random.default_rng(12).integers(97, 123, (60_000, 7)).astype(np.uint8)
+    words = [bytes(x).decode() for x in letters]
+    rows = [(" ".join(words[i : i + 100]), 1) for i in range(0, len(words), 100)] + [("the and of with", 0)]
+    labelled = spark.createDataFrame(rows, "text string, label int")
+    key = toxicity.gram_counts(labelled).where("c0 = 0").toArrow()["key"].to_numpy()
+    ctx, n = np.unique(key >> 8, return_counts=True)
+    alone = key[np.isin(key >> 8, ctx[n == 1])]
+    assert len(alone) > 100_000
+    assert (toxicity.learn_counts(labelled).of(alone) > 0).all()

@@ -7,8 +7,8 @@ much. A word's two log-likelihoods are compared per letter; a text's score is a
 mean over all words, its highest word, how far its words stand out, and how many words it had the chance
 to do so in, fitted on a fold of its own.
 
-Counts cover all labelled rows given, so they grow with the input. The scorer reads them from hash tables
-of fixed size (``SLOTS``): where two expressions meet, the more frequent one stays.
+Counts cover all labelled rows given, so they grow with the input. The scorer holds every counted expression
+and context, in tables as long as there are distinct ones (12 bytes each).
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import id_filter, spans, work
 
-U64 = np.uint64
 ORDER = 6
 DISCOUNT = 0.75
-SLOTS = 1 << 21
 #: A word stands out by what its log-ratio exceeds this.
 MARGIN = 3.0
 #: At most so many labelled rows fit the weights of the logistic function.
@@ -91,42 +89,36 @@ def shared_probability(keys: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log-ratios (toxic to ordinary) of known expressions, and of contexts' backoff weights."""
+    """Log-ratios (toxic to ordinary) of known expressions, and of contexts' backoff weights; keys ascend."""
 
+    ratio_key: np.ndarray
     ratio: np.ndarray
-    ratio_tag: np.ndarray
+    backoff_key: np.ndarray
     backoff: np.ndarray
-    backoff_tag: np.ndarray
     weights: np.ndarray | None = None
 
     def of(self, key: np.ndarray) -> np.ndarray:
         """Log-ratio of each letter given the bytes before it."""
-        slot, tag = _slot(key)
-        known = self.ratio_tag[slot] == tag
-        ctx, ctx_tag = _slot(key >> 8)
-        unknown = np.where(self.backoff_tag[ctx] == ctx_tag, self.backoff[ctx], 0)
-        return np.where(known, self.ratio[slot], unknown)
+        one, which = np.unique(key, return_inverse=True)
+        known, ratio = _looked_up(self.ratio_key, self.ratio, one)
+        return np.where(known, ratio, _looked_up(self.backoff_key, self.backoff, one >> 8)[1])[which]
 
 
-def _slot(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = spans.mix(key.view(U64) + U64(1))
-    return (h % U64(SLOTS)).astype(np.int64), (h >> U64(32)).astype(np.uint32) | np.uint32(1)
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``wanted`` is among ``keys`` (ascending), and its value or 0."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.float32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    known = keys[at] == wanted
+    return known, np.where(known, values[at], np.float32(0))
 
 
-def _hashed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hash table of ``rows`` (key, weight, value): in each slot the key of the highest weight."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot, tag = _slot(b.column("key").to_numpy())
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot.astype(np.int32)), "tag": pa.array(tag.astype(np.int64)), "weight": b.column("weight"), "value": b.column("value")})
-
-    best = rows.select("key", "weight", "value").mapInArrow(place, "slot int, tag long, weight long, value float")
-    best = best.groupBy("slot").agg(F.max(F.struct("weight", "tag", "value")).alias("b")).select("slot", "b.tag", "b.value").toArrow()
-    value, tag = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.uint32)
-    slot = best["slot"].to_numpy()
-    value[slot], tag[slot] = best["value"].to_numpy(), best["tag"].to_numpy()
-    return value, tag
+def _table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All ``rows`` (key, value), keys ascending."""
+    got = rows.select("key", "value").toArrow()
+    key, value = got["key"].to_numpy(), got["value"].to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order]
 
 
 def learn_counts(labelled: DataFrame) -> Model:
@@ -137,9 +129,9 @@ def learn_counts(labelled: DataFrame) -> Model:
     shared = shared_probability(counts)
     both = counts.withColumn("s", F.col("key").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).join(shared, "s").join(ctx, "ctx")
     p = lambda k: F.when(F.col(f"t{k}") > 0, F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{k}")).otherwise(0.0) + weight(k) * F.col("p")
-    seen = both.select("key", (F.col("c0") + F.col("c1")).alias("weight"), F.log(p(1) / p(0)).cast("float").alias("value"))
-    falls = ctx.select(F.col("ctx").alias("key"), (F.col("t0") + F.col("t1")).alias("weight"), F.log(weight(1) / weight(0)).cast("float").alias("value"))
-    return Model(*_hashed(seen), *_hashed(falls))
+    seen = both.select("key", F.log(p(1) / p(0)).cast("float").alias("value"))
+    falls = ctx.select(F.col("ctx").alias("key"), F.log(weight(1) / weight(0)).cast("float").alias("value"))
+    return Model(*_table(seen), *_table(falls))
 
 
 def evidence(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
