@@ -42,11 +42,13 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays (one without comes last).
 
-    Rows are told apart by their place in ``docs``, so repeated or null doc_ids are documents of their own.
+    Rows are told apart by a number, so repeated or null doc_ids are documents of their own. A number follows
+    from how files are cut into tasks, which a lost or new executor can change between jobs: rows are written
+    with it once, and all steps read that table.
     Texts that surely stay are not shuffled: a filter of fixed size tells which ones may have to go.
     """
     work.ship(spark)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = work.written(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = shingle_join.near_copies(numbered.select(F.col("_row").alias("doc_id"), "text"), shingle_join.Rule(words=5, similar=80, out_of=100))
     ids = numbered.select("_row", F.col("doc_id").alias("id"))
     rank = F.struct(F.col("id").isNull().alias("without"), "id", "_row")

@@ -80,3 +80,25 @@ def test_queries_cover_their_tables(spark, folder, name):
     ids = [r[0] for r in spark.read.parquet(f"{folder}/{table}.parquet").select(key).collect()]
     found = [r[0] for r in got.select(key).collect()]
     assert sorted(set(found)) == sorted(ids) and (len(found) == len(ids) or name.startswith("op1_"))
+
+
+def test_near_duplicates_when_files_are_packed_anew(spark, tmp_path, monkeypatch):
+    """Rows keep their numbers if later jobs cut the files into other tasks, as with a lost or new executor."""
+    work.ship(spark)
+    rows = [(i, " ".join(f"w{i % 60}x{k}" for k in range(20))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packing, near_copies = "spark.sql.files.minPartitionNum", cp.shingle_join.near_copies
+
+    def then_packed_anew(*args):
+        found = work.written(near_copies(*args))
+        spark.conf.set(packing, 1)
+        return found
+
+    monkeypatch.setattr(cp.shingle_join, "near_copies", then_packed_anew)
+    spark.conf.set(packing, 4)
+    try:
+        got = cp.stage_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(packing)
+    assert sorted(r.doc_id for r in got) == list(range(60))
