@@ -91,3 +91,34 @@ def test_calibration_edges(spark):
     df = spark.createDataFrame([(0, 0.0, 0), (0, 0.25, 1), (0, 0.26, 0), (0, 1.0, 1)], "step int, score double, label int")
     bins = {r.bin: r.n for r in ev.calibration_bins(df, ["step"]).collect()}
     assert bins == {1: 1, 2: 1, 4: 1}  # 0 is in no bin
+
+
+def test_out_of_fold_covers_the_schedule(spark, folder, monkeypatch):
+    """The query scores every landmark of the schedule from all features and aggregates."""
+    import __spark_entry__ as entry
+    from tidemark.operators import landmark as lm
+    from tidemark.plans import landmarks as plan
+
+    seen = []
+
+    def look(data, labels, hours, columns, path):
+        seen.append((data.columns, hours, columns))
+        return data.select("landmark", "pid")
+
+    monkeypatch.setattr(lm, "out_of_fold", look)
+    got = entry.queries()["p2_out_of_fold"](spark, folder)
+    ((held, hours, columns),) = seen
+    assert hours == lm.landmark_hours() and {r.landmark for r in got.select("landmark").distinct().collect()} == set(hours)
+    assert set(columns) == {f"{f}_ev_{k}" for f in plan.FEATURES for k in plan.STATS} <= set(held)
+
+
+def test_out_of_fold_scores_every_row(spark, tmp_path):
+    """Each entity has one score at each landmark, and a second call reads what is there."""
+    from tidemark.operators import landmark as lm
+
+    hours = [0.0, 0.166667, 24.0]
+    data = spark.createDataFrame([(h, i, float(i % 7)) for h in hours for i in range(60)], "landmark double, pid long, a double")
+    labels = spark.createDataFrame([(i, int(i % 7 > 3), i % 6 == 0) for i in range(60)], "pid long, label int, holdout boolean")
+    got = [lm.out_of_fold(data, labels, hours, ["a"], str(tmp_path), folds=2).collect() for _ in range(2)]
+    assert sorted((r.landmark, r.pid) for r in got[0]) == [(h, i) for h in hours for i in range(60)]
+    assert sorted(got[0]) == sorted(got[1]) and all((r.fold == -1) == (r.pid % 6 == 0) for r in got[0])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tidemark.operators.joins import as_of
 from tidemark.operators.sampling import stratified_folds
 
 HOUR = 3_600_000_000
+#: Landmarks whose learners are fitted side by side; a fit is many small jobs.
+AT_ONCE = 4
 
 # Landmark schedule, horizon to step.
 DEFAULT_SCHEDULE = {
@@ -145,7 +148,8 @@ def out_of_fold(
     """Leak-free scores per landmark: training entities are scored by models that did not see them
     (k folds), holdout entities by a model fitted on all training entities.
 
-    ``dataset(landmark, pid, columns…)``, ``labels(pid, label, holdout)``. Each landmark is written
+    ``dataset(landmark, pid, columns…)``, ``labels(pid, label, holdout)``. The rows are written once,
+    partitioned by landmark, and ``AT_ONCE`` landmarks are fitted side by side. Each landmark is written
     to its own folder and skipped when it is already there, so a stopped run can be resumed.
     """
     from pyspark.ml.classification import GBTClassifier
@@ -157,20 +161,28 @@ def out_of_fold(
     split = stratified_folds(labels.filter(~F.col("holdout")), "label", "pid", folds, seed).select("pid", "label", "holdout", "fold")
     known = split.unionByName(labels.filter("holdout").select("pid", "label", "holdout", F.lit(-1).alias("fold")))
     assembler = VectorAssembler(inputCols=columns, outputCol="x")
-    for h in hours:
-        target = f"{path}/landmark={h}"
+    table = dataset.filter(F.col("landmark").isin(*hours)).join(known, "pid")
+    table = table.select("pid", F.col("label").cast("double").alias("label"), "fold", *columns, F.col("landmark").cast("double").alias("landmark"))
+    if not _exists(spark, f"{path}/rows"):
+        table.write.mode("overwrite").partitionBy("landmark").parquet(f"{path}/rows")
+    table = spark.read.schema(table.schema).parquet(f"{path}/rows")
+
+    def fit(h: float) -> None:
+        target, own = f"{path}/landmark={h}", learner.copy()
         if _exists(spark, target):
-            continue
-        rows = assembler.transform(dataset.filter(F.col("landmark") == h).join(known, "pid")).select("pid", "label", "fold", "x")
-        rows = rows.withColumn("label", F.col("label").cast("double")).persist()
+            return
+        rows = assembler.transform(table.filter(F.col("landmark") == float(h))).select("pid", "label", "fold", "x").persist()
         parts = None
         for k in [*range(folds), -1]:
-            model = learner.fit(rows.filter((F.col("fold") != k) & (F.col("fold") >= 0)))
+            model = own.fit(rows.filter((F.col("fold") != k) & (F.col("fold") >= 0)))
             scored = model.transform(rows.filter(F.col("fold") == k))
             scored = scored.select("pid", "fold", vector_to_array("probability")[1].alias("pred"))
             parts = scored if parts is None else parts.unionByName(scored)
         parts.write.mode("overwrite").parquet(target)
         rows.unpersist()
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(fit, hours))
     read = None
     for h in hours:
         part = spark.read.parquet(f"{path}/landmark={h}").select(F.lit(float(h)).alias("landmark"), "pid", "fold", "pred")

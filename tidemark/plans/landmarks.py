@@ -58,13 +58,13 @@ def p1_labels(t):
 
 @query("p2_out_of_fold")
 def p2(t):
-    """Out-of-fold and holdout scores at two landmarks (the learner's numbers have no SQL)."""
-    features, functions = ["click", "error", "purchase", "signup", "view"], ("mean", "max", "count")
-    data = lm.landmark_dataset(t.ev, t.base, [24.0, 240.0], features, "ev", functions)
+    """Out-of-fold and holdout scores at all landmarks from all features and aggregates (the learner's numbers have no SQL)."""
+    functions = tuple(STATS)
+    data = lm.landmark_dataset(t.ev, t.base, HOURS, FEATURES, "ev", functions)
     label = t.ev.groupBy("pid").agg((F.max("value") > 250).cast("int").alias("label"))
     labels = stratified_holdout(label, "label", "pid", 0.2, 2024)
-    columns = [f"{f}_ev_{fn}" for fn in functions for f in features]
-    return rounded(lm.out_of_fold(data, labels, [24.0, 240.0], columns, scratch(t, "folds")))
+    columns = [f"{f}_ev_{fn}" for fn in functions for f in FEATURES]
+    return rounded(lm.out_of_fold(data, labels, HOURS, columns, scratch(t, "folds")))
 
 
 @query(
