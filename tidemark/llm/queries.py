@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, packing, quality_model, quality_rules, shingle_join, token_counts, toxicity, work
+from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, oracle, packing, quality_model, quality_rules, resampling, shingle_join, token_counts, toxicity, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -101,3 +101,12 @@ def op9_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_distinct_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every text, each distinct pre-token counted once."""
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark."""
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), resampling.Rule())
+
+
+SQL["op12_importance_resampling"] = oracle.RESAMPLING
