@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, oracle, packing, quality_model, quality_rules, resampling, shingle_join, token_counts, toxicity, work
+from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, oracle, packing, prefix_forest, quality_model, quality_rules, resampling, shingle_join, token_counts, toxicity, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -110,3 +110,9 @@ def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_importance_resampling"] = oracle.RESAMPLING
+
+
+@query
+def op13_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 vectors nearest to every 20th one, by inner product."""
+    return prefix_forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, prefix_forest.Rule(nearest=20))

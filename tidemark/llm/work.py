@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir
 
@@ -36,3 +37,20 @@ def ship(spark: SparkSession) -> None:
     if context.master.startswith("local") and "cluster" not in context.master and context.applicationId not in _shipped:
         context.addFile(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True)
         _shipped.add(context.applicationId)
+
+
+#: Keys of ``hot_join`` that are broadcast at most.
+HOT = 1000
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row for each ``key``), however many rows of ``many`` share a key.
+
+    The rows of the ``HOT`` most frequent keys meet a broadcast of at most ``HOT`` rows of ``one``; any other key
+    has less than 1 / ``HOT`` of all rows and is joined by a shuffle.
+    """
+    top = many.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), key).limit(HOT).select(key)
+    top = written(top)
+    hot = F.broadcast(written(one.join(F.broadcast(top), key, "left_semi")))
+    rest = many.join(F.broadcast(top), key, "left_anti").join(one.join(F.broadcast(top), key, "left_anti"), key)
+    return many.join(hot, key).unionByName(rest)
