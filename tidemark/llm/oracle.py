@@ -42,3 +42,36 @@ places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pla
 SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
   CASE WHEN place <= 10 * (SELECT count(*) FROM places) // 100 THEN place END AS rank
 FROM scores LEFT JOIN places USING (doc_id)"""
+
+
+TRIE = f"""
+WITH {_CRC},
+turns AS (
+  SELECT conv_id, said, points, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said, points) - 1 AS pos
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS points,
+          md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS said
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS giver, {_crc('CAST(conv_id AS VARCHAR)')} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, pos, said, points FROM convs c JOIN turns t ON t.conv_id = c.giver WHERE pos < h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, said, points FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE pos >= h),
+members AS (
+  SELECT conv_id, points, row_number() OVER w AS depth, string_agg(said, '') OVER w AS path, count(*) OVER (PARTITION BY conv_id) AS size
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+  UNION ALL
+  SELECT conv_id, 0, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM convs c),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(points) AS points,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM members GROUP BY path, depth),
+children AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+sums AS (
+  SELECT left(path, 32 * up) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * points) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM counted) GROUP BY ALL)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, CAST(c.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (path) LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = left(c.path, 32 * (c.depth - 1))"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, oracle, packing, prefix_forest, quality_model, quality_rules, resampling, shingle_join, token_counts, toxicity, work
+from tidemark.llm import byte_bpe, embedding_dedup, id_files, language, oracle, packing, prefix_forest, prefix_trie, quality_model, quality_rules, resampling, shingle_join, token_counts, toxicity, work
 from tidemark.session import prepare
 
 QUERIES: dict = {}
@@ -103,6 +103,15 @@ def op10_distinct_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op11_halved_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), every=100, most=6)
+
+
+SQL["op11_halved_prefix_trie"] = oracle.TRIE
+
+
 @query
 def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the documents of 20 words or more, drawn towards the benchmark."""
