@@ -141,7 +141,8 @@ def nodes(path: DataFrame) -> DataFrame:
     )
     found = work.written(found)
     children = found.groupBy(F.col("root").alias("own")).agg(F.count("*").alias("n_children"))
-    counted = found.join(children, "own", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+    # nodes without children have no key: they stay out of the join, where they would meet in one task
+    counted = found.join(children, "own").unionByName(found.where("own IS NULL").withColumn("n_children", F.lit(0).cast("long")))
     leaf, saved = F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"), (F.col("n_convs") - 1) * F.col("points")
     return work.written(counted.withColumns({"leaves": leaf, "saved": saved}).drop("points"))
 
@@ -229,7 +230,8 @@ def trie(sequences: DataFrame, conversations: DataFrame) -> DataFrame:
     parents = found.where("own IS NOT NULL").select(F.col("own").alias("root"), F.col("conv").alias("parent_conv_id"))
     placed = work.hot_join(found.where("depth > 1"), parents, "root")
     placed = placed.unionByName(found.where("depth = 1").withColumn("parent_conv_id", F.lit(total["conv"])))
-    listed = placed.join(ended, "ends", "left").select(
+    ending = placed.where("ends IS NOT NULL").join(ended, "ends")
+    listed = ending.unionByName(placed.where("ends IS NULL").withColumn("ends_sha256", F.lit(none))).select(
         F.col("conv").alias("conv_id"),
         "depth",
         "parent_conv_id",
@@ -237,7 +239,7 @@ def trie(sequences: DataFrame, conversations: DataFrame) -> DataFrame:
         "n_children",
         F.col("leaves").alias("n_leaves"),
         F.col("saved").alias("saved_tokens"),
-        F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"),
+        "ends_sha256",
     )
     return listed.unionByName(spark.createDataFrame([root], schema))
 
