@@ -15,6 +15,7 @@ from tidemark.operators import mapping as m
 from tidemark.operators import normalize as nz
 from tidemark.operators import sampling as sm
 from tidemark.operators import trajectory as tr
+from tidemark.operators.normalize import count_below, position
 from tidemark.operators.quantiles import group_quantiles, quantile_table
 from tidemark.operators.sliced import Scan, neighbour, sliced_scan, time_slice
 
@@ -148,6 +149,40 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose(q, np.quantile(vs, np.linspace(0, 1, n)) if n > 1 else [vs[0]])
 
 
+def test_no_quantile_is_null(spark):
+    """Totals whose floating step misses the last rank (29,936 and 51 is one), and many others."""
+    rnd = random.Random(5)
+    sizes = [1, 2, 3, 50, 51, 52, 29_936 // 16, *(rnd.randrange(2, 4000) for _ in range(25))]
+    data = {f"k{j}": [float(rnd.randrange(rnd.choice([3, 60, 10**6]))) for _ in range(m)] for j, m in enumerate(sizes)}
+    data["big"] = [float(i % 977) for i in range(29_936)]
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double").cache()
+    for n in (2, 7, 51, 1000):
+        got = {}
+        for r in quantile_table(df, ["k"], "v", n).collect():
+            got.setdefault(r.k, {})[r.i] = r.q
+        for k, vs in data.items():
+            m = min(n, len(vs))
+            assert sorted(got[k]) == list(range(m)) and None not in got[k].values()
+            want = np.quantile(vs, np.linspace(0, 1, m)) if m > 1 else [min(vs)]
+            assert np.allclose([got[k][i] for i in range(m)], want, rtol=1e-9, atol=1e-9)
+    df.unpersist()
+
+
+def test_search_in_quantiles(spark):
+    rnd = random.Random(6)
+    cases = []
+    for _ in range(300):
+        q = sorted(rnd.choice([rnd.random(), 0.25, 0.5]) for _ in range(rnd.choice([0, 1, 2, 3, 8, 100])))
+        cases.append((q, rnd.choice([0.25, 0.5, -1.0, 2.0, rnd.random()])))
+    df = spark.createDataFrame(cases, "q array<double>, v double")
+    v, q = F.col("v"), F.col("q")
+    for r in df.select("q", "v", count_below(v, q).alias("a"), count_below(v, q, True).alias("b"), position(v, q).alias("p")).collect():
+        assert (r.a, r.b) == (np.searchsorted(r.q, r.v, "left"), np.searchsorted(r.q, r.v, "right"))
+        assert (r.p is None) == (not r.q)
+    broken = spark.createDataFrame([([0.0, 1.0, None], 0.5)], "q array<double>, v double")
+    assert broken.select(position(v, q)).first()[0] is None
+
+
 def test_normal_functions(spark):
     df = spark.createDataFrame([(x,) for x in (1e-9, 0.01, 0.3, 0.5, 0.9, 0.99999)], "p double")
     got = [r[0] for r in df.select(inverse_normal(F.col("p"))).collect()]

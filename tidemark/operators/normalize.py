@@ -109,12 +109,28 @@ def fit_quantile(values: DataFrame, n_quantiles: int = 1000, by: str = "feature"
 NORMAL_LIMIT = 5.19933758270342
 
 
+def count_below(value: Column, ascending: Column, or_equal: bool = False) -> Column:
+    """How many numbers of an ascending array are less than ``value`` (or not greater), by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi"))
+
+    def halve(range_: Column, _: Column) -> Column:
+        lo, hi = range_["lo"], range_["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        at = F.get(ascending, mid)
+        below = at <= value if or_equal else at < value
+        open_ = lo < hi
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(lo).alias("lo"), F.when(open_ & ~below, mid).otherwise(hi).alias("hi"))
+
+    # a range of n is empty after as many halvings as n has binary digits
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.greatest(F.size(ascending), F.lit(1)))))
+    return F.aggregate(halvings, start, halve)["lo"]
+
+
 def position(value: Column, quantiles: Column) -> Column:
     """Position of a value in [0, 1] among ascending quantiles; a repeated quantile counts at the
-    middle of its run. NULL for NULL or NaN values and without quantiles."""
+    middle of its run. NULL for NULL or NaN values, without quantiles and where the first or last is NULL."""
     n = F.size(quantiles)
-    below = F.size(F.filter(quantiles, lambda q: q < value))
-    upto = F.size(F.filter(quantiles, lambda q: q <= value))
+    below, upto = count_below(value, quantiles), count_below(value, quantiles, or_equal=True)
     first, last = F.get(quantiles, F.lit(0)), F.get(quantiles, n - 1)
     lo, hi = F.get(quantiles, below - 1), F.get(quantiles, below)
     between = below - 1 + (value - lo) / (hi - lo)
@@ -122,7 +138,8 @@ def position(value: Column, quantiles: Column) -> Column:
     inside = F.when(upto > below, middle).otherwise(between) / (n - 1)
     top = F.when((n > 1) & (last > first), 1.0).otherwise(0.0)
     found = F.when(value >= last, top).when(value <= first, 0.0).otherwise(inside)
-    return F.when(value.isNotNull() & ~F.isnan(value) & (n > 0), found)
+    known = value.isNotNull() & ~F.isnan(value) & first.isNotNull() & last.isNotNull()
+    return F.when(known & (n > 0), found)
 
 
 def normal_score(u: Column) -> Column:

@@ -44,23 +44,23 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 def quantile_table(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     """``n`` evenly spaced quantiles per key (fewer where the key has fewer values) as rows
-    ``keys, i, n_q, q``; every ranked value is matched to the quantiles it serves in closed form."""
+    ``keys, i, n_q, q``; every ranked value is matched to the quantiles it serves in closed form.
+
+    Quantile i lies at rank i * (total - 1) / gaps. Ranks are kept as whole numbers and a remainder, so
+    the last quantile is the last rank for every total and n.
+    """
     ranked = ranked_values(df, keys, value).withColumn("n_q", F.least(F.lit(n), F.col("total")).cast("int"))
-    gaps = F.greatest(F.col("n_q") - 1, F.lit(1))
-    step = (F.col("total") - 1) / gaps
-    # quantile i sits at rank i * step; a value serves it as lower or upper neighbour
-    i_from = F.when(step > 0, F.ceil((F.col("first_rank") - 1) / step)).otherwise(0)
-    i_to = F.when(step > 0, F.floor((F.col("last_rank") + 1) / step)).otherwise(0)
-    ids = F.sequence(F.greatest(i_from, F.lit(0)).cast("int"), F.least(i_to, (F.col("n_q") - 1).cast("long")).cast("int"))
-    fits = F.greatest(i_from, F.lit(0)) <= F.least(i_to, (F.col("n_q") - 1).cast("long"))
-    rows = ranked.withColumn("step", step).filter(fits).withColumn("i", F.explode(ids))
-    pos = F.col("i") * F.col("step")
-    lo = (F.floor(pos) >= F.col("first_rank")) & (F.floor(pos) <= F.col("last_rank"))
-    hi = (F.ceil(pos) >= F.col("first_rank")) & (F.ceil(pos) <= F.col("last_rank"))
-    out = rows.groupBy(*keys, "i").agg(
-        F.max("n_q").alias("n_q"),
-        F.max(F.when(lo, F.col(value))).alias("a"),
-        F.max(F.when(hi, F.col(value))).alias("b"),
-        F.max(pos - F.floor(pos)).alias("w"),
+    ranked = ranked.withColumns({"__span": F.col("total") - 1, "__gaps": F.greatest(F.col("n_q") - 1, F.lit(1)).cast("long")})
+    # the least quantile above the rank before the value's first, the greatest below the one after its last
+    first = F.when(F.col("first_rank") > 0, F.expr("(first_rank - 1) * __gaps div __span") + 1).otherwise(0)
+    last = F.when(F.col("__span") > 0, F.expr("((last_rank + 1) * __gaps + __span - 1) div __span") - 1).otherwise(0)
+    ranked = ranked.withColumns({"__from": first, "__to": F.least(last, F.col("n_q").cast("long") - 1)})
+    rows = ranked.filter("__from <= __to").withColumn("i", F.explode(F.sequence("__from", "__to")))
+    rest = (F.col("i") * F.col("__span")) % F.col("__gaps")
+    lower = F.expr("i * __span div __gaps")
+    upper = lower + (rest > 0).cast("long")
+    serves = {name: F.when(r.between(F.col("first_rank"), F.col("last_rank")), F.col(value)) for name, r in (("a", lower), ("b", upper))}
+    out = rows.groupBy(*keys, F.col("i").cast("int").alias("i")).agg(
+        F.max("n_q").alias("n_q"), *[F.max(c).alias(name) for name, c in serves.items()], F.max(rest / F.col("__gaps")).alias("w")
     )
     return out.select(*keys, "i", "n_q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("q"))
