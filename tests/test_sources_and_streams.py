@@ -7,6 +7,7 @@ from tidemark.operators import mapping as m
 from tidemark.plans.registry import Tables
 from tidemark.sources import tables as src
 from tidemark.streaming import incremental as inc
+from tidemark.streaming.runs import Runs
 
 STD = ["pid", "ts", "feature", "value", "event_id"]
 
@@ -37,13 +38,113 @@ def test_refresh_equals_batch_in_any_order(spark, folder, tmp_path):
     ev = t.ev.select(*STD)
     want = {tuple(r) for r in m.map_concept(ev, t.base, ["count", "max", "last"]).collect()}
     for order in ([0, 1, 2], [2, 0, 1]):
-        store = inc.CellStore(spark, str(tmp_path / f"s{order[0]}"), t.base, ["count", "max", "last"], buckets=4)
+        store = inc.CellStore(spark, str(tmp_path / f"s{order[0]}"), t.base, ["count", "max", "last"], fanout=2)
         for version, part in enumerate(order):
             store.refresh(ev.filter(F.col("event_id") % 3 == part), version)
         store.refresh(ev.filter(F.col("event_id") % 3 == order[2]), 2)  # a repeated batch changes nothing
         assert {tuple(r) for r in store.current().select("pid", "step", "feature", "count", "max", "last").collect()} == want
 
 
+ROW = "k long, v long"
+
+
+def summed(rows):
+    return rows.groupBy("k").agg(F.sum("v").alias("v"))
+
+
+def runs_of(spark, path):
+    return Runs(spark, str(path), spark.createDataFrame([], ROW).schema, summed, 3)
+
+
+def total(runs):
+    return {r.k: r.v for r in runs.read().collect()}
+
+
+def test_runs_stay_few(spark, tmp_path):
+    """Reading opens a bounded number of runs after any number of appends, and repeats change nothing."""
+    runs, want = runs_of(spark, tmp_path / "t"), {}
+    assert total(runs) == {}
+    for version in range(14):
+        rows = [(k, version) for k in range(version % 5 + 1)]
+        for k, v in rows:
+            want[k] = want.get(k, 0) + v
+        assert runs.add(spark.createDataFrame(rows, ROW), version)
+        assert not runs.add(spark.createDataFrame(rows, ROW), version)
+        assert len(runs.state.live) <= 2 * 3 and total(runs) == want
+    again = runs_of(spark, tmp_path / "t")  # another process sees the same
+    assert again.state == runs.state and total(again) == want
+    assert sum(1 for _ in (tmp_path / "t").glob("level0/*")) <= 8  # folders are used again
+    again.replace(spark.createDataFrame([(1, 5)], ROW), 20)
+    assert total(runs_of(spark, tmp_path / "t")) == {1: 5}
+
+
+def test_killed_compaction_and_broken_manifest(spark, tmp_path):
+    rows = lambda v: spark.createDataFrame([(1, v), (v, 1)], ROW)
+    runs = runs_of(spark, tmp_path / "t")
+    for v in (0, 1):
+        runs.add(rows(v), v)
+    commit, calls = Runs._commit, []
+
+    def dies(self, *a):
+        calls.append(a)
+        if len(calls) == 2:  # the merged run is written, its manifest is not
+            raise KeyboardInterrupt
+        commit(self, *a)
+
+    Runs._commit = dies
+    try:
+        runs.add(rows(2), 2)
+    except KeyboardInterrupt:
+        pass
+    finally:
+        Runs._commit = commit
+    want = {0: 1, 1: 4, 2: 1}
+    again = runs_of(spark, tmp_path / "t")
+    assert again.state.version == 2 and len(again.state.live) == 3 and total(again) == want
+    again.compact()
+    assert len(again.state.live) == 1 and total(again) == want
+    # a manifest that broke off is empty; the other one says what is live
+    spark.createDataFrame([], "seq long, version long, level int, slot int").write.mode("overwrite").parquet(str(tmp_path / "t" / f"manifest{(again.state.seq + 1) % 2}"))
+    assert total(runs_of(spark, tmp_path / "t")) == want
+
+
+def test_refresh_does_not_read_earlier_batches(spark, folder, tmp_path):
+    """The states of a batch are made from that batch alone; all aggregates merge to those of the batch build."""
+    t = Tables(spark, folder)
+    ev, functions = t.ev.select(*STD), list(m.CONTINUOUS)
+    store = inc.CellStore(spark, str(tmp_path / "s"), t.base, functions, fanout=2)
+    for version in range(5):
+        store.refresh(ev.filter(F.col("event_id") % 5 == version), version)
+    both = store.current().alias("a").join(m.map_concept(ev, t.base, functions).alias("b"), m.CELL, "full")
+    near = lambda f: F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) | (F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) <= 1e-9 * (1 + F.abs(F.col(f"b.{f}"))))
+    for f in functions:
+        assert both.filter(~F.coalesce(near(f), F.lit(False))).count() == 0, f
+
+
+def test_state_of_closed_cells_goes(spark, tmp_path):
+    """Cells past the bound are emitted once and leave the state; an event for a closed cell is dropped."""
+    base = spark.sql("SELECT id AS pid, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id) AS start_ts, timestamp_ntz'2024-03-01 00:00:00' AS end_ts FROM range(6)")
+    event = lambda pid, day, hour, i: (pid, f"2024-01-{day:02d} {hour:02d}:05:00", "f", 1.0, i)
+    batches = [
+        [event(0, 1, 1, 1), event(0, 1, 1, 2), event(1, 2, 3, 3)],
+        [event(2, 4, 1, 4), event(3, 9, 1, 5)],
+        [event(3, 8, 23, 6), event(4, 10, 1, 7)],  # 6 is late, but within the bound
+        [event(0, 1, 1, 8), event(4, 20, 1, 9)],  # 8 is late for a closed cell
+    ]
+    schema = "pid long, ts string, feature string, value double, event_id long"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = inc.event_stream(spark, str(tmp_path / "in"), "pid long, ts timestamp_ntz, feature string, value double, event_id long")
+    cells = inc.mergeable_cells(stream, base, watermark="2 days")
+    q = cells.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress if p["stateOperators"])
+    got = sorted((r.pid, r.n) for r in spark.read.schema(cells.schema).parquet(str(tmp_path / "out")).collect())
+    assert kept[-1] == 1 and dropped == 1  # only the newest cell is open
+    assert got == [(0, 2), (1, 1), (2, 1), (3, 1), (3, 1), (4, 1)]
+
+
 def test_mergeable_stream(spark, folder, tmp_path):
     t = Tables(spark, folder)
     ev = t.ev.select(*STD)
@@ -72,7 +173,7 @@ def test_entities_that_arrive_late(spark, folder, tmp_path):
     t = Tables(spark, folder)
     ev = t.ev.select(*STD)
     want = {tuple(r) for r in m.map_concept(ev, t.base, ["count"]).collect()}
-    store = inc.CellStore(spark, str(tmp_path / "late"), t.base.filter("pid % 3 <> 0"), ["count"], buckets=4)
+    store = inc.CellStore(spark, str(tmp_path / "late"), t.base.filter("pid % 3 <> 0"), ["count"], fanout=2)
     store.refresh(ev.filter("event_id % 2 = 0"), 0)
     store.admit(t.base, 1)
     store.refresh(ev.filter("event_id % 2 = 1"), 2)
