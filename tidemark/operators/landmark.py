@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timegrid import DEFAULT_GRID, Grid, micros, minutes_of
+from tidemark.operators import boosting
 from tidemark.operators import features as ft
 from tidemark.operators.joins import as_of
 from tidemark.operators.normalize import count_below
@@ -16,8 +17,6 @@ from tidemark.operators.sampling import stratified_folds
 from tidemark.session import cut_lineage
 
 HOUR = 3_600_000_000
-#: Landmarks whose learners are fitted side by side; a fit is many small jobs.
-AT_ONCE = 4
 
 # Landmark schedule, horizon to step.
 DEFAULT_SCHEDULE = {
@@ -255,52 +254,80 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written under ``path``, unless it is there already."""
+    if not _exists(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _landmark_rows(dataset: DataFrame, columns: list[str], label, fold) -> DataFrame:
+    """Rows as the learner takes them, dealt so that a task has few landmarks and none has one landmark alone."""
+    rows = dataset.select(F.col("landmark").cast("double").alias("group"), F.col("pid").alias("id"), fold.alias("fold"), label.cast("double").alias("label"), *columns)
+    slots = max(1, int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition("group", F.pmod(F.xxhash64("id"), F.lit(slots)))
+
+
+_EDGES = "group double, columns array<string>, edges array<array<double>>"
+
+
+def fit_landmarks(
+    dataset: DataFrame, labels: DataFrame, hours: list[float], columns: list[str], path: str, folds: int = 5, seed: int = 2024, rule: boosting.Rule = boosting.Rule()
+) -> tuple[boosting.Forest, DataFrame]:
+    """The models of all landmarks and folds, and the binned rows they were fitted to.
+
+    ``dataset(landmark, pid, columns…)``, ``labels(pid, label, holdout)``. Training entities get a fold, holdout
+    ones -1: their model is fitted to all training entities. Rows, bin edges and trees are kept under ``path``, so
+    a stopped run goes on where it was.
+    """
+    spark = dataset.sparkSession
+    split = stratified_folds(labels.filter(~F.col("holdout")), "label", "pid", folds, seed).select("pid", "label", F.col("fold").cast("int").alias("fold"))
+    known = split.unionByName(labels.filter("holdout").select("pid", "label", F.lit(-1).alias("fold")))
+    rows = _landmark_rows(dataset.filter(F.col("landmark").isin(*hours)).join(known, "pid"), columns, F.col("label"), F.col("fold"))
+    rows = _kept(rows, f"{path}/rows")
+    if not _exists(spark, f"{path}/edges"):
+        edges = boosting.edges_of(rows, columns, rule)
+        spark.createDataFrame([(g, columns, [x.tolist() for x in e]) for g, e in edges.items()], _EDGES).coalesce(1).write.mode("overwrite").parquet(f"{path}/edges")
+    forest = boosting.Forest(rule, columns, _edges(spark, path)[0])
+    table = _kept(boosting.binned(rows, forest), f"{path}/binned")
+    return boosting.fit(table, forest, folds, f"{path}/trees"), table
+
+
+def _edges(spark: SparkSession, path: str) -> tuple[dict, list[str]]:
+    saved = spark.read.schema(_EDGES).parquet(f"{path}/edges").collect()
+    return {r["group"]: [np.array(e) for e in r["edges"]] for r in saved}, list(saved[0]["columns"]) if saved else []
+
+
 def out_of_fold(
-    dataset: DataFrame, labels: DataFrame, hours: list[float], columns: list[str], path: str, folds: int = 5, seed: int = 2024, learner=None
+    dataset: DataFrame, labels: DataFrame, hours: list[float], columns: list[str], path: str, folds: int = 5, seed: int = 2024, rule: boosting.Rule = boosting.Rule()
 ) -> DataFrame:
-    """Leak-free scores per landmark: training entities are scored by models that did not see them
-    (k folds), holdout entities by a model fitted on all training entities.
+    """Leak-free scores per landmark: ``landmark, pid, fold, pred``. Training entities are scored by models that
+    did not see them (k folds), holdout entities (fold -1) by a model of all training entities."""
+    forest, table = fit_landmarks(dataset, labels, hours, columns, path, folds, seed, rule)
+    return boosting.score(table, forest).select(F.col("group").alias("landmark"), F.col("id").alias("pid"), "fold", "pred")
 
-    ``dataset(landmark, pid, columns…)``, ``labels(pid, label, holdout)``. The rows are written once,
-    partitioned by landmark, and ``AT_ONCE`` landmarks are fitted side by side. Each landmark is written
-    to its own folder and skipped when it is already there, so a stopped run can be resumed.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    spark = dataset.sparkSession
-    learner = learner or GBTClassifier(featuresCol="x", labelCol="label", maxIter=5, maxDepth=3, seed=seed)
-    split = stratified_folds(labels.filter(~F.col("holdout")), "label", "pid", folds, seed).select("pid", "label", "holdout", "fold")
-    known = split.unionByName(labels.filter("holdout").select("pid", "label", "holdout", F.lit(-1).alias("fold")))
-    assembler = VectorAssembler(inputCols=columns, outputCol="x")
-    table = dataset.filter(F.col("landmark").isin(*hours)).join(known, "pid")
-    table = table.select("pid", F.col("label").cast("double").alias("label"), "fold", *columns, F.col("landmark").cast("double").alias("landmark"))
-    if not _exists(spark, f"{path}/rows"):
-        table.write.mode("overwrite").partitionBy("landmark").parquet(f"{path}/rows")
-    table = spark.read.schema(table.schema).parquet(f"{path}/rows")
-
-    def fit(h: float) -> None:
-        target, own = f"{path}/landmark={h}", learner.copy()
-        if _exists(spark, target):
-            return
-        rows = assembler.transform(table.filter(F.col("landmark") == float(h))).select("pid", "label", "fold", "x").persist()
-        parts = None
-        for k in [*range(folds), -1]:
-            model = own.fit(rows.filter((F.col("fold") != k) & (F.col("fold") >= 0)))
-            scored = model.transform(rows.filter(F.col("fold") == k))
-            scored = scored.select("pid", "fold", vector_to_array("probability")[1].alias("pred"))
-            parts = scored if parts is None else parts.unionByName(scored)
-        parts.write.mode("overwrite").parquet(target)
-        rows.unpersist()
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        list(pool.map(fit, hours))
-    read = None
-    for h in hours:
-        part = spark.read.parquet(f"{path}/landmark={h}").select(F.lit(float(h)).alias("landmark"), "pid", "fold", "pred")
-        read = part if read is None else read.unionByName(part)
-    return read
+def load_landmarks(spark: SparkSession, path: str, folds: int = 5, rule: boosting.Rule = boosting.Rule()) -> boosting.Forest:
+    """The models kept under ``path``; only those, nothing is fitted."""
+    edges, columns = _edges(spark, path)
+    forest = boosting.Forest(rule, columns, edges)
+    none = spark.createDataFrame([], "group double, id long, fold int, label double, bins binary")
+    for t in range(rule.trees):
+        if not _exists(spark, f"{path}/trees/tree{t}"):
+            raise ValueError(f"the fit under {path} was stopped before tree {t}")
+    return boosting.fit(none, forest, folds, f"{path}/trees")
+
+
+def score_landmarks(dataset: DataFrame, forest: boosting.Forest, use: str = "all", folds: int = 5) -> DataFrame:
+    """Scores of entities that took no part in a fit: ``landmark, pid, pred``.
+
+    ``use``: the model of ``all`` training entities (the one to deploy), or the mean of the ``folds``' models.
+    A landmark without a model gives NULL.
+    """
+    rows = _landmark_rows(dataset, forest.columns, F.lit(0.0), F.lit(-1))
+    models = {"all": [-1], "folds": list(range(folds))}[use]
+    scored = boosting.score(boosting.binned(rows, forest), forest, models)
+    return scored.select(F.col("group").alias("landmark"), F.col("id").alias("pid"), "pred")
 
 
 def prediction_channel(base: DataFrame, predictions: DataFrame, grid: Grid = DEFAULT_GRID, name: str = "landmark_pred") -> DataFrame:

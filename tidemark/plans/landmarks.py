@@ -56,17 +56,32 @@ def p1_labels(t):
     return lm.landmark_counts(t.ev.select("pid", "ts", F.col("feature").alias("value")), t.base, HOURS)
 
 
+def labelled(t):
+    """The landmark dataset of all features and aggregates, labels with a holdout, and the columns."""
+    data = lm.landmark_dataset(t.ev, t.base, HOURS, FEATURES, "ev", tuple(STATS))
+    label = t.ev.groupBy("pid").agg((F.max("value") > 250).cast("int").alias("label"))
+    return data, stratified_holdout(label, "label", "pid", 0.2, 2024), [f"{f}_ev_{fn}" for fn in STATS for f in FEATURES]
+
+
 @query("p2_out_of_fold")
 def p2(t):
     """Out-of-fold and holdout scores at all landmarks from all features and aggregates (the learner's numbers have no SQL)."""
-    functions = tuple(STATS)
-    data = lm.landmark_dataset(t.ev, t.base, HOURS, FEATURES, "ev", functions)
-    label = t.ev.groupBy("pid").agg((F.max("value") > 250).cast("int").alias("label"))
-    labels = stratified_holdout(label, "label", "pid", 0.2, 2024)
-    columns = [f"{f}_ev_{fn}" for fn in functions for f in FEATURES]
+    data, labels, columns = labelled(t)
     return rounded(lm.out_of_fold(data, labels, HOURS, columns, scratch(t, "folds")))
 
 
+@query("p2_kept_models")
+def p2_kept(t):
+    """Models fitted to two thirds of the users are kept, read again, and score the other third both ways."""
+    data, labels, columns = labelled(t)
+    path = scratch(t, "folds")
+    lm.fit_landmarks(data, labels.filter("pid % 3 <> 0"), HOURS, columns, path)
+    forest = lm.load_landmarks(t.spark, path)
+    new = data.filter("pid % 3 = 0")
+    both = [lm.score_landmarks(new, forest, use).withColumnRenamed("pred", f"pred_{use}") for use in ("all", "folds")]
+    return rounded(both[0].join(both[1], ["landmark", "pid"]))
+
+
 @query(
     "p3_prediction_channel",
     f"""{with_("base", "seg", "grid")}, {LAND_SQL}, c AS (SELECT pid, step, lo / 60.0 AS h FROM base, grid)
