@@ -262,10 +262,9 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
 
 
 def _landmark_rows(dataset: DataFrame, columns: list[str], label, fold) -> DataFrame:
-    """Rows as the learner takes them, dealt so that a task has few landmarks and none has one landmark alone."""
+    """Rows as the learner takes them, in ranges of landmark and entity: a task has few landmarks, and a large landmark has many tasks."""
     rows = dataset.select(F.col("landmark").cast("double").alias("group"), F.col("pid").alias("id"), fold.alias("fold"), label.cast("double").alias("label"), *columns)
-    slots = max(1, int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition("group", F.pmod(F.xxhash64("id"), F.lit(slots)))
+    return rows.withColumn("__h", F.xxhash64("id")).repartitionByRange("group", "__h").drop("__h")
 
 
 _EDGES = "group double, columns array<string>, edges array<array<double>>"
