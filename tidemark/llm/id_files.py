@@ -85,21 +85,27 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
         for rows, ids, begin in tokens.encoded(batches, tokenizer, "text"):
             own = np.arange(len(ids)) + np.repeat(np.arange(len(begin) - 1), np.diff(begin))
             out = np.full(len(ids) + len(begin) - 1, end_id, kind)
             out[own] = ids
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "ids": _pieces(out.view(np.uint8), (begin + np.arange(len(begin))) * kind().itemsize)})
+            total += np.bincount(out, minlength=vocabulary)
+            pieces = _pieces(out.view(np.uint8), (begin + np.arange(len(begin))) * kind().itemsize)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pieces, pa.nulls(len(rows), pa.binary())], names=["doc_id", "ids", "counts"])
+        # a task's counts of ids are a row of their own, the only one with counts
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.array([b""]), "counts": pa.array([total.tobytes()])})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            total += np.bincount(_lists(b.column("ids"))[0].view(kind), minlength=vocabulary)
+            for counts in b.column("counts"):
+                total += np.frombuffer(counts.as_py(), np.int64)
         yield pa.RecordBatch.from_pydict({"id": pa.array(np.flatnonzero(total), pa.int32()), "n": pa.array(total[total > 0])})
 
     spark = docs.sparkSession
-    staged = work.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary"))
-    counted = staged.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    staged = work.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, counts binary"))
+    counted = staged.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counted.orderBy(F.desc("n"), "id").collect()  # as many as the vocabulary at most
     table = spark.createDataFrame([(k, r["id"], r["n"]) for k, r in enumerate(ranked)], "rank int, id int, n long")
     table.coalesce(1).write.parquet(f"{path}/ranks")
@@ -122,7 +128,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), file)), pa.array(at)], names=[*b.schema.names, "file", "before"])
 
-    coded = staged.mapInArrow(pack, ROW)
+    coded = staged.where("counts IS NULL").select("doc_id", "ids").mapInArrow(pack, ROW)
     ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "data")
     ordered.mapInArrow(number, ROW + ", file long, before long").write.option("compression", "zstd").parquet(f"{path}/ids")
 
