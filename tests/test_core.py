@@ -255,3 +255,26 @@ def test_end_of_life_mask_keeps_minimum(spark):
     df = base(spark, [(1, 0, 20), (2, 0, 600), (3, 0, 6000)])
     got = {r.pid: (r.end_ts - T0).total_seconds() / 60 for r in tr.mask_end_of_life(df, F.col("pid") < 9).collect()}
     assert got == {1: 30.0, 2: 570.0, 3: 5880.0}
+
+
+def test_dense_numbers(spark):
+    from tidemark.operators.features import category_codes, vocabulary
+    from tidemark.operators.numbering import number_distinct
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["x", "y", None, f"w{rnd.randrange(300)}"]), rnd.choice([1, 1, None, rnd.randrange(500)])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b int")
+    got = [tuple(r) for r in number_distinct(df, ["a", "b"], "n").orderBy("n").collect()]
+    low = lambda v: (v is not None, v if v is not None else 0)
+    want = sorted(set(rows), key=lambda r: ((r[0] is not None, r[0] or ""), low(r[1])))
+    assert got == [(*r, i + 1) for i, r in enumerate(want)]
+    assert number_distinct(df.limit(0), ["a"], "n").count() == 0
+    codes = category_codes(df.withColumn("id", F.monotonically_increasing_id()), ["a", "b"])
+    words = {c: {v: i + 1 for i, v in enumerate(sorted({r[j] for r in rows} - {None}))} for j, c in enumerate("ab")}
+    assert sorted((r.a, r.b) for r in codes.collect()) == sorted((words["a"].get(a, 0), words["b"].get(b, 0)) for a, b in rows)
+    have = {(r.a, r.b): (r.idx, r.n_classes, r.offset) for r in vocabulary(df, "a", "b").filter("a IS NOT NULL").collect()}
+    by = {}
+    for a, b in sorted({r for r in rows if None not in r}):
+        by.setdefault(a, []).append(b)
+    assert {k: v[:2] for k, v in have.items()} == {(a, b): (i, len(bs)) for a, bs in by.items() for i, b in enumerate(bs)}
+    assert len({v[0] + v[2] for v in have.values()}) == len(have)  # places in the joint dimension

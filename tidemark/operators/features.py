@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import to_number
 from tidemark.operators.joins import first_per_key, range_join
+from tidemark.operators.numbering import number_columns, number_distinct
 from tidemark.operators.quantiles import group_quantiles
 from tidemark.operators.sliced import running_number
-from tidemark.operators.trajectory import number_distinct
 
 NUMERIC = ("first", "last", "min", "max", "mean", "std", "count", "median")
 
@@ -111,12 +111,10 @@ def series_to_cells(frame: DataFrame, keys: tuple[str, ...] = ("pid", "feature")
 def vocabulary(labels: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Sorted vocabulary with 0-based index per feature and the feature's offset in the joint
     dimension. Works on distinct labels only."""
-    words = labels.filter(F.col(value).isNotNull()).select(feature, value).distinct()
-    indexed = words.withColumn("idx", F.row_number().over(Window.partitionBy(feature).orderBy(value)) - 1)
-    sizes = words.groupBy(feature).agg(F.count("*").cast("int").alias("n_classes"))
-    before = Window.partitionBy(F.lit(0)).orderBy(feature).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n_classes").over(before), F.lit(0)).cast("int"))
-    return indexed.join(offsets, feature)
+    words = number_distinct(labels.filter(F.col(value).isNotNull()), [feature, value], "__n")
+    # numbers run through all features in order, so a feature's offset is its first number
+    features = words.groupBy(feature).agg(F.count("*").cast("int").alias("n_classes"), (F.min("__n") - 1).cast("int").alias("offset"))
+    return words.join(features, feature).withColumn("idx", (F.col("__n") - 1 - F.col("offset")).cast("int")).select(feature, value, "idx", "n_classes", "offset")
 
 
 def multi_hot(labels: DataFrame, words: DataFrame) -> DataFrame:
@@ -156,10 +154,9 @@ def category_codes(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
     ``fit_on`` (train and holdout together) and joined by equality."""
     out = df
     fit = fit_on if fit_on is not None else df
-    for c in columns:
-        known = fit.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != "#na#"))
-        codes = number_distinct(known, [c], "__code")
-        out = out.join(codes, c, "left").withColumn(c, F.coalesce("__code", F.lit(0)).cast("int")).drop("__code")
+    numbers = number_columns(fit, {c: F.col(c).isNotNull() & (F.col(c).cast("string") != "#na#") for c in columns})
+    for c, codes in numbers.items():
+        out = out.join(codes, c, "left").withColumn(c, F.coalesce("code", F.lit(0)).cast("int")).drop("code")
     return out.select(*df.columns)
 
 

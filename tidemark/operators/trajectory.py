@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.timegrid import DEFAULT_GRID, Grid, from_micros, micros
+from tidemark.operators.numbering import number_distinct
 from tidemark.operators.sliced import Scan, neighbour, numbered_runs, running_sum, sliced_scan, time_slice
 
 HOUR = 3_600_000_000
@@ -176,17 +176,6 @@ def boundary_step(base: DataFrame, second_start: str, grid: Grid = DEFAULT_GRID)
     return base.withColumn("boundary_step", F.when(minutes > 0, grid.time_to_step(minutes)))
 
 
-def number_distinct(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Distinct key tuples with a dense 1-based number in key order.
-
-    The distinct keys are range-sorted across tasks and numbered with per-partition offsets, so no
-    single task sees them all.
-    """
-    distinct = df.select(*keys).distinct().orderBy(*keys)
-    schema = T.StructType([*distinct.schema.fields, T.StructField(name, T.LongType())])
-    return df.sparkSession.createDataFrame(distinct.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + 1)), schema)
-
-
 def enumerate_ids(df: DataFrame, keys: list[str], name: str = "pid") -> DataFrame:
     """Dense 1-based id per distinct key tuple, in key order."""
     return df.join(number_distinct(df, keys, name), keys)
