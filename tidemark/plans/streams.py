@@ -84,7 +84,7 @@ def k1_late(t):
     "k3_bounded_state",
     f"""{with_("ev", "base", "seg", "grid", "mapped")}, c AS (SELECT pid, step, feature, start_ts + to_minutes(hi::INT) AS cell_end, count(value) AS n, max(value) AS max
       FROM mapped JOIN base USING (pid) JOIN grid USING (step) GROUP BY ALL)
-    SELECT pid, step, feature, n, max FROM c WHERE epoch_us(cell_end) <= (SELECT epoch_ms(max(cell_end)) * 1000 - 172800000000 FROM c)""",
+    SELECT pid, step, feature, n, max FROM c WHERE epoch_us(cell_end) <= (SELECT epoch_us(max(cell_end)) // 1000 * 1000 - 172800000000 FROM c)""",
 )
 def k3_bounded(t):
     """Cells that a stream in order of time has closed under a bound of a day (and the widest cell, a day too)."""
