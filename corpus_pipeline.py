@@ -32,9 +32,14 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters (or text), or in no language learned from the rest, go."""
+    """Documents without letters (or text), or in no language learned from the rest, go.
+
+    Where no document has a language there is nothing to judge by, and all stay.
+    """
     work.ship(spark)
     filters = language.learn(docs)
+    if not filters.languages:
+        return docs
     stays = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
     return _filtered(docs, lambda d, keep: language.predict(d, filters, keep), stays)
 
