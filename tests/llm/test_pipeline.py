@@ -102,3 +102,10 @@ def test_near_duplicates_when_files_are_packed_anew(spark, tmp_path, monkeypatch
     finally:
         spark.conf.unset(packing)
     assert sorted(r.doc_id for r in got) == list(range(60))
+
+
+def test_language_stage_without_languages(spark):
+    """A table whose lang is null throughout, and one without rows, lose nothing."""
+    docs = spark.createDataFrame([(1, "some words here", None), (2, None, None), (None, "", None)], "doc_id long, text string, lang string")
+    assert sorted(map(str, cp.stage_language(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
+    assert cp.stage_language(spark, docs.limit(0), "").count() == 0
