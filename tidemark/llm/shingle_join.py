@@ -17,7 +17,7 @@ whose distance never exceeds the sets' difference, then on the sets themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ U64 = np.uint64
 BLOCK_BYTES = 16 << 20
 #: Gids by which a pair finds the one group that is to test it.
 FIRST = 8
+#: Members of a group that one task's group holds of each side; larger groups are cut into tiles.
+TILE = 4096
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -289,8 +291,17 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
     return dealt.groupBy("slot").applyInArrow(meet, "gid long, class long").distinct()
 
 
+def sketches_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """The classes ``wanted`` (class, rep: the doc_id that stands for it, ...) with size and sketch."""
+    return _of_classes(docs, wanted, rule, "sketch", sketch)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """class, size, sketch and set (hashes as bytes) of the classes ``wanted`` (class, rep doc_id)."""
+    """The classes ``wanted`` (class, rep, ...) with size and set (hashes as bytes)."""
+    return _of_classes(docs, wanted, rule, "set", _packed)
+
+
+def _of_classes(docs: DataFrame, wanted: DataFrame, rule: Rule, name: str, of: Callable[[np.ndarray], bytes]) -> DataFrame:
     ids = wanted.where("rep IS NOT NULL").select("rep")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter.marked(ids))
 
@@ -299,38 +310,37 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             b = b.filter(id_filter.may_hold(bits.value, b.column("doc_id")))
             for c in spans.chunks(b.column("text")):
                 s = shingle_sets(c, rule.words)
-                own = [s.shingle[x:y] for x, y in zip(s.begin.tolist(), s.begin[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({
-                    "class": pa.array(s.key.view(np.int64)), "doc_id": b.column("doc_id").slice(c.first, len(c)), "size": pa.array(s.size),
-                    "sketch": pa.array([sketch(x) for x in own], pa.binary()), "set": pa.array([_packed(x) for x in own], pa.binary()),
-                })
+                own = [of(s.shingle[x:y]) for x, y in zip(s.begin.tolist(), s.begin[1:].tolist())]
+                yield pa.RecordBatch.from_pydict({"class": pa.array(s.key.view(np.int64)), "doc_id": b.column("doc_id").slice(c.first, len(c)), "size": pa.array(s.size), name: pa.array(own, pa.binary())})
 
-    made = docs.mapInArrow(run, "class long, doc_id long, size long, sketch binary, set binary")
+    made = docs.mapInArrow(run, f"class long, doc_id long, size long, {name} binary")
     found = made.join(wanted, "class").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    return found.select("class", "size", "sketch", "set").dropDuplicates(["class"])
+    return found.select(*wanted.columns, "size", name).dropDuplicates(["class"])
 
 
-def tested(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes that are linked: sieved by sketches, then tested on the sets."""
+def tested(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of classes that are linked: sieved by sketches, then tested on the sets.
+
+    Sets are made only for classes of pairs that the sieve leaves.
+    """
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
             x, y = b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist()
             ok = [bool(may_link(*folded([p, q]), n, rule)) for p, q, n in zip(x, y, size)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [linked(_unpacked(x.as_py()), _unpacked(y.as_py()), rule) for x, y in zip(b.column("x"), b.column("y"))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    left = work.written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(sieve, "a long, b long"))
-    # only the sets of pairs that are left are shuffled
-    needed = id_filter.marked(left.select("a").union(left.select("b")))
-    some = id_filter.held(sets.select("class", "set"), needed, "class")
-    whole = left.join(some.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(some.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    side = lambda c: sketches.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("rep", "size", "sketch")])
+    left = work.written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(sieve, "a long, b long, rep_a long, rep_b long"))
+    ends = [left.select(F.col(c).alias("class"), F.col(f"rep_{c}").alias("rep")) for c in "ab"]
+    sets = work.written(sets_of(docs, ends[0].union(ends[1]).distinct(), rule))
+    whole = left.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     return whole.mapInArrow(test, "a long, b long")
 
 
@@ -340,24 +350,28 @@ def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def open_pairs(members: DataFrame, rule: Rule, slots: int) -> DataFrame:
-    """Pairs of a group (gid, class, label, size, sketch) with two labels that the sketches leave possible.
+    """Pairs of a group with two labels that the sketches leave possible; members have gid, n (the group's), class, label, size, sketch, first.
 
-    Two classes often share many groups; each class brings its ``FIRST`` least gids, and a pair is left to
-    the least gid in both lists.
+    Two classes often share many groups; each class brings its ``FIRST`` least gids (first), and a pair is left
+    to the least gid in both lists. Groups of more than ``TILE`` members are cut into tiles, and every two tiles
+    meet in a task's group of their own.
     """
 
     def cross(table: pa.Table) -> pa.Table:
-        gid, own, label, size = (table.column(c).to_numpy() for c in ("gid", "class", "label", "size"))
+        gid, own, label, size, tile, lo, hi = (table.column(c).to_numpy() for c in ("gid", "class", "label", "size", "tile", "lo", "hi"))
         sketches, found = table.column("sketch").to_pylist(), []
         first = np.full((len(gid), FIRST), np.iinfo(np.int64).max)
         for i, own_gids in enumerate(table.column("first").to_pylist()):
             first[i, : len(own_gids)] = own_gids
-        order = np.lexsort((own, gid))
+        order = np.lexsort((own, tile, gid))
         for at in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
             bits = folded([sketches[i] for i in at]) if len(at) > 1 else None
-            for i in range(len(at) - 1):
-                rest = at[i + 1 :]
-                ok = (label[rest] != label[at[i]]) & may_link(bits[i], bits[i + 1 :], size[rest] + size[at[i]], rule)
+            two = lo[at[0]] != hi[at[0]]
+            left = int((tile[at] == lo[at[0]]).sum()) if two else len(at) - 1
+            for i in range(left):
+                begin = left if two else i + 1
+                rest = at[begin:]
+                ok = (label[rest] != label[at[i]]) & may_link(bits[i], bits[begin:], size[rest] + size[at[i]], rule)
                 if ok.any():
                     ok[ok] = _least_shared(first[at[i]], first[rest[ok]]) >= gid[at[i]]
                     pair = np.stack([np.full(ok.sum(), own[at[i]]), own[rest[ok]]], 1)
@@ -365,9 +379,13 @@ def open_pairs(members: DataFrame, rule: Rule, slots: int) -> DataFrame:
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
-    lists = members.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("gid")), 1, FIRST).alias("first"))
-    dealt = members.join(lists, "class").withColumn("slot", F.pmod(F.xxhash64("gid"), F.lit(slots)))
-    return dealt.groupBy("slot").applyInArrow(cross, "a long, b long").distinct()
+    cut = members.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("class"), "tiles"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "gid", "class", "label", "size", "sketch", "first", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
+        # a group of one tile shares a slot with others; two tiles of a larger one have their own
+        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("gid"), F.lit(slots))).otherwise(F.col("gid")).alias("slot"),
+    )
+    return dealt.groupBy("slot", "lo", "hi").applyInArrow(cross, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -381,25 +399,28 @@ def near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     slots = work.slots(docs.sparkSession)
     rows = work.written(classes(docs, rule))
-    by_class = work.written(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep")))
+    by_class = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     groups = work.written(shared_signatures(docs, rule, slots))
-    sets = work.written(sets_of(docs, groups.select("class").distinct().join(by_class, "class"), rule))
+    lists = F.slice(F.array_sort(F.collect_list("gid")), 1, FIRST).alias("first")  # a class's gids follow from its own text
+    wanted = work.written(groups.groupBy("class").agg(F.count("*").alias("shared"), lists).join(by_class, "class"))
+    sketches = work.written(sketches_of(docs, wanted.drop("shared"), rule))
 
     # A group's hub is the class that is in most groups (a family's original, as a rule). First each class is
-    # tested against the one of its hubs that is in most groups, then against all it is still apart from.
-    groups = work.written(groups.join(groups.groupBy("class").agg(F.count("*").alias("shared")), "class").select("gid", "class", "shared"))
+    # tested against the one of its hubs that is in most groups, then against all it is still apart from. Hubs
+    # come before their classes in the order of places, so a linked hub is a parent; a class is labelled by its
+    # parent's parent. Equal labels mean one component; unequal ones only cost a test.
     place = F.struct(-F.col("shared"), "class")
-    hub = groups.groupBy("gid").agg(F.min(place).alias("hub"))
-    to_hub = groups.join(hub, "gid").groupBy("class").agg(F.min("hub").alias("hub")).select(F.col("hub.class").alias("h"), "class").where("h <> class")
-    near = work.written(to_hub.select(F.least("h", "class").alias("a"), F.greatest("h", "class").alias("b")).distinct())
-    links = work.written(tested(near, sets, rule))
-    label = components(links)
-    labelled = groups.join(label, groups["class"] == label["id"], "left").select("gid", "class", F.coalesce("component", "class").alias("label"))
-    apart = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    members = labelled.join(apart.select("gid"), "gid").join(sets.select("class", "size", "sketch"), "class")
-    more = work.written(tested(open_pairs(members, rule, slots).join(near, ["a", "b"], "left_anti"), sets, rule))
-    if not more.isEmpty():
-        label = components(links.union(more))
+    hub = groups.join(wanted.select("class", "shared"), "class").groupBy("gid").agg(F.min(place).alias("hub"))
+    to_hub = groups.join(hub, "gid").groupBy("class").agg(F.min("hub").alias("hub"))
+    near = to_hub.select(F.col("class").alias("a"), F.col("hub.class").alias("b")).where("a <> b")
+    links = work.written(tested(near, sketches, docs, rule))
+    above = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    label = work.written(links.join(above, "b", "left").select(F.col("a").alias("class"), F.coalesce("top", "b").alias("label")))
+    labelled = groups.join(label, "class", "left").select("gid", "class", F.coalesce("label", "class").alias("label"))
+    apart = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    members = labelled.join(apart.select("gid", "n"), "gid").join(sketches.drop("rep"), "class")
+    more = tested(open_pairs(members, rule, slots), sketches, docs, rule)
+    label = components(links.union(more))
 
     named = by_class.join(label, by_class["class"] == label["id"], "left").select("class", "rep", F.coalesce("component", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
