@@ -47,9 +47,11 @@ def families(seed, n=40):
     return out + out[-3:]
 
 
-@pytest.mark.parametrize("seed,width", [(1, 5), (2, 3)])
-def test_shingle_join(spark, seed, width):
+@pytest.mark.parametrize("seed,width,tile", [(1, 5, S.TILE), (2, 3, S.TILE), (1, 5, 2)])
+def test_shingle_join(spark, monkeypatch, seed, width, tile):
+    """Equal to all pairs by brute force, also where nearly every group is cut into tiles."""
     work.ship(spark)
+    monkeypatch.setattr(S, "TILE", tile)
     texts = dict(enumerate(families(seed)))
     sets = {i: shingles(t, width) for i, t in texts.items()}
     links = [(a, b) for a, b in combinations(texts, 2) if sets[a] and sets[b] and 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n)]

@@ -365,7 +365,9 @@ def open_pairs(members: DataFrame, rule: Rule, slots: int) -> DataFrame:
             first[i, : len(own_gids)] = own_gids
         order = np.lexsort((own, tile, gid))
         for at in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
-            bits = folded([sketches[i] for i in at]) if len(at) > 1 else None
+            if len(at) < 2:
+                continue
+            bits = folded([sketches[i] for i in at])
             two = lo[at[0]] != hi[at[0]]
             left = int((tile[at] == lo[at[0]]).sum()) if two else len(at) - 1
             for i in range(left):
