@@ -21,13 +21,13 @@ def components(links: DataFrame) -> DataFrame:
     Each step points neighbours at the least one seen, so chains halve; each result is written, so a lost
     executor never repeats earlier steps. Repeated links and links to oneself change nothing; no links, no rows.
     """
-    edges = work.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = work.written(work.gathered(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     while not stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = work.written(kept.union(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = work.written(work.gathered(kept.union(low.select("u", F.col("m").alias("v"))).distinct()))
     # edges are now stars around the least id: each points from the larger end to the smaller
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

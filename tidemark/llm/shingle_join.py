@@ -293,16 +293,16 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
 
 def sketches_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """The classes ``wanted`` (class, rep: the doc_id that stands for it, ...) with size and sketch."""
-    return _of_classes(docs, wanted, rule, "sketch", sketch)
+    return _of_classes(docs, wanted, wanted, rule, "sketch", sketch)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """The classes ``wanted`` (class, rep, ...) with size and set (hashes as bytes)."""
-    return _of_classes(docs, wanted, rule, "set", _packed)
+    """The classes ``wanted`` (class, rep; rows may repeat) with size and set (hashes as bytes)."""
+    return _of_classes(docs, wanted.distinct(), wanted, rule, "set", _packed)
 
 
-def _of_classes(docs: DataFrame, wanted: DataFrame, rule: Rule, name: str, of: Callable[[np.ndarray], bytes]) -> DataFrame:
-    ids = wanted.where("rep IS NOT NULL").select("rep")
+def _of_classes(docs: DataFrame, wanted: DataFrame, marks: DataFrame, rule: Rule, name: str, of: Callable[[np.ndarray], bytes]) -> DataFrame:
+    ids = marks.where("rep IS NOT NULL").select("rep")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter.marked(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,11 +337,11 @@ def tested(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, rule: Rule) -
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sketches.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("rep", "size", "sketch")])
-    left = work.written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(sieve, "a long, b long, rep_a long, rep_b long"))
+    left = work.written(work.gathered(pairs.join(side("a"), "a").join(side("b"), "b")).mapInArrow(sieve, "a long, b long, rep_a long, rep_b long"))
     ends = [left.select(F.col(c).alias("class"), F.col(f"rep_{c}").alias("rep")) for c in "ab"]
-    sets = work.written(sets_of(docs, ends[0].union(ends[1]).distinct(), rule))
+    sets = work.written(work.gathered(sets_of(docs, ends[0].union(ends[1]), rule)))
     whole = left.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    return whole.mapInArrow(test, "a long, b long")
+    return work.gathered(whole).mapInArrow(test, "a long, b long")
 
 
 def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -402,10 +402,10 @@ def near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     slots = work.slots(docs.sparkSession)
     rows = work.written(classes(docs, rule))
     by_class = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    groups = work.written(shared_signatures(docs, rule, slots))
+    groups = work.written(work.gathered(shared_signatures(docs, rule, slots)))
     lists = F.slice(F.array_sort(F.collect_list("gid")), 1, FIRST).alias("first")  # a class's gids follow from its own text
-    wanted = work.written(groups.groupBy("class").agg(F.count("*").alias("shared"), lists).join(by_class, "class"))
-    sketches = work.written(sketches_of(docs, wanted.drop("shared"), rule))
+    wanted = work.written(work.gathered(groups.groupBy("class").agg(F.count("*").alias("shared"), lists).join(by_class, "class")))
+    sketches = work.written(work.gathered(sketches_of(docs, wanted.drop("shared"), rule)))
 
     # A group's hub is the class that is in most groups (a family's original, as a rule). First each class is
     # tested against the one of its hubs that is in most groups, then against all it is still apart from. Hubs

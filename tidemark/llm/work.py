@@ -23,6 +23,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tasks that ``gathered`` leaves for each core, and shuffle partitions that share one of them at most.
+WAVES, SHARED = 3, 8
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in fewer tasks, without a shuffle, for steps whose price is mostly that of a task (a file, a Python run).
+
+    A task goes through its shuffle partitions one after the other, so its memory is still that of one of them.
+    There stay tasks enough for several waves over all cores, however few cores are there when this is called.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(WAVES * spark.sparkContext.defaultParallelism, -(-slots(spark) // SHARED)))
+
+
 def slots(spark: SparkSession) -> int:
     """How many ranges packed intermediate data is dealt into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
