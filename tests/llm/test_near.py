@@ -167,3 +167,12 @@ def test_forest_keeps_a_dense_group_whole():
     print(together.mean(), compared / E.TREES / len(group) ** 2)
     assert together.mean() > 0.995
     assert compared < 4 * E.TREES * len(group) ** 2
+
+
+@pytest.mark.parametrize("rows", [0, 1, 500])
+def test_gathered_keeps_rows_in_fewer_tasks(spark, rows):
+    dealt = spark.range(rows).repartition(400, "id")
+    fewer = work.gathered(dealt)
+    assert sorted(r.id for r in fewer.collect()) == list(range(rows))
+    few = max(work.WAVES * spark.sparkContext.defaultParallelism, -(-work.slots(spark) // work.SHARED))
+    assert fewer.rdd.getNumPartitions() <= few < 400
