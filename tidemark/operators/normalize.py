@@ -1,7 +1,8 @@
 """Per-channel normalisation and distribution statistics over long rows.
 
 ``rows(pid, step, feature, value)``; only measured values count: not NULL and inside the
-trajectory (``lengths(pid, traj_len)``).
+trajectory (``lengths(pid, traj_len)``). Channels are a vocabulary, and what is fitted to one is a
+row of at most some thousand numbers: it is broadcast, so that no task gets all rows of a channel.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def shape(values: DataFrame, by: str = "feature") -> DataFrame:
     zone = (F.col("max") - F.col("min")) * EDGE_SHARE
     top, low = F.col("value") >= F.col("max") - zone, F.col("value") <= F.col("min") + zone
     edges = (
-        values.join(first.select(by, "min", "max"), by)
+        values.join(F.broadcast(first.select(by, "min", "max")), by)
         .groupBy(by)
         .agg(F.greatest(F.avg(top.cast("double")), F.avg(low.cast("double"))).alias("edge_mass"))
     )
