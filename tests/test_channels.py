@@ -33,3 +33,13 @@ def test_shape_joins_no_rows_by_channel(rows, no_size_hints):
     # the two aggregates of few rows meet in a join; the rows of the edge masses are not dealt by channel
     edges = plan(nz.adaptive_methods(rows))
     assert "BroadcastHashJoin" in edges and edges.count("SortMergeJoin") <= 1
+
+
+def test_quantiles_are_applied_without_a_shuffle(rows, no_size_hints):
+    fitted = nz.fit_quantile(rows, 11).localCheckpoint()
+    out = nz.apply_quantile(rows, fitted, "uniform")
+    assert "SortMergeJoin" not in plan(out) and "Exchange hashpartitioning" not in plan(out)
+    # as the position made in one expression
+    want = rows.join(fitted, "feature").select("pid", "feature", nz.position(F.col("value"), F.col("quantiles")).alias("value"))
+    as_set = lambda df: {tuple(r) for r in df.select("pid", "feature", "value").collect()}
+    assert as_set(out) == as_set(want)

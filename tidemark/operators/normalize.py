@@ -112,26 +112,25 @@ NORMAL_LIMIT = 5.19933758270342
 
 def count_below(value: Column, ascending: Column, or_equal: bool = False) -> Column:
     """How many numbers of an ascending array are less than ``value`` (or not greater), by halving."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi"))
 
-    def halve(range_: Column, _: Column) -> Column:
-        lo, hi = range_["lo"], range_["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        at = F.get(ascending, mid)
-        below = at <= value if or_equal else at < value
-        open_ = lo < hi
-        return F.struct(F.when(open_ & below, mid + 1).otherwise(lo).alias("lo"), F.when(open_ & ~below, mid).otherwise(hi).alias("hi"))
+    def go_on(found: Column, i: Column) -> Column:
+        more = found + F.call_function("shiftleft", F.lit(1), i)
+        # past the end there is no number, so the step is not taken
+        at = F.get(ascending, more - 1)
+        return F.when(at <= value if or_equal else at < value, more).otherwise(found)
 
-    # a range of n is empty after as many halvings as n has binary digits
-    halvings = F.sequence(F.lit(1), F.length(F.bin(F.greatest(F.size(ascending), F.lit(1)))))
-    return F.aggregate(halvings, start, halve)["lo"]
+    # steps of powers of two, the first for the highest binary digit of the size
+    digits = F.length(F.bin(F.greatest(F.size(ascending), F.lit(1))))
+    return F.aggregate(F.sequence(digits - 1, F.lit(0), F.lit(-1)), F.lit(0), go_on)
 
 
-def position(value: Column, quantiles: Column) -> Column:
+def position(value: Column, quantiles: Column, counts: tuple[Column, Column] | None = None) -> Column:
     """Position of a value in [0, 1] among ascending quantiles; a repeated quantile counts at the
-    middle of its run. NULL for NULL or NaN values, without quantiles and where the first or last is NULL."""
+    middle of its run. NULL for NULL or NaN values, without quantiles and where the first or last is NULL.
+
+    ``counts``: how many quantiles are less, and how many are not greater, where they are known."""
     n = F.size(quantiles)
-    below, upto = count_below(value, quantiles), count_below(value, quantiles, or_equal=True)
+    below, upto = counts or (count_below(value, quantiles), count_below(value, quantiles, or_equal=True))
     first, last = F.get(quantiles, F.lit(0)), F.get(quantiles, n - 1)
     lo, hi = F.get(quantiles, below - 1), F.get(quantiles, below)
     between = below - 1 + (value - lo) / (hi - lo)
@@ -143,6 +142,17 @@ def position(value: Column, quantiles: Column) -> Column:
     return F.when(known & (n > 0), found)
 
 
+def with_position(rows: DataFrame, column: str, ascending: str, name: str) -> DataFrame:
+    """``position`` of a column among a column of quantiles. The counts are columns of their own, so that a row is
+    searched once, and a second time only if its value is a quantile; rows without quantiles are not searched."""
+    value, quantiles = F.col(column), F.col(ascending)
+    rows = rows.withColumn("__below", F.when(quantiles.isNotNull(), count_below(value, quantiles)))
+    met = F.get(quantiles, F.col("__below")) == value
+    rows = rows.withColumn("__upto", F.when(met, count_below(value, quantiles, or_equal=True)).otherwise(F.col("__below")))
+    found = position(value, quantiles, (F.col("__below"), F.col("__upto")))
+    return rows.withColumn(name, found).drop("__below", "__upto")
+
+
 def normal_score(u: Column) -> Column:
     z = F.when(u <= 1e-7, -NORMAL_LIMIT).when(u >= 1 - 1e-7, NORMAL_LIMIT).otherwise(inverse_normal(u))
     return clip(z, -NORMAL_LIMIT, NORMAL_LIMIT)
@@ -150,7 +160,8 @@ def normal_score(u: Column) -> Column:
 
 def apply_quantile(rows: DataFrame, fitted: DataFrame, output: str = "normal", by: str = "feature") -> DataFrame:
     """Map values to their quantile position, as uniform or normal scores."""
-    out = rows.join(fitted.select(by, F.col("quantiles").alias("__q")), by, "left").withColumn("__u", position(F.col("value"), F.col("__q")))
+    out = rows.join(F.broadcast(fitted.select(by, F.col("quantiles").alias("__q"))), by, "left")
+    out = with_position(out, "value", "__q", "__u")
     out = out.withColumn("value", F.col("__u") if output == "uniform" else normal_score(F.col("__u")))
     return out.select(*rows.columns)
 
