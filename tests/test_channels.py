@@ -43,3 +43,12 @@ def test_quantiles_are_applied_without_a_shuffle(rows, no_size_hints):
     want = rows.join(fitted, "feature").select("pid", "feature", nz.position(F.col("value"), F.col("quantiles")).alias("value"))
     as_set = lambda df: {tuple(r) for r in df.select("pid", "feature", "value").collect()}
     assert as_set(out) == as_set(want)
+
+
+def test_all_methods_are_fitted_and_applied_without_dealing_by_channel(rows, no_size_hints):
+    fitted = nz.fit(rows)
+    assert {r["method"] for r in fitted.collect()} >= {"standard", "quantile"}
+    out = nz.transform(rows, fitted.localCheckpoint())
+    assert "SortMergeJoin" not in plan(out) and out.count() == 900
+    semi = [line for line in plan(fitted).splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)

@@ -91,7 +91,7 @@ def fit_robust(values: DataFrame, by: str = "feature") -> DataFrame:
 
 def apply_center(rows: DataFrame, fitted: DataFrame, by: str = "feature") -> DataFrame:
     """(value - center) / scale with fitted statistics."""
-    out = rows.join(fitted.select(by, "center", "scale"), by)
+    out = rows.join(F.broadcast(fitted.select(by, "center", "scale")), by)
     return out.withColumn("value", (F.col("value") - F.col("center")) / F.col("scale")).drop("center", "scale")
 
 
@@ -184,7 +184,7 @@ def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: floa
         step = (F.col("b") - F.col("a")) / (points - 1)
         at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + i * step)
         tried = bracket.select(by, step.alias("h"), F.explode(at).alias("lam"))
-        scored = counts.join(tried, by).withColumn("y", yeo_johnson(x, F.col("lam")))
+        scored = counts.join(F.broadcast(tried), by).withColumn("y", yeo_johnson(x, F.col("lam")))
         scored = scored.groupBy(by, "h", "lam").agg(
             F.sum("w").alias("n"), F.sum(w * jacobian).alias("j"), F.sum(w * F.col("y")).alias("s"), F.sum(w * F.col("y") * F.col("y")).alias("q")
         )
@@ -201,7 +201,7 @@ def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: floa
     shift = F.when((bend < 0) & (left > -1e299) & (right > -1e299), (left - right) / (2 * bend) * F.col("h")).otherwise(0.0)
     chosen = bracket.select(by, (F.col("best") + F.coalesce(shift, F.lit(0.0))).alias("lam"))
     y = yeo_johnson(x, F.col("lam"))
-    moments = counts.join(chosen, by).withColumn("y", y).groupBy(by, "lam").agg(
+    moments = counts.join(F.broadcast(chosen), by).withColumn("y", y).groupBy(by, "lam").agg(
         (F.sum(w * F.col("y")) / F.sum(w)).alias("center"), F.sum(w * F.col("y") * F.col("y")).alias("q"), F.sum(w).alias("n")
     )
     std = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("center"), F.lit(2)), F.lit(0.0)))
@@ -209,7 +209,7 @@ def fit_power(values: DataFrame, by: str = "feature", lo: float = -5.0, hi: floa
 
 
 def apply_power(rows: DataFrame, fitted: DataFrame, by: str = "feature") -> DataFrame:
-    out = rows.join(fitted, by)
+    out = rows.join(F.broadcast(fitted), by)
     y = (yeo_johnson(F.col("value"), F.col("lam")) - F.col("center")) / F.col("scale")
     return out.withColumn("value", y).drop("lam", "center", "scale")
 
@@ -227,17 +227,18 @@ def fit(values: DataFrame, method: str = "adaptive", n_quantiles: int = 1000, by
     choice restricts every fit to the channels that chose it. Persist as parquet and reuse.
     """
     if method == "adaptive":
-        chosen = shape(values, by).select(by, choose_method().alias("method"))
+        # every fit asks which channels are its own: the shapes are made once
+        values = cut_lineage(values.select(by, "value"))
+        chosen = cut_lineage(adaptive_methods(values, by))
         methods = ["standard", "power", "robust", "quantile"]
     else:
         few = F.count("value") < 3
         chosen = values.groupBy(by).agg(F.when(few, "standard").otherwise(method).alias("method"))
         methods = sorted({"standard", method})
-    values = cut_lineage(values.select(by, "value")) if len(methods) > 2 else values
     out = None
     for name in methods:
         mine = chosen.filter(F.col("method") == name)
-        rows = values.join(mine.select(by), by, "left_semi")
+        rows = values.join(F.broadcast(mine.select(by)), by, "left_semi")
         if name == "quantile":
             part = fit_quantile(rows, n_quantiles, by)
         else:
@@ -253,12 +254,12 @@ def fit(values: DataFrame, method: str = "adaptive", n_quantiles: int = 1000, by
 def transform(rows: DataFrame, fitted: DataFrame, clip_range: tuple[float, float] | None = None, by: str = "feature") -> DataFrame:
     """Normalise with fitted statistics; every row stays and NULL or unknown becomes 0.0."""
     keep = rows.columns
-    out = rows.join(fitted.select(by, "method", "center", "scale", "lam", "quantiles"), by, "left")
+    out = rows.join(F.broadcast(fitted.select(by, "method", "center", "scale", "lam", "quantiles")), by, "left")
     x, is_ = F.col("value"), lambda name: F.col("method") == name
     y = F.when(is_("power"), (yeo_johnson(x, F.col("lam")) - F.col("center")) / F.col("scale")).otherwise(
         (x - F.col("center")) / F.col("scale")
     )
-    out = out.withColumn("__u", position(x, F.col("quantiles")))
+    out = with_position(out, "value", "quantiles", "__u")
     y = F.when(is_("quantile"), normal_score(F.col("__u"))).otherwise(y)
     if clip_range is not None:
         y = clip(y, *clip_range)
@@ -283,7 +284,7 @@ def normalise_table(table: DataFrame, key: str, columns: list[str], train: DataF
     fit_rows = unpivot(train if train is not None else table, key, columns)
     fitted = fit_standard(fit_rows.filter(F.col("value").isNotNull()), "feature")
     means = fit_rows.groupBy("feature").agg(F.avg("value").alias("fill"))
-    filled = long.join(means, "feature").withColumn("value", F.coalesce("value", "fill")).drop("fill")
+    filled = long.join(F.broadcast(means), "feature").withColumn("value", F.coalesce("value", "fill")).drop("fill")
     out = apply_center(filled, fitted)
     return out.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in columns])
 
