@@ -14,6 +14,7 @@ from tidemark.operators import quality as q
 from tidemark.plans.cleaning import one_of, readings, READ_SQL, sql_case, sql_list, sql_one_of
 from tidemark.plans.grid_and_mapping import FEATURES
 from tidemark.plans.registry import query, rounded, with_
+from tidemark.session import spread
 
 N = DEFAULT_GRID.total_steps
 AGGS = {
@@ -372,7 +373,7 @@ def doses(t):
         F.when(F.col("l_orderkey") % 11 == 0, "ukendt").otherwise((F.col("dose") * 100).cast("string")).alias("dose"),
         F.when(F.col("l_orderkey") % 13 != 0, one_of(DOSE_UNITS, F.col("l_orderkey"))).alias("unit"),
     )
-    return m.point_to_step(rows, m.entity_span(rows), grid)
+    return m.point_to_step(spread(rows, "pid"), m.entity_span(rows), grid)
 
 
 DOSE_SQL = f"""cd AS MATERIALIZED (SELECT o_custkey AS pid, l_shipdate AS ts, {sql_one_of(CODES, "(l_partkey + l_linenumber)")} AS code,

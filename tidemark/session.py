@@ -38,6 +38,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over the session's shuffle partitions, four a core at least, which adaptive execution does
+    not merge. For steps that hold many times more memory than their shuffled bytes tell: merged by bytes, as many
+    tasks as there are cores would take all rows, and a task's memory would grow with the input."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 _local_folders: dict[str, str] = {}
 
 
