@@ -115,11 +115,15 @@ def tag_signals(doses: DataFrame) -> DataFrame:
 
 def roll_up_signals(tagged: DataFrame) -> DataFrame:
     """Signals per cell. After the dose de-duplication a code occurs once per cell, so summing a
-    flag counts distinct codes and any() is a positive sum: one pass, no distinct aggregates."""
+    flag counts distinct codes and any() is a positive sum: one pass, no distinct aggregates.
+
+    The level is a struct's, for which Spark aggregates by order: records come ordered by cell from the
+    de-duplication, so one cell is held at a time, not some sixty sums of every cell in a hash table."""
     names = list(signal_columns())
-    return tagged.groupBy("pid", "step").agg(
-        *[F.sum(F.col(n).cast("int")).cast("int").alias(n) for n in names], F.max("abx_level").alias("abx_level")
+    rolled = tagged.groupBy("pid", "step").agg(
+        *[F.sum(F.col(n).cast("int")).cast("int").alias(n) for n in names], F.max(F.struct("abx_level")).alias("__level")
     )
+    return rolled.withColumn("abx_level", F.col("__level.abx_level")).drop("__level")
 
 
 def _level(*rules: tuple[Column, int]) -> Column:
