@@ -89,12 +89,20 @@ def split_target(dataset: DataFrame, target: str, key: str = "pid") -> tuple[Dat
 
 
 def series(cells: DataFrame, n_steps: int, value: str = "value", keys: tuple[str, ...] = ("pid", "feature")) -> DataFrame:
-    """One array per series at absolute steps, gaps NULL. A series has at most ``n_steps`` cells,
-    so what is collected is bounded by the grid."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("step", F.col(value).alias("v"))))
+    """One array per series at absolute steps, gaps NULL; a repeated step raises. A series has at most ``n_steps``
+    cells, so what is collected is bounded by the grid. Its cells are ordered, and each one fills the gap after it."""
+    pairs = F.sort_array(F.collect_list(F.when(F.col("step") >= 0, F.struct("step", F.col(value).alias("v")))))
     out = cells.filter(F.col("step") < n_steps).groupBy(*keys).agg(pairs.alias("__m"))
-    steps = F.sequence(F.lit(0), F.lit(n_steps - 1))
-    return out.select(*keys, F.transform(steps, lambda i: F.try_element_at("__m", i)).alias("values"))
+    nothing = F.lit(None).cast(cells.schema[value].dataType)
+
+    def upto_next(cell: Column, i: Column) -> Column:
+        gap = F.coalesce(F.get("__m", i + 1)["step"], F.lit(n_steps)) - cell["step"] - 1
+        return F.concat(F.array(cell["v"]), F.array_repeat(nothing, gap.cast("int")))
+
+    lead = F.array_repeat(nothing, F.coalesce(F.get("__m", F.lit(0))["step"], F.lit(n_steps)).cast("int"))
+    out = out.withColumn("values", F.concat(lead, F.flatten(F.transform("__m", upto_next))))
+    whole = F.size("values") == n_steps
+    return out.select(*keys, F.when(whole, F.col("values")).otherwise(F.raise_error(F.lit("a series repeats a step"))).alias("values"))
 
 
 def label_series(labels: DataFrame, n_steps: int, keys: tuple[str, ...] = ("pid", "feature")) -> DataFrame:

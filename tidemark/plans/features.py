@@ -494,9 +494,9 @@ def e27(t):
 )
 def e28(t):
     """Composite features as series with 0 where no drug was given."""
-    cells = md.composite_features(doses(t))
+    cells = rounded(md.composite_features(doses(t)))  # before the series are laid out: most of their cells are empty
     rows = ft.series_to_cells(ft.series(cells, 150))
-    return rounded(rows.select("pid", "feature", F.col("step").cast("int").alias("step"), F.coalesce("value", F.lit(0.0)).alias("value")))
+    return rows.select("pid", "feature", F.col("step").cast("int").alias("step"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def tier_case(name):
