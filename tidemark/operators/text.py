@@ -104,14 +104,19 @@ def injury_scores(lines: DataFrame) -> DataFrame:
 def airway_mentioned(text: Column) -> Column:
     """Any airway word without a negation in the 15 characters before it."""
     pieces = F.split(F.regexp_replace(text, P.AIRWAY, f"{MARK}$0"), MARK)
-    # a piece starts with its match (three letters at least), so five pieces cover the window
+    # only the ends of the pieces are looked at; the text is cut once, as the one element of a list
+    ends = F.transform(F.array(pieces), lambda all_: F.transform(all_, lambda p: F.right(p, F.lit(15))))
 
-    def before(i: Column) -> Column:
-        first = F.greatest(i - 5, F.lit(1))
-        return F.right(F.array_join(F.slice(pieces, first, i - first), ""), F.lit(15))
+    def clear(ends: Column) -> Column:
+        # a piece starts with its match (three letters at least), so five pieces cover the window
+        def before(i: Column) -> Column:
+            first = F.greatest(i - 5, F.lit(1))
+            return F.right(F.array_join(F.slice(ends, first, i - first), ""), F.lit(15))
 
-    clear = F.exists(F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), lambda i: ~before(i).rlike(P.AIRWAY_NEGATION) & (i <= F.size(pieces)))
-    return F.coalesce(text.rlike(P.AIRWAY) & clear, F.lit(False))
+        places = F.sequence(F.lit(2), F.greatest(F.size(ends), F.lit(2)))
+        return F.exists(places, lambda i: ~before(i).rlike(P.AIRWAY_NEGATION) & (i <= F.size(ends)))
+
+    return F.coalesce(text.rlike(P.AIRWAY) & F.exists(ends, clear), F.lit(False))
 
 
 def airway_events(
@@ -139,7 +144,8 @@ def airway_events(
     first = merged.filter(F.col("note_type").isin(*primary))
     second = merged.filter(F.col("note_type").isin(*fallback))
     rows = fallback_union(first, second, "pid")
-    found = first_hits(rows, F.col("hit"))
+    # at most a row an entity, asked for twice: the texts are read once
+    found = cut_lineage(first_hits(rows, F.col("hit")))
     others = notes.filter(~F.coalesce(F.col("note_type").isin(*primary, *fallback), F.lit(False)))
     extra = first_hits(others, _hit(F.col("text"), P.AIRWAY_SPECIFIC))
     out = fallback_union(found, extra, "pid")
