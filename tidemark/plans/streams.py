@@ -8,7 +8,7 @@ from tidemark.operators import mapping as m
 from tidemark.operators import trajectory as tr
 from tidemark.plans.registry import query, rounded, with_
 from tidemark.plans.source_checks import scratch
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, spread
 from tidemark.streaming import incremental as inc
 
 STD = ["pid", "ts", "feature", "value", "event_id"]
@@ -116,4 +116,4 @@ def k4(t):
         lo, hi = (F.col("s") + F.expr(f"make_dt_interval(0, {h}, 0, 0)") for h in (a, b))
         part = inc.extend_running(stays, base, lo, hi).select("pid", "feature", "step")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return spread(out, *out.columns).distinct()
