@@ -4,12 +4,15 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators import features as ft
 from tidemark.operators import medication as md
 from tidemark.plans.features import doses
 from tidemark.plans.registry import Tables
 from tidemark.session import spread
 
+QUERIES = entry.queries()
+
 
 def executed(df):
     df.collect()
@@ -50,3 +53,8 @@ def test_series_of_gaps(spark):
     twice = cells.unionByName(spark.createDataFrame([(1, "b", 3, 8.0)], cells.schema))
     with pytest.raises(PySparkException):
         ft.series(twice, 4).collect()
+
+
+@pytest.mark.parametrize("name", ["a8_metadata_read", "k4_running_intervals"])
+def test_copies_are_found_apart_from_the_joins(spark, folder, name):
+    assert "REPARTITION_BY_NUM" in executed(QUERIES[name](spark, folder))

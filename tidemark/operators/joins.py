@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timegrid import micros
 from tidemark.operators.sliced import Scan, sliced_scan, time_slice
+from tidemark.session import spread
 
 
 def days_before(ts: Column, n: int) -> Column:
@@ -51,7 +52,8 @@ def range_join(
 
 def in_stay(events: DataFrame, base: DataFrame, offset_days: int = 1, key: str = "pid", bucket: str | None = None) -> DataFrame:
     """Events within ``[start - d, end + d]`` days of a stay, distinct. Give a ``bucket`` when a key
-    has several stays."""
+    has several stays. Copies are found by the whole row, apart from the join, so that a task holds neither
+    all rows of a key nor those of a merged partition of the join."""
     out = range_join(
         events,
         base,
@@ -61,7 +63,8 @@ def in_stay(events: DataFrame, base: DataFrame, offset_days: int = 1, key: str =
         days_after(F.col("end_ts"), offset_days),
         bucket,
     )
-    return out.drop("start_ts", "end_ts").distinct()
+    out = out.drop("start_ts", "end_ts")
+    return spread(out, *out.columns).distinct()
 
 
 def match_episodes(references: DataFrame, episodes: DataFrame, date: str, offset_days: int = 1) -> DataFrame:
