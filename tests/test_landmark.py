@@ -72,3 +72,17 @@ def test_events_are_not_copied_per_landmark(spark):
     _, df, starts = made(spark)
     plan = lm.landmark_stats(df, starts, HOURS, FUNCTIONS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 2 and plan.rindex("Generate explode") < plan.index("Aggregate")
+
+
+def test_rows_are_dealt_in_ranges_without_a_sample(spark):
+    """Few landmarks a task; ranges from a sample would lay out the dataset a second time."""
+    hours, n = [1.0, 2.5, 4.0], 400
+    data = spark.range(n).select(F.col("id").alias("pid"), F.explode(F.lit([*hours, 9.0])).alias("landmark"), F.rand(1).alias("x"))
+    rows = lm._landmark_rows(data, ["x"], F.lit(0.0), F.lit(-1), hours)
+    assert "rangepartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    # the unknown landmark lies with the first
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = {}
+    for r in rows.withColumn("part", F.spark_partition_id()).collect():
+        by.setdefault(r.part, set()).add(r.group)
+    assert rows.count() == 4 * n and len(by) == parts and all(len(known - {9.0}) <= -(-len(hours) // parts) + 1 for known in by.values())

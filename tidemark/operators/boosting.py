@@ -133,11 +133,12 @@ def _histograms(table: DataFrame, forest: Forest, level: int) -> DataFrame:
                     node = forest.leaf(trees[-1], bins, level) - first
                     open_ = node >= 0
                     bins, p, y, node = bins[open_], p[open_], y[open_], node[open_]
-                    place = ((node[:, None] * n + np.arange(n)) * rule.bins + bins).ravel()
-                    size = nodes * n * rule.bins
-                    total = sums.setdefault((g, k), np.zeros((3, size), np.int64))
-                    for i, w in enumerate((np.rint((p - y) * SCALE), np.rint(p * (1 - p) * SCALE), np.ones(len(p)))):
-                        total[i] += np.bincount(place, np.repeat(w, n), size).astype(np.int64)
+                    total = sums.setdefault((g, k), np.zeros((3, nodes, n, rule.bins), np.int64))
+                    weights = (np.rint((p - y) * SCALE), np.rint(p * (1 - p) * SCALE), None)
+                    for j, column in enumerate(np.ascontiguousarray(bins.T)):
+                        place = node * rule.bins + column
+                        for i, w in enumerate(weights):
+                            total[i, :, j] += np.bincount(place, w, nodes * rule.bins).astype(np.int64).reshape(nodes, -1)
         for (g, k), total in sums.items():
             each = total.reshape(3, nodes, -1).transpose(1, 0, 2)
             some = np.flatnonzero(each[:, 2].any(axis=1))

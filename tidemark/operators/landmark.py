@@ -261,10 +261,17 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _landmark_rows(dataset: DataFrame, columns: list[str], label, fold) -> DataFrame:
-    """Rows as the learner takes them, in ranges of landmark and entity: a task has few landmarks, and a large landmark has many tasks."""
+def _landmark_rows(dataset: DataFrame, columns: list[str], label, fold, hours: list[float]) -> DataFrame:
+    """Rows as the learner takes them, in ranges of landmark and entity: a task has few landmarks, and a large landmark has many tasks.
+
+    An entity has a row at every landmark, so the ranges are even by the landmark's place and the entity's hash;
+    nothing is sampled for them, which would lay out the dataset twice. Unknown landmarks go with the first."""
     rows = dataset.select(F.col("landmark").cast("double").alias("group"), F.col("pid").alias("id"), fold.alias("fold"), label.cast("double").alias("label"), *columns)
-    return rows.withColumn("__h", F.xxhash64("id")).repartitionByRange("group", "__h").drop("__h")
+    parts = int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = sorted({float(h) for h in hours}) or [0.0]
+    place = F.greatest(F.coalesce(F.array_position(F.lit(known), F.col("group")), F.lit(1)) - 1, F.lit(0))
+    within = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
+    return rows.repartitionById(parts, F.floor((place + within) * parts / len(known)).cast("int"))
 
 
 _EDGES = "group double, columns array<string>, edges array<array<double>>"
@@ -282,7 +289,7 @@ def fit_landmarks(
     spark = dataset.sparkSession
     split = stratified_folds(labels.filter(~F.col("holdout")), "label", "pid", folds, seed).select("pid", "label", F.col("fold").cast("int").alias("fold"))
     known = split.unionByName(labels.filter("holdout").select("pid", "label", F.lit(-1).alias("fold")))
-    rows = _landmark_rows(dataset.filter(F.col("landmark").isin(*hours)).join(known, "pid"), columns, F.col("label"), F.col("fold"))
+    rows = _landmark_rows(dataset.filter(F.col("landmark").isin(*hours)).join(known, "pid"), columns, F.col("label"), F.col("fold"), hours)
     rows = _kept(rows, f"{path}/rows")
     if not _exists(spark, f"{path}/edges"):
         edges = boosting.edges_of(rows, columns, rule)
@@ -323,7 +330,7 @@ def score_landmarks(dataset: DataFrame, forest: boosting.Forest, use: str = "all
     ``use``: the model of ``all`` training entities (the one to deploy), or the mean of the ``folds``' models.
     A landmark without a model gives NULL.
     """
-    rows = _landmark_rows(dataset, forest.columns, F.lit(0.0), F.lit(-1))
+    rows = _landmark_rows(dataset, forest.columns, F.lit(0.0), F.lit(-1), list(forest.edges))
     models = {"all": [-1], "folds": list(range(folds))}[use]
     scored = boosting.score(boosting.binned(rows, forest), forest, models)
     return scored.select(F.col("group").alias("landmark"), F.col("id").alias("pid"), "pred")
