@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, id_files, packing, spans, token_counts, tokens, work
 
@@ -149,6 +150,26 @@ def test_id_files(spark, docs):
     assert id_files.read_ids(spark, empty, digest=True).count() == 0
 
 
+def test_id_files_are_ranges_that_meet_their_starts_without_a_shuffle(spark, capsys):
+    """Files follow each other by doc_id, nulls first, a repeated one in one file; reading shuffles no ids."""
+    rows = [(None if i % 50 == 0 else 7 if i % 3 == 0 else i * 2**40 - 2**47, f"text {i}") for i in range(300)]
+    path = work.folder(spark)
+    id_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, BYTE, 0)
+    found = spark.read.parquet(f"{path}/ids").groupBy("file").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n"), F.count("*").alias("all")).orderBy("file").collect()
+    assert len(found) > 1 and all(a.hi < b.lo for a, b in zip(found, found[1:]))
+    assert found[0].all - found[0].n == 6 and all(r.all == r.n for r in found[1:])
+    got = id_files.read_ids(spark, path)
+    assert [r.start for r in got.orderBy("start").collect()][:7] == [sum(r.n_tokens for r in got.orderBy("start").collect()[:k]) for k in range(7)]
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, -1)
+    try:
+        got = id_files.read_ids(spark, path)
+        got.explain()
+    finally:
+        spark.conf.unset(threshold)
+    assert "SortMergeJoin" not in capsys.readouterr().out
+
+
 def test_long_texts_make_chunks_of_their_own():
     column = pa.array(["a" * 10, None, "b" * 100, "", "c"])
     parts = list(spans.chunks(column, 20))

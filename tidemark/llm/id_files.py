@@ -22,6 +22,8 @@ from tidemark.llm import tokens, work
 #: Bytes of the four ranks for each control byte (two bits each, lowest first).
 SIZES = 1 + (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3)
 ROW = "doc_id long, n_tokens int, control binary, data binary"
+#: Of a file's share of the rows, the part by which the file may be larger or smaller.
+SLACK = 8
 
 
 def _lists(column: pa.Array, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +76,15 @@ def decode(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _edges(rows: DataFrame, parts: int) -> np.ndarray:
+    """Ascending doc_ids that cut ``rows`` into at most ``parts`` ranges of about as many rows; an edge begins a range."""
+    if parts < 2:
+        return np.zeros(0, np.int64)
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    found = rows.agg(F.percentile_approx("doc_id", shares, F.lit(SLACK * parts))).first()[0]
+    return np.unique(np.array(found or [], np.int64))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode ``docs`` (doc_id, text), and write ``path/ranks`` and ``path/ids`` in ascending doc_id order.
 
@@ -112,13 +123,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[[r["id"] for r in ranked]] = np.arange(len(ranked))
 
+    rows = staged.where("counts IS NULL").select("doc_id", "ids")
+    files = work.slots(spark)
+    edges = _edges(rows, files)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 b = batch.slice(i, 1024)
                 ids, begin = _lists(b.column("ids"), kind().itemsize)
                 control, control_at, data, data_at = code(rank_of[ids.view(kind)], begin)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(begin), pa.int32()), "control": _pieces(control, control_at), "data": _pieces(data, data_at)})
+                place = np.searchsorted(edges, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(begin), pa.int32()), "control": _pieces(control, control_at), "data": _pieces(data, data_at), "place": pa.array(place, pa.int32())})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, before = TaskContext.get().partitionId(), 0
@@ -128,8 +144,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), file)), pa.array(at)], names=[*b.schema.names, "file", "before"])
 
-    coded = staged.where("counts IS NULL").select("doc_id", "ids").mapInArrow(pack, ROW)
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "data")
+    # the files' ranges are found on the doc_ids alone: a range shuffle would code all ids once more for its sample
+    coded = rows.mapInArrow(pack, ROW + ", place int").repartitionById(files, "place").drop("place")
+    ordered = coded.sortWithinPartitions("doc_id", "n_tokens", "data")
     ordered.mapInArrow(number, ROW + ", file long, before long").write.option("compression", "zstd").parquet(f"{path}/ids")
 
 
@@ -156,7 +173,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     last = "ids_crc32" if digest else "ids"
     files = spark.read.parquet(f"{path}/ids")
     total = files.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # one row a file: its window is the one place where all files meet
+    # one row a file: its window is the one place where all files meet, and no ids are shuffled to find theirs
     first = total.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("first"))
-    rows = files.join(first, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "control", "data")
+    rows = files.join(F.broadcast(first), "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "control", "data")
     return rows.mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {last} " + ("long" if digest else "array<int>"))

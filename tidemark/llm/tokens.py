@@ -14,7 +14,7 @@ from tidemark.llm import spans
 
 #: Pieces, and pre-tokens in them, that a Python worker remembers; when full, further ones are encoded anew.
 REMEMBERED = 250_000
-REMEMBERED_PARTS = 150_000
+REMEMBERED_PARTS = 400_000
 #: Bytes of a chunk: the larger, the fewer pieces come up in several chunks.
 CHUNK = 6 << 20
 _known: dict[tuple, dict] = {}
