@@ -50,7 +50,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows are told apart by a number, so repeated or null doc_ids are documents of their own. A number follows
     from how files are cut into tasks, which a lost or new executor can change between jobs: rows are written
     with it once, and all steps read that table.
-    Texts that surely stay are not shuffled: a filter of fixed size tells which ones may have to go.
+    Only texts that two filters of fixed size leave open are shuffled: of those that may have to go, the ones
+    that may stay all the same.
     """
     work.ship(spark)
     numbered = work.written(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -61,7 +62,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     stays = work.written(first.select("r._row"))
     goes = id_filter.marked(ids.select("_row").join(stays, "_row", "left_anti"))
     sure, maybe = (id_filter.held(numbered, goes, "_row", inside) for inside in (False, True))
-    return sure.unionByName(maybe.join(stays, "_row", "left_semi")).drop("_row")
+    back = id_filter.marked(id_filter.held(ids.select("_row"), goes, "_row").join(stays, "_row", "left_semi"))
+    return sure.unionByName(id_filter.held(maybe, back, "_row").join(stays, "_row", "left_semi")).drop("_row")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

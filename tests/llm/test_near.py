@@ -176,3 +176,26 @@ def test_gathered_keeps_rows_in_fewer_tasks(spark, rows):
     assert sorted(r.id for r in fewer.collect()) == list(range(rows))
     few = max(work.WAVES * spark.sparkContext.defaultParallelism, -(-work.slots(spark) // work.SHARED))
     assert fewer.rdd.getNumPartitions() <= few < 400
+
+
+def test_signatures_travel_in_few_bytes_and_groups_do_not_depend_on_ranges(spark, monkeypatch):
+    """A class's key is sent once for several ranges, and a signature's place costs nothing; any number of ranges gives the same groups."""
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(60)]
+    texts += [[*t[:200], "x", *t[201:]] for t in texts[:20]]
+    work.ship(spark)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    kind, dealt = type(docs), []
+    group_by = kind.groupBy
+
+    def spy(self, *keys):
+        dealt.append(self)
+        return group_by(self, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", spy)
+    groups = {n: {(r.gid, r["class"]) for r in S.shared_signatures(docs, S.Rule(), n).collect()} for n in (1, 5, 16)}
+    rows = next(d for d in reversed(dealt) if "high" in d.columns).collect()
+    signatures = sum(len(r.high) // 4 for r in rows)
+    size = sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray)))
+    assert signatures > 80 * 100 and size < 6 * signatures
+    assert groups[1] == groups[5] == groups[16] and len({c for _, c in groups[1]}) >= 40

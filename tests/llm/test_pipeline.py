@@ -104,6 +104,21 @@ def test_near_duplicates_when_files_are_packed_anew(spark, tmp_path, monkeypatch
     assert sorted(r.doc_id for r in got) == list(range(60))
 
 
+def test_texts_that_go_are_not_shuffled(spark, monkeypatch):
+    """Of the texts that may have to go, only those that may stay all the same reach the last join."""
+    rows = [(i, " ".join(f"w{i % 60}x{k}" for k in range(20))) for i in range(80)]
+    held, kept = cp.id_filter.held, []
+
+    def spy(*args, **more):
+        kept.append(held(*args, **more))
+        return kept[-1]
+
+    monkeypatch.setattr(cp.id_filter, "held", spy)
+    got = cp.stage_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(60))
+    assert [x for x in kept if "text" in x.columns][-1].count() < 20
+
+
 def test_language_stage_without_languages(spark):
     """A table whose lang is null throughout, and one without rows, lose nothing."""
     docs = spark.createDataFrame([(1, "some words here", None), (2, None, None), (None, "", None)], "doc_id long, text string, lang string")

@@ -10,8 +10,9 @@ usable. (Before the first partition in which a linked pair differs at most once
 one of them, both meet at most ``T // 2`` usable ones, so neither stops before it.) Sets without that many
 usable partitions also emit their ``T + 1`` least features, which links them among themselves.
 
-Equal sets are one class from the start. Signatures travel packed, a row for each block of texts and range
-of signatures, and only those of two classes or more leave their range. Pairs are tested on bit sketches
+Equal sets are one class from the start. Signatures travel packed, a row for each block of texts and run of
+ranges of signatures, and only those of two classes or more leave their range. Within a range 40 bits tell
+them apart (a collision only costs a test). Pairs are tested on bit sketches
 whose distance never exceeds the sets' difference, then on the sets themselves.
 """
 
@@ -31,6 +32,8 @@ from tidemark.llm.token_counts import _large, _small
 
 U64 = np.uint64
 BLOCK_BYTES = 16 << 20
+#: Ranges of signatures that travel together: a class's key is sent once for all of them, and they meet one after the other.
+RUN = 4
 #: Gids by which a pair finds the one group that is to test it.
 FIRST = 8
 #: Members of a group that one task's group holds of each side; larger groups are cut into tiles.
@@ -231,15 +234,18 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             sig, at = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U64), np.zeros(0, np.int64))
             keys = np.fromiter(place, np.uint64, len(place))
-            slot = ((sig & U64(0xFFFFFFFF)) % U64(slots)).astype(np.int32)
-            order = np.argsort(slot.astype(np.uint16) if slots <= 1 << 16 else slot, kind="stable")
-            cut = np.searchsorted(slot[order], np.arange(slots + 1))
+            slot = ((sig & U64(0xFFFFFFFF)) % U64(slots)).astype(np.int64)
+            order = np.argsort(slot * len(keys) + at)
+            cut = np.searchsorted(slot[order], np.append(np.arange(0, slots, RUN), slots))
             rows = []
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 x = order[cut[k] : cut[k + 1]]
-                own, who = np.unique(at[x], return_inverse=True)
+                own = np.zeros(len(keys), bool)
+                own[at[x]] = True
+                n, nth = own.sum(), np.cumsum(own) - 1
+                held = np.bincount((slot[x] - k * RUN) * n + nth[at[x]], minlength=RUN * n)
                 s = sig[x]
-                rows.append({"slot": k, "high": (s >> U64(32)).astype(np.uint32).tobytes(), "low": (s >> U64(16)).astype(np.uint16).tobytes(), "who": _small(who), "classes": keys[own].tobytes()})
+                rows.append({"run": k, "high": (s >> U64(32)).astype(np.uint32).tobytes(), "low": (s >> U64(24)).astype(np.uint8).tobytes(), "held": _small(held), "classes": keys[own].tobytes()})
             place.clear()
             got.clear()
             return pa.RecordBatch.from_pylist(rows, schema=packed)
@@ -262,15 +268,25 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
         yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        sig, own = [], []
+        rows = []
         for r in table.to_pylist():
-            sig.append(np.frombuffer(r["high"], np.uint32).astype(U64) << U64(16) | np.frombuffer(r["low"], np.uint16))
-            own.append(np.frombuffer(r["classes"], np.int64)[_large(r["who"])])
+            held = _large(r["held"]).reshape(RUN, -1)
+            rows.append((r, held, np.concatenate(([0], np.cumsum(held.sum(1))))))
+        return pa.concat_tables([meet_range(rows, i) for i in range(RUN)])
+
+    def meet_range(rows: list[tuple[dict, np.ndarray, np.ndarray]], i: int) -> pa.Table:
+        sig, own = [], []
+        for r, held, cut in rows:
+            n, at = int(cut[i + 1] - cut[i]), int(cut[i])
+            sig.append(np.frombuffer(r["high"], np.uint32, n, 4 * at).astype(U64) << U64(8) | np.frombuffer(r["low"], np.uint8, n, at) if n else np.zeros(0, U64))
+            own.append(np.repeat(np.frombuffer(r["classes"], np.int64), held[i]))
         sig, own = np.concatenate(sig), np.concatenate(own)
         order = np.argsort(sig)
         sig, own = sig[order], own[order]
         same = sig[1:] == sig[:-1]
-        often = np.append(False, same) | np.append(same, False)
+        often = np.zeros(len(sig), bool)
+        often[1:] = same
+        often[:-1] |= same
         sig, own = sig[often], own[often]
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
@@ -278,7 +294,7 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
         new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
         sig, own = sig[new], own[new]
         if not len(sig):
-            return pa.table({"gid": pa.array([], pa.int64()), "class": pa.array([], pa.int64())})
+            return pa.table({"gid": np.zeros(0, np.int64), "class": np.zeros(0, np.int64)})
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         n = np.diff(np.append(first, len(sig)))
         gid = spans.mix(np.add.reduceat(spans.mix(own.view(U64)), first))
@@ -286,9 +302,9 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
         one = one[n[one] > 1]
         return pa.table({"gid": np.repeat(gid[one].view(np.int64), n[one]), "class": spans.gather(own, first, n, one)})
 
-    packed = pa.schema([("slot", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "who", "classes"))])
-    dealt = docs.mapInArrow(deal, "slot int, high binary, low binary, who binary, classes binary")
-    return dealt.groupBy("slot").applyInArrow(meet, "gid long, class long").distinct()
+    packed = pa.schema([("run", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "held", "classes"))])
+    dealt = docs.mapInArrow(deal, "run int, high binary, low binary, held binary, classes binary")
+    return dealt.groupBy("run").applyInArrow(meet, "gid long, class long").distinct()
 
 
 def sketches_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
