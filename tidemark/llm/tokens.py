@@ -14,7 +14,9 @@ from tidemark.llm import spans
 
 #: Pieces, and pre-tokens in them, that a Python worker remembers; when full, further ones are encoded anew.
 REMEMBERED = 250_000
-REMEMBERED_PARTS = 400_000
+REMEMBERED_PARTS = 150_000
+#: The same for pre-tokens of a byte-level vocabulary, whose pieces are more various.
+REMEMBERED_BYTE_PARTS = 400_000
 #: Bytes of a chunk: the larger, the fewer pieces come up in several chunks.
 CHUNK = 6 << 20
 _known: dict[tuple, dict] = {}
@@ -56,6 +58,7 @@ def encode_pieces(path: str, pieces: list[bytes]) -> list[bytes]:
     the rest (other scripts, special strings) goes whole to the library.
     """
     tk, word = tokenizer(path), is_word_vocabulary(path)
+    most = REMEMBERED_PARTS if word else REMEMBERED_BYTE_PARTS
     model, memory = tk.model.tokenize, _known.setdefault((path, "pre-tokens"), {})
     find = regex.compile(WORD_PATTERN if word else BYTE_PATTERN).findall
     out: list[bytes | None] = []
@@ -81,7 +84,7 @@ def encode_pieces(path: str, pieces: list[bytes]) -> list[bytes]:
             if found is None:
                 shown = token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(BYTE_CHARS)
                 found = array("I", [t.id for t in model(shown)]).tobytes()
-                if len(memory) < REMEMBERED_PARTS and len(token) <= 64:
+                if len(memory) < most and len(token) <= 64:
                     memory[token] = found
             ids += found
         out.append(ids)
