@@ -61,9 +61,9 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     first = groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row").groupBy("component_id").agg(F.min(rank).alias("r"))
     stays = work.written(first.select("r._row"))
     goes = id_filter.marked(ids.select("_row").join(stays, "_row", "left_anti"))
-    sure, maybe = (id_filter.held(numbered, goes, "_row", inside) for inside in (False, True))
-    back = id_filter.marked(id_filter.held(ids.select("_row"), goes, "_row").join(stays, "_row", "left_semi"))
-    return sure.unionByName(id_filter.held(maybe, back, "_row").join(stays, "_row", "left_semi")).drop("_row")
+    sure = id_filter.held(numbered, goes, "_row", inside=False)
+    both = goes & id_filter.marked(stays)  # one look at a text tells whether it may go and may stay
+    return sure.unionByName(id_filter.held(numbered, both, "_row").join(stays, "_row", "left_semi")).drop("_row")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from tests.llm.test_near import reach, shingles
-from tidemark.llm import work
+from tidemark.llm import memory, work
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,38 @@ def test_language_stage_without_languages(spark):
     docs = spark.createDataFrame([(1, "some words here", None), (2, None, None), (None, "", None)], "doc_id long, text string, lang string")
     assert sorted(map(str, cp.stage_language(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
     assert cp.stage_language(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """No step in Python feeds another one within a task: each would hold a worker of its own, with its memory."""
+    marked, read = cp.id_filter.marked, []
+
+    def spy(ids):
+        read.append(ids)
+        return marked(ids)
+
+    monkeypatch.setattr(cp.id_filter, "marked", spy)
+    rows = [(i, " ".join(f"w{i % 60}x{k}" for k in range(20))) for i in range(80)]
+    got = cp.stage_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert steps(got) == 2  # the two sides of the union
+    assert [steps(x) for x in read[-2:]] == [0, 0]
+
+
+def test_workers_give_back_memory():
+    """A worker that has done a task doesn't keep what the task has freed, nor what tasks of another kind remember."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+
+    def run(batches):
+        junk = [b"%05d" % i * 800 for i in range(60_000)]
+        pins.extend(junk[::2000])  # so that the C library can't give back the end of its memory by itself
+        yield from batches
+
+    pins, before = [], resident()
+    memory.remembered["some"] = {"word": b"ids"}
+    assert list(memory.tidy(run, remembers=True)(iter([1, 2]))) == [1, 2] and memory.remembered
+    assert resident() - before < 80  # of 240 MB
+    assert list(memory.tidy(iter)(iter([3]))) == [3] and not memory.remembered

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import spans
+from tidemark.llm import memory, spans
 
 BITS = 1 << 23
 
@@ -30,7 +30,7 @@ def marked(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(word)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at), "bits": pa.array(word[at])})
 
-    rows = ids.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = ids.mapInArrow(memory.tidy(mark), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     word = np.zeros(BITS // 64, np.int64)
     word[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return np.unpackbits(word.view(np.uint8), bitorder="little").astype(bool)
@@ -50,4 +50,4 @@ def held(rows: DataFrame, filled: np.ndarray, column: str = "doc_id", inside: bo
             may = may_hold(shared.value, b.column(column))
             yield b.filter(may if inside else pc.invert(may))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(memory.tidy(run), rows.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import spans
+from tidemark.llm import memory, spans
 
 U64 = np.uint64
 #: n-gram lengths in bytes (words are framed by one space), hash tables, places of a table.
@@ -107,7 +107,7 @@ def learn(docs: DataFrame) -> Filters:
                 part = held[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(part), x, np.int32)), "at": pa.array(part.astype(np.int32)), "n": pa.array(total[x][part].astype(np.int64))})
 
-    rows = known.select("text", "lang").mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    rows = known.select("text", "lang").mapInArrow(memory.tidy(count), "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(languages), HASHES * PLACES))
     table[rows["lang"].to_numpy(), rows["at"].to_numpy()] = rows["n"].to_numpy()
     rate = table * HASHES / np.maximum(table.sum(axis=1, keepdims=True), 1)
@@ -169,4 +169,4 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
     keep = tuple(k for k in keep if k not in ("lang_pred", "score"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double"])
-    return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(run, schema)
+    return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(memory.tidy(run), schema)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import tokens, work
+from tidemark.llm import memory, tokens, work
 
 PIECE = "block long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
 _RANK_BITS = 44
@@ -116,7 +116,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with
             }
             yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(parts, pa.binary())} if with_ids else {}))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(memory.tidy(cut, remembers=True), PIECE + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -152,4 +152,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long," + " ids binary," * with_ids
-    return numbered.mapInArrow(place, schema + " sequence_id long, offset long")
+    return numbered.mapInArrow(memory.tidy(place), schema + " sequence_id long, offset long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import id_filter, spans, work
+from tidemark.llm import id_filter, memory, spans, work
 from tidemark.llm.components import components
 from tidemark.llm.token_counts import _large, _small
 
@@ -220,7 +220,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
                 s = shingle_sets(c, rule.words)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(c.first, len(c)), "n_shingles": pa.array(s.size), "class": pa.array(s.key.view(np.int64))})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(memory.tidy(run), "doc_id long, n_shingles long, class long")
 
 
 def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
@@ -303,7 +303,7 @@ def shared_signatures(docs: DataFrame, rule: Rule, slots: int) -> DataFrame:
         return pa.table({"gid": np.repeat(gid[one].view(np.int64), n[one]), "class": spans.gather(own, first, n, one)})
 
     packed = pa.schema([("run", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "held", "classes"))])
-    dealt = docs.mapInArrow(deal, "run int, high binary, low binary, held binary, classes binary")
+    dealt = docs.mapInArrow(memory.tidy(deal), "run int, high binary, low binary, held binary, classes binary")
     return dealt.groupBy("run").applyInArrow(meet, "gid long, class long").distinct()
 
 
@@ -329,7 +329,7 @@ def _of_classes(docs: DataFrame, wanted: DataFrame, marks: DataFrame, rule: Rule
                 own = [of(s.shingle[x:y]) for x, y in zip(s.begin.tolist(), s.begin[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"class": pa.array(s.key.view(np.int64)), "doc_id": b.column("doc_id").slice(c.first, len(c)), "size": pa.array(s.size), name: pa.array(own, pa.binary())})
 
-    made = docs.mapInArrow(run, f"class long, doc_id long, size long, {name} binary")
+    made = docs.mapInArrow(memory.tidy(run), f"class long, doc_id long, size long, {name} binary")
     found = made.join(wanted, "class").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     return found.select(*wanted.columns, "size", name).dropDuplicates(["class"])
 
@@ -353,11 +353,11 @@ def tested(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, rule: Rule) -
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sketches.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("rep", "size", "sketch")])
-    left = work.written(work.gathered(pairs.join(side("a"), "a").join(side("b"), "b")).mapInArrow(sieve, "a long, b long, rep_a long, rep_b long"))
+    left = work.written(work.gathered(pairs.join(side("a"), "a").join(side("b"), "b")).mapInArrow(memory.tidy(sieve), "a long, b long, rep_a long, rep_b long"))
     ends = [left.select(F.col(c).alias("class"), F.col(f"rep_{c}").alias("rep")) for c in "ab"]
     sets = work.written(work.gathered(sets_of(docs, ends[0].union(ends[1]), rule)))
     whole = left.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    return work.gathered(whole).mapInArrow(test, "a long, b long")
+    return work.gathered(whole).mapInArrow(memory.tidy(test), "a long, b long")
 
 
 def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from tidemark.llm import memory as worker_memory
 from tidemark.llm import spans
 
 #: Pieces, and pre-tokens in them, that a Python worker remembers; when full, further ones are encoded anew.
@@ -19,7 +20,7 @@ REMEMBERED_PARTS = 150_000
 REMEMBERED_BYTE_PARTS = 400_000
 #: Bytes of a chunk: the larger, the fewer pieces come up in several chunks.
 CHUNK = 6 << 20
-_known: dict[tuple, dict] = {}
+_known = worker_memory.remembered
 _loaded: dict[str, object] = {}
 
 # The pre-token patterns of the two vocabularies, and the characters that stand for bytes.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import id_filter, spans, work
+from tidemark.llm import id_filter, memory, spans, work
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -61,7 +61,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     cols[name] = pa.array(np.bincount(of, weights=weight[owner], minlength=len(one)).astype(np.int64))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(count, "key long, c0 long, c1 long")
+    rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(memory.tidy(count), "key long, c0 long, c1 long")
     return rows.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
@@ -146,7 +146,7 @@ def evidence(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"x{i} double" for i in (1, 2, 3, 4)])
-    return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(run, schema)
+    return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(memory.tidy(run), schema)
 
 
 def _evidence(c: spans.Chunk, model: Model) -> np.ndarray:
@@ -231,4 +231,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
     keep = tuple(k for k in keep if k not in ("score", "predicted"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double", "predicted int"])
-    return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(run, schema)
+    return docs.select("text", *[k for k in keep if k != "text"]).mapInArrow(memory.tidy(run), schema)
